@@ -19,7 +19,24 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_substring_dedup,)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.quality_rules import apply_quality_rules
+
+    return apply_quality_rules(_table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.chat import canonical_turns, format_chat, read_back
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema))
+    record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")))
+    turns = canonical_turns(rows.select("conv_id", "turn", record.alias("record")), "record").select("conv_id", "turn", F.inline("turns"))
+    return read_back(format_chat(turns))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op8_substring_dedup, op10_chat_formatting)}
 
 #: Only short fixtures could be checked by SQL at reasonable cost for the other queries; those have brute-force tests.
 ORACLE_SQL: dict[str, str] = {}
