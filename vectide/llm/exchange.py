@@ -26,6 +26,16 @@ def partitions(df: DataFrame, count: int | None = None) -> int:
     return count or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return df.checkpoint()
+
+
 def chunked(docs: DataFrame, n: int, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
     """doc_id, text, chunk and carried columns, dealt by chunk; both uses of one such frame share its shuffle."""
     more = [F.col(f"`{c}`") for c in carry or []]

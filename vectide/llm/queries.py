@@ -25,6 +25,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(_table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.chat import canonical_turns, format_chat, read_back
 
@@ -36,7 +42,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op8_substring_dedup, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op6_best_fit_packing, op8_substring_dedup, op10_chat_formatting)}
 
 #: Only short fixtures could be checked by SQL at reasonable cost for the other queries; those have brute-force tests.
 ORACLE_SQL: dict[str, str] = {}
