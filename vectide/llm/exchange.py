@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectide.llm.textnp import planes, unplanes
 
@@ -26,6 +27,11 @@ def partitions(df: DataFrame, count: int | None = None) -> int:
     return count or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def widened(schema: T.StructType, ddl: str) -> T.StructType:
+    """A copy of schema with more fields."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
     context = df.sparkSession.sparkContext

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.exchange import checkpointed
+from vectide.llm.exchange import checkpointed, widened
 from vectide.llm.pretokens import encoder
 from vectide.llm.textnp import blocks, packed
 
@@ -59,8 +59,7 @@ def tokenized_pieces(docs: DataFrame, size: int, path: str, end_id: int, id_col:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = frame.select("doc_id").schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
-    return frame.mapInArrow(run, schema.add("ids", "array<int>") if with_ids else schema)
+    return frame.mapInArrow(run, widened(frame.select("doc_id").schema, "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids))
 
 
 def patterns(hist: np.ndarray, size: int, limit: int = MAX_PATTERNS) -> np.ndarray:
@@ -179,7 +178,7 @@ def pack_documents(docs: DataFrame, size: int = 1024, tokenizer: str | None = No
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
     pieces = tokenized_pieces(docs, size, tokenizer or default_tokenizer(), end_id, id_col, text_col, with_ids)
     pieces = checkpointed(pieces)  # ids are made once, and the tasks below are the same in every run
-    ranked = pieces.mapInArrow(_rank, pieces.schema.add("task", "int").add("rank", "long"))
+    ranked = pieces.mapInArrow(_rank, widened(pieces.schema, "task int, rank long"))
     counts = ranked.groupBy("task", "length").agg(F.count("*").alias("n"))
     hist = np.zeros(size + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
@@ -189,10 +188,12 @@ def pack_documents(docs: DataFrame, size: int = 1024, tokenizer: str | None = No
     base = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     whole = ranked.join(base, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
 
+    names = pieces.columns
+
     def place(batches):
         for batch in batches:
             rank = batch.column("rank").to_numpy()
             k = np.searchsorted(keys, batch.column("length").to_numpy() * (1 << 40) + rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in pieces.columns], pa.array(seqs[k] + rank), pa.array(offs[k])], names=[*pieces.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(seqs[k] + rank), pa.array(offs[k])], names=[*names, "sequence_id", "offset"])
 
-    return whole.mapInArrow(place, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return whole.mapInArrow(place, widened(pieces.schema, "sequence_id long, offset long"))
