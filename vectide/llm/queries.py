@@ -19,6 +19,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.language import fit, identify
+    from vectide.llm.quality_model import id_number
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs.where(id_number("doc_id", 5) != 0))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (id_number("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.quality_rules import apply_quality_rules
 
@@ -39,6 +49,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.quality_model import fit, id_number, score_quality
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(id_number("doc_id", 5) != 0))
+    out = score_quality(docs, model, threshold=0.3)
+    return out.select("doc_id", (id_number("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.chat import canonical_turns, format_chat, read_back
 
@@ -50,7 +69,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_decontamination, op6_best_fit_packing, op8_substring_dedup, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting)}
 
 #: Only short fixtures could be checked by SQL at reasonable cost for the other queries; those have brute-force tests.
 ORACLE_SQL: dict[str, str] = {}

@@ -103,13 +103,14 @@ class Words:
         self.data = data = LOWER[data] if lower else data
         self.offsets = offsets
         n, texts = len(data), len(offsets) - 1
-        inside = table[data]
+        kind = table[data]  # of a number table, runs of one number over 0 are words
+        inside = kind > 0
         first = inside.copy()
-        first[1:] &= ~inside[:-1]
+        first[1:] &= kind[1:] != kind[:-1]
         heads = offsets[:-1][offsets[:-1] < n]
         first[heads] |= inside[heads]
         last = inside.copy()
-        last[:-1] &= ~inside[1:]
+        last[:-1] &= kind[1:] != kind[:-1]
         tails = offsets[1:][offsets[1:] > 0] - 1
         last[tails] |= inside[tails]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
