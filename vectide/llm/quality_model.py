@@ -3,7 +3,8 @@
 Tokens are runs of letters and digits, runs of punctuation, and line ends. The model is fitted in one task on a bounded
 sample of labelled rows (``max_rows``, taken by a hash of the id, alike at every size). Each word of the sample seen often enough
 has a sparse ternary index vector; its word vector sums the index vectors of its neighbours, normalised, beside its
-own. Other words share the vectors of their shape (lower, capital, upper case, number, punctuation, line end). The mean over a text goes
+own. Other words share the vectors of their shape (lower, capital, upper case, number, punctuation, line end), and a token equal to the one before it has
+the vector of a repeat. The mean over a text goes
 through one hidden layer; the last fifth of the sample sets the temperature that divides the logit.
 
 Scores need only the text. Null texts are empty and get the score of an empty text; without labels the score is 0.5, with
@@ -28,7 +29,7 @@ KINDS[33:127] = 2
 KINDS[48:58] = KINDS[65:91] = KINDS[97:123] = 1
 KINDS[128:] = 1
 KINDS[10] = 3
-SHAPES, NEAR = 6, 2
+SHAPES, REPEAT, NEAR = 7, 6, 2
 
 
 def id_number(id_col: str, parts: int) -> Column:
@@ -41,7 +42,9 @@ def _shapes(w: Words) -> np.ndarray:
     a = d[w.start] if n else np.zeros(0, np.uint8)
     b = d[np.minimum(w.start + 1, w.end - 1)] if n else a
     upper = lambda x: (x >= 65) & (x < 91)
-    return np.select([a == 10, KINDS[a] == 2, (a >= 48) & (a < 58), upper(a) & upper(b) & (w.end - w.start > 1), upper(a)], [5, 4, 3, 2, 1], 0)
+    repeat = np.zeros(len(w), bool)
+    repeat[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
+    return np.select([repeat, a == 10, KINDS[a] == 2, (a >= 48) & (a < 58), upper(a) & upper(b) & (w.end - w.start > 1), upper(a)], [REPEAT, 5, 4, 3, 2, 1], 0)
 
 
 class Model:
@@ -55,7 +58,7 @@ class Model:
         if not len(self.vocab) or not len(w):
             return shape
         place = np.minimum(np.searchsorted(self.vocab, w.hash), len(self.vocab) - 1)
-        return np.where(self.vocab[place] == w.hash, place + SHAPES, shape)
+        return np.where((self.vocab[place] == w.hash) & (shape != REPEAT), place + SHAPES, shape)
 
     def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         w = Words(data, offsets, KINDS)
@@ -116,7 +119,7 @@ def _train(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, seed: int = 7
     return mean, std, *p
 
 
-def fit_rows(texts: pa.Array, labels: np.ndarray, dims: int = 24, hidden: int = 16, min_count: int = 3, max_vocab: int = 60_000, epochs: int = 30) -> Model:
+def fit_rows(texts: pa.Array, labels: np.ndarray, dims: int = 24, hidden: int = 32, min_count: int = 3, max_vocab: int = 60_000, epochs: int = 60) -> Model:
     empty = Model(np.zeros(0, np.uint64), np.zeros((SHAPES, 1), np.float32), None)
     if not len(labels):
         return empty
@@ -135,7 +138,7 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, dims: int = 24, hidden: int =
     often = np.flatnonzero(counts >= min_count)
     vocab = np.sort(vocab[often[np.argsort(-counts[often], kind="stable")[:max_vocab]]])
     place = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0))
-    ids = np.where(vocab[place] == h, place + SHAPES, shape) if len(vocab) else shape
+    ids = np.where((vocab[place] == h) & (shape != REPEAT), place + SHAPES, shape) if len(vocab) else shape
     model = Model(vocab, _random_indexing(ids, doc, len(vocab) + SHAPES, dims), None)
     del h, doc, shape, ids, place
     x = np.concatenate([model.pooled(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in blocks(off)])
