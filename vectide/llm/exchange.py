@@ -109,3 +109,30 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return keys, np.zeros(0, np.int64)
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[new], np.diff(np.append(new, len(keys)))
+
+
+def dump(*columns: np.ndarray) -> bytes:
+    """Equally long columns in one blob, byte planes apart so that they compress."""
+    return b"".join([len(columns[0]).to_bytes(8, "little"), *[np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]])
+
+
+def load(blob: bytes, dtypes: list) -> list[np.ndarray]:
+    n, at, out = int.from_bytes(blob[:8], "little"), 8, []
+    for t in dtypes:
+        t = np.dtype(t)
+        raw = np.frombuffer(blob, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
+        out.append(np.ascontiguousarray(raw.T).view(t).ravel() if n else np.zeros(0, t))
+        at += n * t.itemsize
+    return out
+
+
+def load_all(blobs: list[bytes], dtypes: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns of all blobs, and the bounds of each blob."""
+    parts = [load(b, dtypes) for b in blobs]
+    cols = [np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in enumerate(dtypes)]
+    return cols, np.cumsum([0] + [len(p[0]) for p in parts])
+
+
+def by_kind(table: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
+    """(dest, chunk, payload) of a kind, in a fixed order."""
+    return sorted((d, c, p) for d, c, k, p in zip(table["dest"].to_pylist(), table["chunk"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist()) if k == kind)

@@ -19,6 +19,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.suffix_dedup import dedup_bytes
+
+    out = dedup_bytes(_table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.language import fit, identify
     from vectide.llm.quality_model import id_number
@@ -69,7 +76,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting)}
 
 #: Only short fixtures could be checked by SQL at reasonable cost for the other queries; those have brute-force tests.
 ORACLE_SQL: dict[str, str] = {}
