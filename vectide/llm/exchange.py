@@ -113,7 +113,7 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def dump(*columns: np.ndarray) -> bytes:
     """Equally long columns in one blob, byte planes apart so that they compress."""
-    return b"".join([len(columns[0]).to_bytes(8, "little"), *[np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]])
+    return b"".join([len(columns[0]).to_bytes(8, "little"), *[np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns]])
 
 
 def load(blob: bytes, dtypes: list) -> list[np.ndarray]:

@@ -12,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.language_model import score_texts
+    from vectide.llm.quality_model import id_number
+
+    return score_texts(_table(spark, sf_dir, "documents"), id_number("doc_id", 5) == 1)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.substring import dedup_substrings
 
@@ -76,7 +83,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op7_lm_scoring, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting)}
 
 #: Only short fixtures could be checked by SQL at reasonable cost for the other queries; those have brute-force tests.
 ORACLE_SQL: dict[str, str] = {}
