@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vectide.llm.exchange import widened
 from vectide.llm.textnp import Words, blocks, packed
 
-BUCKETS = 1 << 15
+BUCKETS, VITERBI_BYTES = 1 << 15, 8_000_000
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 LETTER[128:] = True
@@ -133,6 +133,38 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     return Model(langs, total, scripts, penalty)
 
 
+def labelled(model: Model | None, langs: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Language, score and spans of each text."""
+    n, none = len(off) - 1, len(langs) - 1
+    kinds = max(none, 1)
+    start, end, doc, emissions = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, kinds), np.float32)]
+    for i, j in blocks(off) if model else ():
+        w, x = model.emissions(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        start.append(w.start + off[i])
+        end.append(w.end + off[i])
+        doc.append(w.doc + i)
+        emissions.append(x)
+    start, end, doc = np.concatenate(start), np.concatenate(end), np.concatenate(doc)
+    counts = np.bincount(doc, minlength=n)
+    label = model.viterbi(np.concatenate(emissions), counts) if len(doc) else np.zeros(0, np.int16)
+    mass = np.bincount(doc * kinds + label, end - start, n * kinds).reshape(n, kinds)
+    pick, total = mass.argmax(1), mass.sum(1)
+    plain = np.concatenate([[0], np.cumsum(LETTER[data] & (data < 128))])
+    unsure = (plain[off[1:]] == plain[off[:-1]]) & (total > 0)
+    for k in np.flatnonzero(unsure):
+        if not any(c.isalpha() for c in data[off[k] : off[k + 1]].tobytes().decode()):
+            total[k] = 0
+    pick = np.where(total > 0, pick, none)
+    score = np.where(total > 0, mass.max(1) / np.maximum(total, 1), 0.0)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(doc)) - 1 if len(head) else head
+    flat = pa.StructArray.from_arrays([pa.array(start[head] - off[doc[head]]), pa.array(end[tail] - off[doc[head]]), pa.array(langs[label[head].astype(int)], pa.string())], ["start", "end", "lang"])
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[head], np.arange(n + 1)), pa.int32()), flat)
+    return pa.array(langs[pick], pa.string()), pa.array(score, pa.float64()), spans
+
+
 SPANS = "array<struct<start:bigint,end:bigint,lang:string>>"
 
 
@@ -145,31 +177,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     def run(batches):
         model = shared.value
         langs = np.array([*(model.langs if model else []), "und"], object)
-        none = len(langs) - 1
         for batch in batches:
             data, off = packed(batch.column("__text"))
-            n, kinds = batch.num_rows, max(none, 1)
-            parts = [] if model is None else [(i, *model.emissions(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in blocks(off)]
-            start = np.concatenate([np.zeros(0, np.int64), *[w.start + off[i] for i, w, _ in parts]])
-            end = np.concatenate([np.zeros(0, np.int64), *[w.end + off[i] for i, w, _ in parts]])
-            doc = np.concatenate([np.zeros(0, np.int64), *[w.doc + i for i, w, _ in parts]])
-            counts = np.bincount(doc, minlength=n)
-            label = model.viterbi(np.concatenate([x for *_, x in parts]), counts) if len(doc) else np.zeros(0, np.int16)
-            mass = np.bincount(doc * kinds + label, end - start, n * kinds).reshape(n, kinds)
-            pick, total = mass.argmax(1), mass.sum(1)
-            plain = np.concatenate([[0], np.cumsum(LETTER[data] & (data < 128))])
-            unsure = (plain[off[1:]] == plain[off[:-1]]) & (total > 0)
-            for k in np.flatnonzero(unsure):
-                if not any(c.isalpha() for c in data[off[k] : off[k + 1]].tobytes().decode()):
-                    total[k] = 0
-            pick = np.where(total > 0, pick, none)
-            score = np.where(total > 0, mass.max(1) / np.maximum(total, 1), 0.0)
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])
-            head = np.flatnonzero(new)
-            tail = np.append(head[1:], len(doc)) - 1 if len(head) else head
-            flat = pa.StructArray.from_arrays([pa.array(start[head] - off[doc[head]]), pa.array(end[tail] - off[doc[head]]), pa.array(langs[label[head].astype(int)], pa.string())], ["start", "end", "lang"])
-            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[head], np.arange(n + 1)), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(1 + len(carry))], pa.array(langs[pick], pa.string()), pa.array(score, pa.float64()), spans], names=["doc_id", *carry, "lang_pred", "score", "spans"])
+            for lo, hi in blocks(off, VITERBI_BYTES):
+                own = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*[own.column(k) for k in range(1 + len(carry))], *labelled(model, langs, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])], names=["doc_id", *carry, "lang_pred", "score", "spans"])
 
     return frame.mapInArrow(run, widened(frame.drop("__text").schema, f"lang_pred string, score double, spans {SPANS}"))
