@@ -33,6 +33,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.jaccard import similar_components
+
+    return similar_components(_table(spark, sf_dir, "documents"), percent=75, width=5)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.language import fit, identify
     from vectide.llm.quality_model import id_number
@@ -83,7 +89,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op7_lm_scoring, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op7_lm_scoring, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting)}
 
 #: Only short fixtures could be checked by SQL at reasonable cost for the other queries; those have brute-force tests.
 ORACLE_SQL: dict[str, str] = {}
