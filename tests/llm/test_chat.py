@@ -49,4 +49,4 @@ def test_round_trip(spark):
 def test_escapes(turns):
     esc = lambda s: s.replace("\\", "\\\\").replace("<|", "<\\|")
     role = lambda s: "".join("\\" + c if c in "\\<|>" else c for c in s)
-    assert chat.parse("".join(f"<|{role(a)}|>\n{esc(b)}{chat.END}" for a, b in turns)) == turns
+    assert chat.parse("".join(f"{chat.HEAD}{role(a)}|>\n{esc(b)}{chat.END}" for a, b in turns)) == turns

@@ -5,7 +5,7 @@ scalar types; it selects one of the declarative LAYOUTS, whose expression conver
 (role, text). Records of no known fingerprint, such as those with more fields, take the first layout all of whose
 fields they have; else they have no turns and layout ``unknown``.
 
-The template writes a turn as ``<|role|>\\ntext<|end|>\\n``. Inside texts ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``; in
+The template writes a turn as ``<|turn role|>\\ntext<|end|>\\n``. Inside texts ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``; in
 roles each of ``\\ < | >`` gets a ``\\`` before it, so no text or role can hold a control string and parse() restores every text.
 The loss mask is a list of (start, length) in code points that cover exactly the escaped assistant texts.
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURNS = "array<struct<role:string,text:string>>"
-END = "<|end|>\n"
+HEAD, END = "<|turn ", "<|end|>\n"
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 
 
@@ -105,7 +105,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts of a formatted conversation."""
     out = []
     for piece in formatted.split(END)[:-1]:
-        role, _, text = piece[2:].partition("|>\n")
+        role, _, text = piece[len(HEAD) :].partition("|>\n")
         out.append((unescape(role), unescape(text)))
     return out
 
@@ -113,7 +113,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def format_chat(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row a conversation: conv_id, formatted, loss_spans (array of start and length)."""
     t = turns.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{order_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    t = t.withColumn("body", escape_text(F.col("text"))).withColumn("head", F.concat(F.lit("<|"), escape_role(F.col("role")), F.lit("|>\n")))
+    t = t.withColumn("body", escape_text(F.col("text"))).withColumn("head", F.concat(F.lit(HEAD), escape_role(F.col("role")), F.lit("|>\n")))
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     t = t.withColumn("piece", F.concat("head", "body", F.lit(END)))
     t = t.withColumn("rn", F.row_number().over(w)).withColumn("at", F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
