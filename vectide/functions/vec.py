@@ -86,3 +86,19 @@ def normal(i: Column) -> Column:
     """Reproducible standard normal from two uniforms."""
     u1 = 1 - uniform(2 * i)
     return F.sqrt(-2 * F.ln(u1)) * F.cos(F.lit(6.283185307179586) * uniform(2 * i + 1))
+
+
+def softmax(v: Column) -> Column:
+    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    s = total(e)
+    return F.transform(e, lambda x: x / s)
+
+
+def entropy(p: Column, eps: float = 0.0) -> Column:
+    """-sum p ln(p + eps); p = 0 adds nothing."""
+    return -F.aggregate(p, ZERO(), lambda a, x: a + F.when(x > 0, x * F.ln(x + eps)).otherwise(0.0))
+
+
+def indexed(v: Column, f) -> Column:
+    """f(value, place from 0)."""
+    return F.transform(v, f)
