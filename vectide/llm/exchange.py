@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from vectide.llm.textnp import planes, unplanes
 
+PACK_BYTES = 24_000_000
 ROWS = "dest int, chunk int, kind int, payload binary"
 ARROW_ROWS = pa.schema([("dest", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
@@ -42,15 +43,48 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _pack(batches):
+    """Rows of a task as one compressed blob for each chunk, whenever PACK_BYTES have come together."""
+
+    def flush(held):
+        table = pa.Table.from_batches(held)
+        chunk = table["chunk"].to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        table, chunk = table.drop_columns(["chunk"]).take(pa.array(order)), chunk[order]
+        head = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        blobs = []
+        for a, b in zip(head, np.append(head[1:], len(chunk))):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table.slice(a, b - a).combine_chunks())
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(chunk[head], pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "rows"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
 def chunked(docs: DataFrame, n: int, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text, chunk and carried columns, dealt by chunk; both uses of one such frame share its shuffle."""
+    """chunk and compressed rows (doc_id, text, carried columns), dealt by chunk; uses of one such frame in a plan share its shuffle."""
     more = [F.col(f"`{c}`") for c in carry or []]
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more, F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long")), F.lit(n)).cast("int").alias("chunk")).repartition(n, "chunk")
+    flat = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more, F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long")), F.lit(n)).cast("int").alias("chunk"))
+    return flat.mapInArrow(_pack, "chunk int, rows binary").repartition(n, "chunk")
 
 
 def ordered(table: pa.Table) -> pa.Table:
-    """A chunk in its fixed order: by id, then text, so that repeated rows fall the same way in every run."""
-    return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+    """The rows of a chunk in their fixed order: by id, then text, so that repeated rows fall the same way in every run."""
+    chunk = table["chunk"][0]
+    table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for part in table["rows"].chunks for b in part])
+    table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+    return table.append_column("chunk", pa.repeat(chunk, table.num_rows))
 
 
 def rows(items: list[tuple[int, int, int, bytes]]) -> pa.Table:

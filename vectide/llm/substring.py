@@ -139,7 +139,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     repeats = by(candidates, "dest").applyInArrow(lambda t: _match(t, WINDOW_BITS, False), X.ROWS)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    plain = parts.select("doc_id", *carry)
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in carry])
     out = plain.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans")).schema
     schema = to_arrow_schema(out)
     return by(parts, "chunk").cogroup(by(repeats, "dest")).applyInArrow(lambda a, b: _remove(a, b, n, window, schema), out)
