@@ -75,7 +75,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndar
     half = (length - k) // 2
     left, right = m - half, m + k + half
     short = lambda a, b, ok: np.where(ok, (range_hashes(prefix, np.where(ok, a, 0), np.where(ok, b, 0)) & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0))
-    return [h[m], whole, doc, first - offsets[doc], count, m - first, short(left, m + k, left >= first), short(m, right, right <= end)]
+    return [mix64(h[m] ^ np.uint64(0x2545F4914F6CDD1D)), whole, doc,  # minimizer hashes are small, so they are mixed again
+             first - offsets[doc], count, m - first, short(left, m + k, left >= first), short(m, right, right <= end)]
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -103,7 +104,9 @@ def _scan(table: pa.Table, n: int, length: int) -> pa.Table:
     cols = [np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in enumerate(RECORD)]
     if not len(cols[0]):
         return X.rows([])
-    cols[2] = _ids(table)[cols[3]].astype("i8")
+    ids = _ids(table)
+    del parts, data, table
+    cols[2] = ids[cols[3]].astype("i8")
     order, new = _first_of(cols[0], cols[1])  # stable: the first place of each
     again = order[~new]
     out = [(chunk % n, chunk, 1, X.dump(*_merged(*[cols[c][again] for c in (3, 4, 5)])))]
