@@ -25,10 +25,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id; documents without words link with nothing."""
+    """One document of each group of near duplicates, that of the least id; documents without words link with nothing.
+
+    Rows equal in id and text are one document; rows without an id can't be named as duplicates and stay.
+    """
     groups = jaccard.similar_components(docs)
     gone = groups.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(COLUMNS)
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
