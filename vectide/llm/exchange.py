@@ -4,7 +4,7 @@ A chunk is the set of documents whose id hashes to one number. A task on a chunk
 range of keys, holding all its distinct keys of that range as one binary value; the task on a key range
 answers with one row for each chunk. A key that every document holds therefore costs one entry a chunk,
 not one a document, so hot keys are pre-aggregated before the shuffle. Shuffled rows are few and large,
-which keeps Spark's cost for each key small. The number of chunks follows spark.sql.shuffle.partitions.
+which keeps Spark's cost for each key small. The number of chunks follows the bytes of the texts.
 All steps are deterministic functions of their input rows, so lost tasks can be run again.
 """
 
@@ -19,13 +19,22 @@ from pyspark.sql import types as T
 
 from vectide.llm.textnp import planes, unplanes
 
-PACK_BYTES = 24_000_000
+PACK_BYTES, CHUNK_BYTES = 16_000_000, 8_000_000
+pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between tasks; two workers share what the JVM leaves
 ROWS = "dest int, chunk int, kind int, payload binary"
 ARROW_ROWS = pa.schema([("dest", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
 
-def partitions(df: DataFrame, count: int | None = None) -> int:
-    return count or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def partitions(docs: DataFrame, count: int | None = None, text_col: str = "text") -> int:
+    """Number of chunks and of key ranges: one for each CHUNK_BYTES of text, and for small tables enough for some tasks.
+
+    A worker holds a chunk as arrays, so CHUNK_BYTES should grow with the memory of executors: a chunk sends a row to each
+    key range, and with few chunks those rows are large and the shuffle has few of them.
+    """
+    if count:
+        return count
+    size = docs.select(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    return max(-(-size // CHUNK_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16), 1)
 
 
 def widened(schema: T.StructType, ddl: str) -> T.StructType:
