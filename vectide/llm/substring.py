@@ -129,7 +129,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     """doc_id, carried columns, n_words, n_removed, kept_text (kept words joined by one space) and spans (removed word ranges)."""
     if window < 1:
         raise ValueError("window must be positive")
-    n, block = X.partitions(docs, n), (window + 1) // 2
+    n, block = X.partitions(docs, n, text_col), (window + 1) // 2
     new = ["n_words", "n_removed", "kept_text", "spans"]
     carry = [c for c in carry or [] if c not in {*new, "doc_id", "text", "chunk", id_col, text_col}]
     parts = X.chunked(docs, n, id_col, text_col, carry)

@@ -338,7 +338,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes)."""
     if not 2 <= length <= 255:
         raise ValueError("length must be 2 to 255 bytes")
-    n = X.partitions(docs, n)
+    n = X.partitions(docs, n, text_col)
     parts = X.chunked(docs, n, id_col, text_col)
     records = parts.groupBy("chunk").applyInArrow(lambda t: _scan(t, n, length), X.ROWS)
     answers = records.groupBy("dest").applyInArrow(_compare, X.ROWS)
