@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from vectide.llm import exchange as X
 from vectide.llm.components import components
-from vectide.llm.textnp import Words, blocks, mix64, packed
+from vectide.llm.textnp import Words, blocks, mix64, packed, word_counts
 
 LOW48 = np.uint64((1 << 48) - 1)
 POSTINGS, EDGES, HUBS, TESTS, SHIPS, SETS, UNLINKED, DIGESTS, REPS, DOCS = range(10)
@@ -60,6 +60,21 @@ def boundary(hist: dict[int, int], percent: int) -> int:
     return best[1]
 
 
+def _sizes(docs: DataFrame, width: int, text_col: str, most: int = 64) -> dict[int, int]:
+    """Texts by shingles (counted with repeats), up to most."""
+
+    def run(batches):
+        for batch in batches:
+            data, off = packed(batch.column(0))
+            for i, j in blocks(off):
+                words = word_counts(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                many = np.bincount(np.minimum(np.where(words > 0, np.maximum(words - width + 1, 1), 0), most + 1), minlength=most + 2)
+                yield pa.RecordBatch.from_pydict({"k": np.arange(1, most + 1), "n": many[1 : most + 1]})
+
+    rows = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "k long, n long")
+    return {r.k: r.n for r in rows.groupBy("k").agg(F.sum("n").alias("n")).where("n > 0").collect()}  # 64 rows at most
+
+
 class Sets:
     """Distinct shingles (48-bit hashes, sorted) of some texts of a chunk."""
 
@@ -186,7 +201,8 @@ def _post(table: pa.Table, answers: pa.Table, n: int, width: int, light: int, pe
     if not table.num_rows:
         return X.rows([])
     state = State(answers, n)
-    table, chunk, out = X.ordered(table), state.chunk, []
+    table, chunk = X.ordered(table), state.chunk
+    out = [(d, c, k, p) for k in (DOCS, REPS) for d, c, p in X.by_kind(answers, k)]
     which = _heavy(state, light, percent)
     s = Sets(table, width, which)
     keys, _ = X.distinct(s.flat)
@@ -372,23 +388,24 @@ def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, id_co
     """doc_id, n_shingles, component_id (least id of the component)."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
-    n = X.partitions(docs, n)
+    n = X.partitions(docs, n, text_col)
+    light = boundary(_sizes(docs, width, text_col), percent)
     parts = X.chunked(docs, n, id_col, text_col)
     text = parts.groupBy("chunk")
-    state = X.checkpointed(text.applyInArrow(lambda t: _digests(t, n, width), X.ROWS).groupBy("dest").applyInArrow(_representatives, X.ROWS))
-    members = state.groupBy("dest").applyInArrow(lambda t: _members(t, n), "doc_id long, n_shingles long, node long, rep_id long")
-    sizes = members.where("n_shingles between 1 and 64").groupBy("node").agg(F.first("n_shingles").alias("k")).groupBy("k").count().collect()  # 64 rows at most
-    light = boundary({r.k: r["count"] for r in sizes}, percent)
+    # Exchanges that end in a checkpoint or are used twice come after the work, which is then done once.
+    state = text.applyInArrow(lambda t: _digests(t, n, width), X.ROWS).groupBy("dest").applyInArrow(_representatives, X.ROWS).repartition(n, "dest")
     shingles = text.cogroup(state.groupBy("dest")).applyInArrow(lambda a, b: _shingles(a, b, n, width, light, percent), X.ROWS)
     levels = shingles.groupBy("dest").applyInArrow(_frequencies, X.ROWS)
-    posts = X.checkpointed(text.cogroup(levels.union(state).groupBy("dest")).applyInArrow(lambda a, b: _post(a, b, n, width, light, percent), X.ROWS))
+    posts = text.cogroup(levels.union(state).groupBy("dest")).applyInArrow(lambda a, b: _post(a, b, n, width, light, percent), X.ROWS)
+    posts = X.checkpointed(posts.repartition(n, "dest"))
+    members = posts.where(f"kind in ({DOCS}, {REPS})").groupBy("dest").applyInArrow(lambda t: _members(t, n), "doc_id long, n_shingles long, node long, rep_id long")
     own, lists = posts.where(f"kind = {POSTINGS}"), posts.where(f"kind in ({HUBS}, {UNLINKED})")
 
     def tested(probes: DataFrame) -> DataFrame:
         sets = text.cogroup(probes.groupBy("dest")).applyInArrow(lambda a, b: _ship(a, b, width), X.ROWS)
         return text.cogroup(sets.union(own).groupBy("dest")).applyInArrow(lambda a, b: _test(a, b, n, width, percent), X.ROWS)
 
-    first = X.checkpointed(tested(lists.groupBy("dest").applyInArrow(_hubs, X.ROWS)))
+    first = tested(lists.groupBy("dest").applyInArrow(_hubs, X.ROWS)).repartition(n, "dest")
     left = first.where(f"kind = {UNLINKED}").union(posts.where(f"kind = {HUBS}"))
     second = tested(left.groupBy("dest").applyInArrow(_rest, X.ROWS))
     edges = posts.union(first).union(second).where(f"kind = {EDGES}").mapInArrow(_edges, "a long, b long")

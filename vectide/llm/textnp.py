@@ -142,6 +142,16 @@ class Words:
         return at, self.run_hash(at, at + k)
 
 
+def word_counts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACES) -> np.ndarray:
+    """Words of each text."""
+    first = table[data]
+    inside = first.copy()
+    first[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    first[heads] |= inside[heads]
+    return np.diff(np.concatenate([[0], np.cumsum(first)])[offsets])
+
+
 def covered(starts: np.ndarray, width: int | np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in some [start, start + width)."""
     edge = np.zeros(n + 1, np.int32)
