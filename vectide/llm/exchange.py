@@ -10,6 +10,8 @@ All steps are deterministic functions of their input rows, so lost tasks can be
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +23,9 @@ from vectide.llm.textnp import planes, unplanes
 
 PACK_BYTES, CHUNK_BYTES = 16_000_000, 8_000_000
 pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between tasks; two workers share what the JVM leaves
+if hasattr(_libc := ctypes.CDLL(None), "mallopt"):  # likewise NumPy's arrays of 1 MB and more (glibc: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD)
+    _libc.mallopt(-3, 1 << 20)
+    _libc.mallopt(-1, 4 << 20)
 ROWS = "dest int, chunk int, kind int, payload binary"
 ARROW_ROWS = pa.schema([("dest", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
@@ -127,12 +132,12 @@ def received(table: pa.Table, bits: int, flag_bits: int, kind: int = 0) -> tuple
 
 def kept_rows(table: pa.Table, kind: int) -> list[tuple[int, int, int, bytes]]:
     """Rows that only pass through a key range, back to their chunk."""
-    return [(c, d, kind, p) for d, c, k, p in zip(table["dest"].to_pylist(), table["chunk"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist()) if k == kind]
+    return [(c, d, kind, p) for d, c, p in by_kind(table, kind)]
 
 
 def replies(table: pa.Table, kind: int) -> dict[int, bytes]:
     """Payload of each key range (in column chunk of an answer) for one chunk."""
-    return {c: p for c, k, p in sorted(zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist())) if k == kind}
+    return {c: p for _, c, p in by_kind(table, kind)}
 
 
 def answer_bits(keys: np.ndarray, n: int, bits: int, answers: dict[int, bytes]) -> np.ndarray:
@@ -178,4 +183,5 @@ def load_all(blobs: list[bytes], dtypes: list) -> tuple[list[np.ndarray], np.nda
 
 def by_kind(table: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
     """(dest, chunk, payload) of a kind, in a fixed order."""
-    return sorted((d, c, p) for d, c, k, p in zip(table["dest"].to_pylist(), table["chunk"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist()) if k == kind)
+    own = table.filter(pc.equal(table["kind"], kind))
+    return sorted(zip(own["dest"].to_pylist(), own["chunk"].to_pylist(), own["payload"].to_pylist()))
