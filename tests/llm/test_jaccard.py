@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from vectide.llm.components import components
 from vectide.llm.jaccard import boundary, similar_components
 
@@ -80,3 +82,22 @@ def test_components(spark):
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
     assert got == {x: root(x) for x in list(up)}
+
+
+def test_forest_connects_the_same_nodes():
+    from vectide.llm.components import forest
+
+    rnd = np.random.default_rng(3)
+    for size in (0, 1, 5, 40, 200):
+        a, b = rnd.integers(0, 100, size).astype("u8"), rnd.integers(0, 100, size).astype("u8")
+
+        def roots(pairs):
+            least = {int(x): int(x) for x in np.concatenate([a, b])}
+            for _ in range(len(least)):
+                for x, y in pairs:
+                    least[x] = least[y] = min(least[x], least[y])
+            return least
+
+        stars = list(zip(*(x.tolist() for x in forest(a, b))))
+        assert roots(stars) == roots(list(zip(a.tolist(), b.tolist())))
+        assert len(stars) < max(1, len(set(a.tolist()) | set(b.tolist())))

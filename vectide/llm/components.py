@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm.exchange import checkpointed
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect the same nodes as the edges (a, b) of one task: fewer edges than nodes, each from the least node."""
+    nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = number[: len(a)], number[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        for end in (root[x], root[y]):
+            np.minimum.at(root, end, low)
+        while (root[root] != root).any():
+            root = root[root]
+    child = root != np.arange(len(nodes))
+    return nodes[root[child]], nodes[child]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root (least node of its component) for every node of edges (a, b); loops are allowed.
 

@@ -10,7 +10,8 @@ estimated number of rows moved is least.
 
 A list is never turned into all its pairs. Each list has one hub, tested against all its members; members that link
 with it are connected. Only a member that does not is tested against the rest of the list. Sets travel to the chunks
-of list members (once a chunk, not once a member), and tests compare whole sets.
+of list members (once a chunk, not once a member), and tests compare whole sets. A task reports its links as stars that
+connect the same nodes, so a large group leaves fewer edges than it has members and hubs.
 
 Words are runs of other than white space after lower-casing A-Z; a text with fewer words than ``width`` is one
 shingle of all of them. Texts that are null or have no words have an empty set and link with nothing. Repeated rows are nodes
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import exchange as X
-from vectide.llm.components import components
+from vectide.llm.components import components, forest
 from vectide.llm.textnp import Words, blocks, mix64, packed, word_counts
 
 LOW48 = np.uint64((1 << 48) - 1)
@@ -242,7 +243,7 @@ def _post(table: pa.Table, answers: pa.Table, n: int, width: int, light: int, pe
         new = np.append(True, k[1:] != k[:-1])
         head = np.flatnonzero(new)
         hub = owner[head][np.cumsum(new) - 1]
-        out.append((chunk, chunk, EDGES, X.dump(hub[~new], owner[~new])))
+        out.append((chunk, chunk, EDGES, X.dump(*forest(hub[~new], owner[~new]))))
         out += _sent(k[head], [owner[head]], 64, n, chunk, UNLINKED)
     return X.rows(out)
 
@@ -285,7 +286,7 @@ def _hubs(table: pa.Table) -> pa.Table:
         k, nodes = k[order], nodes[order]
         new = np.append(True, k[1:] != k[:-1])
         hub = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-        out.append((dest, dest, EDGES, X.dump(hub[~new], nodes[~new])))
+        out.append((dest, dest, EDGES, X.dump(*forest(hub[~new], nodes[~new]))))
     return X.rows(out)
 
 
@@ -361,7 +362,7 @@ def _test(table: pa.Table, answers: pa.Table, n: int, width: int, percent: int)
         common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(part))
         linked[part] = 100 * common >= percent * (m[part] + size[part] - common)
     member_of_pair = node(chunk, (pair & np.uint64(0xFFFFFFFF)))
-    out.append((chunk, chunk, EDGES, X.dump(nodes[of][linked], member_of_pair[linked])))
+    out.append((chunk, chunk, EDGES, X.dump(*forest(nodes[of][linked], member_of_pair[linked]))))
     bad = ~linked[back]
     left = np.unique(np.stack([k[bad], node(chunk, member[bad])], 1), axis=0)
     if len(left):
