@@ -27,11 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the least id; documents without words link with nothing.
 
-    Rows equal in id and text are one document; rows without an id can't be named as duplicates and stay.
+    Rows equal in id and text are one document; rows that share an id but not the text are different ones. Rows without
+    an id come last: one of them stays only where no row of its group has an id.
     """
-    groups = jaccard.similar_components(docs)
-    gone = groups.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    return jaccard.one_of_each(docs, carry=["lang", "source", "n_chars"]).select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

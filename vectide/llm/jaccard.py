@@ -385,8 +385,27 @@ def _members(table: pa.Table, n: int) -> pa.Table:
     return pa.table({"doc_id": null(s.ids), "n_shingles": pa.array(s.sizes, pa.int64()), "node": pa.array(s.rep.astype("i8")), "rep_id": null(s.rep_id)})
 
 
-def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id of the component)."""
+def _own_nodes(table: pa.Table, n: int) -> pa.Table:
+    """Nodes (one of each set) with their ids; a null id is the largest."""
+    s = State(table, n)
+    own = s.rep == node(s.chunk, np.arange(len(s.ids)))
+    return pa.table({"node": pa.array(s.rep[own].astype("i8")), "rep_id": pa.array(s.ids[own], pa.int64())})
+
+
+def _taken(table: pa.Table, kept: pa.Table, names: list[str]) -> pa.Table:
+    """Rows of a chunk at the places of the kept nodes, without those equal to the row before in id and text."""
+    if not (table.num_rows and kept.num_rows):
+        return pa.table({c: [] for c in names})
+    table = X.ordered(table)
+    last, again = (None, None), np.zeros(table.num_rows, bool)
+    for k, row in enumerate(zip(table["doc_id"].to_pylist(), table["text"])):
+        again[k], last = k > 0 and row[0] == last[0] and row[1].equals(last[1]), row
+    at = np.sort(kept["node"].to_numpy().astype("u8") & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return table.take(pa.array(at[~again[at]])).select(names)
+
+
+def _graph(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, n: int | None) -> tuple[int, DataFrame, DataFrame]:
+    """Number of chunks, documents and representatives by chunk, node and root of all nodes that are tested."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
     n = X.partitions(docs, n, text_col)
@@ -399,7 +418,6 @@ def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, id_co
     levels = shingles.groupBy("dest").applyInArrow(_frequencies, X.ROWS)
     posts = text.cogroup(levels.union(state).groupBy("dest")).applyInArrow(lambda a, b: _post(a, b, n, width, light, percent), X.ROWS)
     posts = X.checkpointed(posts.repartition(n, "dest"))
-    members = posts.where(f"kind in ({DOCS}, {REPS})").groupBy("dest").applyInArrow(lambda t: _members(t, n), "doc_id long, n_shingles long, node long, rep_id long")
     own, lists = posts.where(f"kind = {POSTINGS}"), posts.where(f"kind in ({HUBS}, {UNLINKED})")
 
     def tested(probes: DataFrame) -> DataFrame:
@@ -410,8 +428,32 @@ def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, id_co
     left = first.where(f"kind = {UNLINKED}").union(posts.where(f"kind = {HUBS}"))
     second = tested(left.groupBy("dest").applyInArrow(_rest, X.ROWS))
     edges = posts.union(first).union(second).where(f"kind = {EDGES}").mapInArrow(_edges, "a long, b long")
-    roots = components(edges)
+    return n, posts.where(f"kind in ({DOCS}, {REPS})").groupBy("dest"), components(edges)
+
+
+def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id of the component)."""
+    n, states, roots = _graph(docs, percent, width, id_col, text_col, n)
+    members = states.applyInArrow(lambda t: _members(t, n), "doc_id long, n_shingles long, node long, rep_id long")
     nodes = members.groupBy("node").agg(F.min("rep_id").alias("rep_id"))
     least = roots.join(nodes, "node").groupBy("root").agg(F.min("rep_id").alias("least"))
     labels = roots.join(least, "root").select("node", "least")
     return members.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "rep_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, n: int | None = None) -> DataFrame:
+    """doc_id, text, carried columns of one row of each component, that of the least id and of those the least text.
+
+    Rows are told apart by their places in their chunk, not by id: rows of one id can be of several components, or one
+    component. Rows without words are components of their own, but those equal in id and text are one row.
+    """
+    n, states, roots = _graph(docs, percent, width, id_col, text_col, n)
+    names = ["doc_id", "text", *(carry or [])]
+    kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry or []]).schema
+    nodes = states.applyInArrow(lambda t: _own_nodes(t, n), "node long, rep_id long")
+    # Places of one id follow the order of its texts, as all rows of an id are in one chunk.
+    least = roots.join(nodes, "node").groupBy("root").agg(F.min(F.struct("rep_id", "node")).alias("least"))
+    kept = nodes.join(roots, "node", "left_anti").select("node").union(least.select("least.node"))
+    kept = kept.withColumn("chunk", F.shiftright("node", 32).cast("int"))
+    parts = X.chunked(docs, n, id_col, text_col, carry)
+    return parts.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(lambda a, b: _taken(a, b, names), kind)
