@@ -10,11 +10,13 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.functions import arrays
-from vectide.operators import layout
+from vectide.operators import layout, moments
+from vectide.sources import images
 
 
 @dataclass(frozen=True)
@@ -100,3 +102,24 @@ def apply(df: DataFrame, config: dict, step: str, vec_col: str = "v", name: str
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32()), pa.array(z.ravel()))], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+
+
+def frechet_of_paths(spark: SparkSession, a: str, b: str, config: dict, size: int, count: int | None = None) -> float:
+    """Frechet distance between two paths: a summary of moments.save_summary (a name in .parquet), or a flat folder of images (the
+    first count of them), prepared at size by a crop and encoded by the codec of config. A missing path and an unknown codec are errors.
+    """
+    for p in (a, b):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            raise ValueError(f"no such path: {p}")
+    if from_config(config).label_aware:
+        raise ValueError("images of a path have no labels")
+
+    def of(p: str) -> moments.Summary:
+        if p.endswith(".parquet"):
+            return moments.load_summary(spark, p)
+        names = images.scan_flat(spark, p, count).select(F.substring_index("path", "/", -1).alias("name"))
+        x = images.decode_rgb(spark, p, names)
+        return moments.summary(apply(images.prepared(x, size), config, "encode", "x"), "z")
+
+    return moments.frechet(of(a), of(b))

@@ -56,9 +56,14 @@ def resolve_labels(images: DataFrame, listed: DataFrame | None = None, name: str
     return dense_index(x, "__top", "label").join(F.broadcast(many)).withColumn("label", F.when(F.col("__tops") > 1, F.col("label"))).drop("__top", "__tops")
 
 
-def decode_rgb(spark: SparkSession, path: str) -> DataFrame:
-    """path, height, width, pixels: RGB values 0 to 255 by channel, row, column. Spark's image source decodes on the JVM, in BGR."""
+def decode_rgb(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
+    """path, height, width, pixels: RGB values 0 to 255 by channel, row, column; of files of these names (name) only, if given.
+
+    Spark's image source decodes on the JVM, in BGR.
+    """
     x = spark.read.format("image").load(path).select("image.*")
+    if names is not None:
+        x = x.withColumn("name", F.substring_index("origin", "/", -1)).join(names, "name", "left_semi")
 
     def run(batches):
         import pandas as pd
