@@ -85,7 +85,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema))
     record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")))
-    turns = canonical_turns(rows.select("conv_id", "turn", record.alias("record")), "record").select("conv_id", "turn", F.inline("turns"))
+    turns = canonical_turns(rows.select("conv_id", "turn", "role", "text", record.alias("record")), "record")
+    # A record too long for a variant gives no turn: its row is the turn.
+    own = F.array(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    turns = turns.select("conv_id", "turn", F.inline(F.when(F.size("turns") > 0, F.col("turns")).otherwise(own)))
     return read_back(format_chat(turns))
 
 
