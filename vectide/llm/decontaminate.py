@@ -2,8 +2,9 @@
 
 A shard is a block of whole documents in one task. Its suffix array holds, in word order, all suffixes that can begin a
 match (their first words occur in the benchmark). Every distinct window of the benchmark, which is the beginning of a
-test suffix, is binary-searched in it; the interval found is the list of its places. Windows on one diagonal (document
-place less item place) that follow each other are joined into longest verbatim matches. Documents are never shuffled.
+test suffix, is binary-searched in it; the interval found is the list of its places. Each is compared with all places of
+the window in the items: those whose words before differ begin a longest verbatim match, those whose words after differ
+end one, and the two alternate on a diagonal (document place less item place). Documents are never shuffled.
 
 The benchmark is read in blocks of ``index_bytes``; each block is one broadcast of that proven bound, and the blocks are
 searched one after the other, so the benchmark may have any size. Words are runs of a-z, 0-9 and non-ASCII bytes after
@@ -26,6 +27,7 @@ from vectide.llm.textnp import ALNUM, Words, blocks, covered, packed
 
 PAD_LOW, END, UNKNOWN, FIRST = 0, 1, 2, 3
 PAD_HIGH = 0xFFFFFFFF
+PAIRS = 1 << 20
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -34,7 +36,7 @@ def _keys(rows: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Distinct windows of some items, as keys to search for, and the items and places they stand for."""
+    """Distinct windows of some items, as keys to search for, and all items and places they stand for, with the words around them."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
         w = Words(*packed(pa.array(texts, pa.string())), ALNUM, lower=True)
@@ -50,21 +52,25 @@ class Index:
         self.low, self.size = rows[first], size[first]
         self.least = int(size.min()) if len(size) else window
         item, place = w.doc[at] if len(at) else at, w.at()[at] if len(at) else at
-        order = np.lexsort([place, item, back])  # items of each window, its first place in each
-        new = np.ones(len(order), bool)
-        new[1:] = (back[order][1:] != back[order][:-1]) | (item[order][1:] != item[order][:-1])
-        order = order[new]
+        order = np.lexsort([place, item, back])
         self.bounds = np.searchsorted(back[order], np.arange(len(first) + 1))
         self.item, self.place, self.ids, self.window = item[order], place[order], ids, window
+        self.before, self.after = (x[order] for x in _around(word, at, size, w, PAD_LOW))
+
+    def words(self, w: Words) -> np.ndarray:
+        """Numbers of a shard's words."""
+        if not len(self.vocab):
+            return np.full(len(w), UNKNOWN)
+        place = np.minimum(np.searchsorted(self.vocab, w.hash), len(self.vocab) - 1)
+        return np.where(self.vocab[place] == w.hash, place + FIRST, UNKNOWN)
 
     def search(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Window numbers and words of the shard at which they begin."""
         none = np.zeros(0, np.int64)
         if not len(self.size) or not len(w):
             return none, none
-        place = np.minimum(np.searchsorted(self.vocab, w.hash), len(self.vocab) - 1)
-        known = self.vocab[place] == w.hash
-        word = np.where(known, place + FIRST, UNKNOWN)
+        word = self.words(w)
+        known = word != UNKNOWN
         left = w.left()
         run = np.concatenate([[0], np.cumsum(known)])
         n = np.arange(len(w))
@@ -83,24 +89,42 @@ class Index:
         return np.repeat(np.arange(len(many)), many), eligible[array[at]]
 
 
-def _expand(bounds: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows k of a list of lists: the row numbers and the flat places of their entries."""
-    many = bounds[k + 1] - bounds[k]
-    return np.repeat(np.arange(len(k)), many), np.repeat(bounds[k] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+def _around(word: np.ndarray, at: np.ndarray, size: np.ndarray, w: Words, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words before and after runs of words of a text, none at its ends."""
+    padded = np.concatenate([[none], word, [none]])
+    doc = w.doc[at]
+    first, end = w.bounds[:-1][doc], w.bounds[1:][doc]
+    return np.where(at > first, padded[at], none), np.where(at + size < end, padded[at + size + 1], none)
+
+
+def _slices(many: np.ndarray):
+    """Ranges of rows of about PAIRS entries together; one row of more is one range."""
+    total, a = np.concatenate([[0], np.cumsum(many)]), 0
+    while a < len(many):
+        b = max(int(np.searchsorted(total, total[a] + PAIRS, "right")) - 1, a + 1)
+        yield a, b
+        a = b
 
 
 def _matches(index: Index, w: Words, window: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Longest matches: text, item, item place, place in the text, words."""
-    row, flat = _expand(index.bounds, window)
-    item, place, pos, size = index.item[flat], index.place[flat], at[row], index.size[window][row]
-    doc = w.doc[pos]
-    order = np.lexsort([pos, pos - place, item, doc])
-    item, place, pos, size, doc = item[order], place[order], pos[order], size[order], doc[order]
-    new = np.ones(len(pos), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] != pos[:-1] + 1) | (place[1:] != place[:-1] + 1)
-    head = np.flatnonzero(new)
-    last = np.append(head[1:], len(pos)) - 1
-    return doc[head], item[head], place[head], pos[head] - w.bounds[:-1][doc[head]], pos[last] + size[last] - pos[head]
+    """All longest matches: text, item, item place, place in the text, words."""
+    before, after = _around(index.words(w), at, index.size[window], w, END)
+    many = index.bounds[window + 1] - index.bounds[window]
+    heads, lasts = [], []
+    for a, b in _slices(many):
+        n = many[a:b]
+        row = np.repeat(np.arange(a, b), n)
+        flat = np.repeat(index.bounds[window[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        # a short item is all of its one window; a word that no item has, and a text's end, differ from all
+        short = index.size[window[row]] < index.window
+        for found, theirs, mine in ((heads, index.before, before), (lasts, index.after, after)):
+            take = short | (theirs[flat] != mine[row])
+            r, f = row[take], flat[take]
+            found.append(np.stack([w.doc[at[r]], index.item[f], at[r] - index.place[f], at[r], index.place[f], index.size[window[r]]]))
+    head, last = (np.concatenate(x, 1) if x else np.zeros((6, 0), np.int64) for x in (heads, lasts))
+    head, last = (x[:, np.lexsort(x[3::-1])] for x in (head, last))  # by text, item, diagonal, place
+    doc, item, _, pos, place, _ = head
+    return doc, item, place, pos - w.bounds[:-1][doc], last[3] + last[5] - pos
 
 
 MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())])
