@@ -21,6 +21,9 @@ def test_near_duplicates_by_row(spark):
     ]
     docs = spark.createDataFrame([(i, t, "l", str(i), len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(3), "").collect()]
+    # Of near copies with one id, or none, one stays, the same in every run.
+    assert sorted(map(repr, got)) == sorted(repr((r.doc_id, r.text)) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(2), "").collect())
+    got = [(i, {near("b"): text("b"), near("c"): text("c")}.get(t, t)) for i, t in got]
     want = [(3, text("a")), (7, text("clean")), (9, text("b")), (None, text("c")), (11, near("d")), (5, ""), (6, "--"), (5, None), (None, "")]
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
     assert sorted(got, key=key) == sorted(want, key=key)

@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
+from vectide.llm import substring
 from vectide.llm.substring import dedup_substrings
 
 
@@ -31,11 +34,41 @@ def test_against_brute_force(spark):
         docs.append((i, rnd.choice([" ", "\n", "  "]).join(body + passage[cut : cut + rnd.randint(10, 60)] + body[:5] + ["é"] * rnd.randint(0, 3))))
     docs += [(100, docs[-1][1]), (101, docs[-1][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for k in (1, 8, 35):
-        got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in dedup_substrings(df, k, n=3).collect()}
+    for k, hot in ((1, 5000), (8, 5000), (35, 5000), (8, 3), (35, 1)):
+        got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in dedup_substrings(df, k, n=3, hot=hot).collect()}
         assert got == brute(docs, k)
 
 
+def test_extension_of_hits():
+    """Against all pairs of places, on stretches of few different words."""
+    rnd = np.random.default_rng(2)
+    for window, block in ((5, 3), (7, 4), (35, 18)):
+        for _ in range(20):
+            n = int(rnd.integers(2, 40))
+            before, after = rnd.integers(0, window - block + 1, n), rnd.integers(block, window + 1, n)
+            words = [rnd.choice(3, b + a, p=[0.9, 0.05, 0.05]) for b, a in zip(before, after)]
+            key = rnd.integers(0, 3, n).astype("u8")
+            bounds = np.concatenate([[0], np.cumsum(before + after)])
+            got = substring.extended(np.concatenate(words), bounds, key, before, window)
+            for i in range(n):
+                for left in range(before.max() + 1):
+                    at = before[i] - left
+                    mine = words[i][at : at + window].tolist() if at >= 0 else []
+                    want = len(mine) == window and any(
+                        i != j and key[i] == key[j] and before[j] >= left and words[j][before[j] - left : before[j] - left + window].tolist() == mine for j in range(n)
+                    )
+                    assert bool(got[i, left]) == want
+
+
+def test_thue_morse_words(spark):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(20))
+    docs = [(1, f"{tail} {a} {tail}"), (2, f"{tail} {b} {tail}"), (3, f"{tail} {b} {tail} {a}")]
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), 35, n=2).collect()}
+    assert got == brute(docs, 35) and got[1][1] == 0 and got[2][1] == 41
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n_words int")
     assert dedup_substrings(empty, carry=["n_words"]).collect() == []

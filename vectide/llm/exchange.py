@@ -1,16 +1,19 @@
 """Dealing documents into chunks and key blobs between chunks and key ranges.
 
-A chunk is the set of documents whose id hashes to one number. A task on a chunk sends one row for each
+A chunk is the set of documents whose id and text hash to one number. A task on a chunk sends one row for each
 range of keys, holding all its distinct keys of that range as one binary value; the task on a key range
 answers with one row for each chunk. A key that every document holds therefore costs one entry a chunk,
 not one a document, so hot keys are pre-aggregated before the shuffle. Shuffled rows are few and large,
-which keeps Spark's cost for each key small. The number of chunks follows the bytes of the texts.
+which keeps Spark's cost for each key small. The numbers of chunks and of key ranges follow the bytes of the texts, the
+second with a larger divisor; rows between them are the product of both.
 All steps are deterministic functions of their input rows, so lost tasks can be run again.
 """
 
 from __future__ import annotations
 
 import ctypes
+from functools import wraps
+from inspect import isgeneratorfunction
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +24,58 @@ from pyspark.sql import types as T
 
 from vectide.llm.textnp import planes, unplanes
 
-PACK_BYTES, CHUNK_BYTES = 16_000_000, 8_000_000
-pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between tasks; two workers share what the JVM leaves
-if hasattr(_libc := ctypes.CDLL(None), "mallopt"):  # likewise NumPy's arrays of 1 MB and more (glibc: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD)
-    _libc.mallopt(-3, 1 << 20)
-    _libc.mallopt(-1, 4 << 20)
+PACK_BYTES, CHUNK_BYTES, RANGE_BYTES = 16_000_000, 8_000_000, 64_000_000
 ROWS = "dest int, chunk int, kind int, payload binary"
 ARROW_ROWS = pa.schema([("dest", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
+RANGE = ["u4", "u4", "u4"]  # doc number in the chunk, first window, windows
+LAST = np.iinfo(np.int64).max  # stands for a null id
+_LEAN: list[bool] = []
 
 
-def partitions(docs: DataFrame, count: int | None = None, text_col: str = "text") -> int:
-    """Number of chunks and of key ranges: one for each CHUNK_BYTES of text, and for small tables enough for some tasks.
+def lean_worker() -> None:
+    """Let a Python worker give memory back: Arrow's pool, NumPy's arrays of 1 MB and more (glibc: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD), free heap now."""
+    libc = ctypes.CDLL(None)
+    if not _LEAN:
+        _LEAN.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)
+            libc.mallopt(-1, 4 << 20)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
-    A worker holds a chunk as arrays, so CHUNK_BYTES should grow with the memory of executors: a chunk sends a row to each
-    key range, and with few chunks those rows are large and the shuffle has few of them.
+
+def lean(f):
+    """A task's function, with lean_worker() before and after it: idle workers of earlier stages share an executor's memory with the next ones."""
+
+    @wraps(f)
+    def group(*args, **kw):
+        lean_worker()
+        try:
+            return f(*args, **kw)
+        finally:
+            lean_worker()
+
+    @wraps(f)
+    def stream(*args, **kw):
+        lean_worker()
+        yield from f(*args, **kw)
+        lean_worker()
+
+    return stream if isgeneratorfunction(f) else group
+
+
+def partitions(docs: DataFrame, count: int | None = None, text_col: str = "text") -> tuple[int, int]:
+    """Numbers of chunks (one for each CHUNK_BYTES of text) and of key ranges (RANGE_BYTES); for small tables enough for some tasks.
+
+    A worker holds a chunk as arrays, and the keys of a range, so both sizes should grow with the memory of executors:
+    with few chunks the rows between chunks and ranges are large and the shuffle has few of them.
     """
     if count:
-        return count
+        return count, max(count // 2, 1)
     size = docs.select(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
-    return max(-(-size // CHUNK_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16), 1)
+    least = max(min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16), 1)
+    return max(-(-size // CHUNK_BYTES), least), max(-(-size // RANGE_BYTES), least)
 
 
 def widened(schema: T.StructType, ddl: str) -> T.StructType:
@@ -48,15 +84,21 @@ def widened(schema: T.StructType, ddl: str) -> T.StructType:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """df written to the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset and Spark is local."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp()
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+@lean
 def _pack(batches):
     """Rows of a task as one compressed blob for each chunk, whenever PACK_BYTES have come together."""
 
@@ -87,17 +129,19 @@ def _pack(batches):
 
 
 def chunked(docs: DataFrame, n: int, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
-    """chunk and compressed rows (doc_id, text, carried columns), dealt by chunk; uses of one such frame in a plan share its shuffle."""
+    """chunk and compressed rows (doc_id, text, h: hash of the text, carried columns), dealt by chunk; uses of one such frame in a plan share its shuffle."""
     more = [F.col(f"`{c}`") for c in carry or []]
-    flat = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more, F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long")), F.lit(n)).cast("int").alias("chunk"))
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    h = F.xxhash64(text)
+    flat = docs.select(key.alias("doc_id"), text.alias("text"), h.alias("h"), *more, F.pmod(F.xxhash64(key, h), F.lit(n)).cast("int").alias("chunk"))
     return flat.mapInArrow(_pack, "chunk int, rows binary").repartition(n, "chunk")
 
 
 def ordered(table: pa.Table) -> pa.Table:
-    """The rows of a chunk in their fixed order: by id, then text, so that repeated rows fall the same way in every run."""
+    """The rows of a chunk in their fixed order: by id, hash of the text, then text, so that repeated rows fall the same way in every run."""
     chunk = table["chunk"][0]
     table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for part in table["rows"].chunks for b in part])
-    table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+    table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("h", "ascending"), ("text", "ascending")]))
     return table.append_column("chunk", pa.repeat(chunk, table.num_rows))
 
 
@@ -106,18 +150,18 @@ def rows(items: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, ARROW_ROWS.types)], schema=ARROW_ROWS)
 
 
-def cuts(sorted_keys: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Bounds of the n equal key ranges within sorted keys of so many bits."""
-    edges = np.array([(b << bits) // n for b in range(1, n)], np.uint64)
+def cuts(sorted_keys: np.ndarray, r: int, bits: int) -> np.ndarray:
+    """Bounds of the r equal key ranges within sorted keys of so many bits."""
+    edges = np.array([(b << bits) // r for b in range(1, r)], np.uint64)
     return np.concatenate([[0], np.searchsorted(sorted_keys, edges), [len(sorted_keys)]])
 
 
-def send(keys: np.ndarray, flags: np.ndarray, n: int, bits: int, flag_bits: int, chunk: int, kind: int = 0) -> list[tuple[int, int, int, bytes]]:
+def send(keys: np.ndarray, flags: np.ndarray, r: int, bits: int, flag_bits: int, chunk: int, kind: int = 0) -> list[tuple[int, int, int, bytes]]:
     """One row for each key range from sorted distinct keys with small flags."""
     width = (bits + flag_bits + 7) // 8
-    at = cuts(keys, n, bits)
+    at = cuts(keys, r, bits)
     full = (keys << np.uint64(flag_bits)) | flags.astype(np.uint64)
-    return [(b, chunk, kind, planes(full[at[b] : at[b + 1]], width)) for b in range(n) if at[b + 1] > at[b]]
+    return [(b, chunk, kind, planes(full[at[b] : at[b + 1]], width)) for b in range(r) if at[b + 1] > at[b]]
 
 
 def received(table: pa.Table, bits: int, flag_bits: int, kind: int = 0) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
@@ -140,10 +184,10 @@ def replies(table: pa.Table, kind: int) -> dict[int, bytes]:
     return {c: p for _, c, p in by_kind(table, kind)}
 
 
-def answer_bits(keys: np.ndarray, n: int, bits: int, answers: dict[int, bytes]) -> np.ndarray:
+def answer_bits(keys: np.ndarray, r: int, bits: int, answers: dict[int, bytes]) -> np.ndarray:
     """One bit a key, in the order in which send() took the keys."""
     out = np.zeros(len(keys), bool)
-    at = cuts(keys, n, bits)
+    at = cuts(keys, r, bits)
     for b, blob in answers.items():
         size = int(at[b + 1] - at[b])
         out[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=size).astype(bool)
@@ -159,6 +203,11 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], np.diff(np.append(new, len(keys)))
 
 
+def ids(table: pa.Table) -> np.ndarray:
+    """Ids of a chunk's rows, LAST for null."""
+    return table["doc_id"].combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False).astype("i8")
+
+
 def dump(*columns: np.ndarray) -> bytes:
     """Equally long columns in one blob, byte planes apart so that they compress."""
     return b"".join([len(columns[0]).to_bytes(8, "little"), *[np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns]])
@@ -181,6 +230,26 @@ def load_all(blobs: list[bytes], dtypes: list) -> tuple[list[np.ndarray], np.nda
     return cols, np.cumsum([0] + [len(p[0]) for p in parts])
 
 
+def merged(doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Ranges of windows, adjoining ones joined."""
+    doc, first, end = doc.astype("i8"), first.astype("i8"), first.astype("i8") + count
+    order = np.lexsort([first, doc])
+    doc, first, end = doc[order], first[order], end[order]
+    if len(doc):
+        head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (first[1:] > end[:-1])))
+        doc, first, end = doc[head], first[head], np.maximum.reduceat(end, head)
+    return [doc.astype("u4"), first.astype("u4"), (end - first).astype("u4")]
+
+
+def split_by_chunk(chunks: list[int], bounds: np.ndarray, rows: np.ndarray, positions: bool = False) -> list[tuple[int, np.ndarray]]:
+    """Rows (or their positions in rows) of each chunk."""
+    which = np.searchsorted(bounds, rows, "right") - 1
+    order = np.argsort(which, kind="stable")
+    at = np.searchsorted(which[order], np.arange(len(chunks) + 1))
+    parts = [(c, order[at[i] : at[i + 1]]) for i, c in enumerate(chunks) if at[i + 1] > at[i]]
+    return parts if positions else [(c, rows[p]) for c, p in parts]
+
+
 def by_kind(table: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
     """(dest, chunk, payload) of a kind, in a fixed order."""
     own = table.filter(pc.equal(table["kind"], kind))

@@ -117,11 +117,12 @@ def _sent(keys: np.ndarray, columns: list[np.ndarray], bits: int, n: int, chunk:
     return [(b, chunk, kind, X.dump(keys[at[b] : at[b + 1]], *[c[at[b] : at[b + 1]] for c in columns])) for b in range(n) if at[b + 1] > at[b]]
 
 
+@X.lean
 def _digests(table: pa.Table, n: int, width: int) -> pa.Table:
     chunk = table["chunk"][0].as_py()
     table = X.ordered(table)
     s = Sets(table, width)
-    ids = table["doc_id"].combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False).astype("i8")
+    ids = X.ids(table)
     a, b = s.digest(1), s.digest(2)
     out = [(chunk, chunk, DOCS, X.dump(a, b, ids, s.sizes.astype("u4")))]
     full = np.flatnonzero(s.sizes)
@@ -131,6 +132,7 @@ def _digests(table: pa.Table, n: int, width: int) -> pa.Table:
     return X.rows(out + _sent(a[first], [b[first], ids[first], node(chunk, first)], 64, n, chunk, DIGESTS))
 
 
+@X.lean
 def _representatives(table: pa.Table) -> pa.Table:
     dest = table["dest"][0].as_py()
     out = [(d, c, DOCS, p) for d, c, p in X.by_kind(table, DOCS)]
@@ -172,6 +174,7 @@ def _heavy(state: State, light: int, percent: int) -> np.ndarray:
     return state.nodes[100 * state.sizes[state.nodes].astype(np.int64) // percent > light]
 
 
+@X.lean
 def _shingles(table: pa.Table, answers: pa.Table, n: int, width: int, light: int, percent: int) -> pa.Table:
     """Distinct shingles of a chunk's heavy nodes, with counts up to 255."""
     if not table.num_rows:
@@ -182,6 +185,7 @@ def _shingles(table: pa.Table, answers: pa.Table, n: int, width: int, light: int
     return X.rows(_sent(keys, [np.minimum(many, 255).astype("u1")], 48, n, state.chunk, POSTINGS))
 
 
+@X.lean
 def _frequencies(table: pa.Table) -> pa.Table:
     """For each chunk's shingles, 0 if one node has it, else the number of bits of the count."""
     dest = table["dest"][0].as_py()
@@ -197,6 +201,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return X.rows([(c, dest, POSTINGS, back[bounds[i] : bounds[i + 1]].tobytes()) for i, (_, c, _) in enumerate(got)])
 
 
+@X.lean
 def _post(table: pa.Table, answers: pa.Table, n: int, width: int, light: int, percent: int) -> pa.Table:
     """Prefix postings and subset keys of a chunk's nodes; answers hold its state and the frequencies."""
     if not table.num_rows:
@@ -264,6 +269,7 @@ def _probes(h: np.ndarray, probe: np.ndarray, to: np.ndarray, dest: int) -> list
     return out
 
 
+@X.lean
 def _hubs(table: pa.Table) -> pa.Table:
     """The hub of each list, to every chunk with members; star edges of shared subsets."""
     dest, out = table["dest"][0].as_py(), []
@@ -290,6 +296,7 @@ def _hubs(table: pa.Table) -> pa.Table:
     return X.rows(out)
 
 
+@X.lean
 def _rest(table: pa.Table) -> pa.Table:
     """Members that don't link with their hub, to every chunk with members of the list."""
     dest = table["dest"][0].as_py()
@@ -306,6 +313,7 @@ def _rest(table: pa.Table) -> pa.Table:
     return X.rows(_probes(np.repeat(h, many), np.repeat(u, many), chunks[np.searchsorted(bounds, flat, "right") - 1], dest))
 
 
+@X.lean
 def _ship(table: pa.Table, answers: pa.Table, width: int) -> pa.Table:
     out = [(d, c, k, p) for k in (TESTS, EDGES, POSTINGS) for d, c, p in X.by_kind(answers, k)]
     got = X.by_kind(answers, SHIPS)
@@ -323,6 +331,7 @@ def _ship(table: pa.Table, answers: pa.Table, width: int) -> pa.Table:
     return X.rows(out)
 
 
+@X.lean
 def _test(table: pa.Table, answers: pa.Table, n: int, width: int, percent: int) -> pa.Table:
     """Verified edges, and list members that don't link with what was tested in their list."""
     out = [(d, c, EDGES, p) for d, c, p in X.by_kind(answers, EDGES)]
@@ -370,21 +379,21 @@ def _test(table: pa.Table, answers: pa.Table, n: int, width: int, percent: int)
     return X.rows(out)
 
 
+@X.lean
 def _edges(batches):
     for batch in batches:
         (a, b), _ = X.load_all(batch.column("payload").to_pylist(), ["u8", "u8"])
         yield pa.RecordBatch.from_pydict({"a": a.astype("i8"), "b": b.astype("i8")})
 
 
+@X.lean
 def _members(table: pa.Table, n: int) -> pa.Table:
     s = State(table, n)
-    ids = pa.array(s.ids, pa.int64())
-    last = np.iinfo(np.int64).max
-    null = lambda x: pa.array(x, pa.int64(), mask=x == last)
-    del ids
+    null = lambda x: pa.array(x, pa.int64(), mask=x == X.LAST)
     return pa.table({"doc_id": null(s.ids), "n_shingles": pa.array(s.sizes, pa.int64()), "node": pa.array(s.rep.astype("i8")), "rep_id": null(s.rep_id)})
 
 
+@X.lean
 def _own_nodes(table: pa.Table, n: int) -> pa.Table:
     """Nodes (one of each set) with their ids; a null id is the largest."""
     s = State(table, n)
@@ -392,6 +401,7 @@ def _own_nodes(table: pa.Table, n: int) -> pa.Table:
     return pa.table({"node": pa.array(s.rep[own].astype("i8")), "rep_id": pa.array(s.ids[own], pa.int64())})
 
 
+@X.lean
 def _taken(table: pa.Table, kept: pa.Table, names: list[str]) -> pa.Table:
     """Rows of a chunk at the places of the kept nodes, without those equal to the row before in id and text."""
     if not (table.num_rows and kept.num_rows):
@@ -404,37 +414,38 @@ def _taken(table: pa.Table, kept: pa.Table, names: list[str]) -> pa.Table:
     return table.take(pa.array(at[~again[at]])).select(names)
 
 
-def _graph(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, n: int | None) -> tuple[int, DataFrame, DataFrame]:
-    """Number of chunks, documents and representatives by chunk, node and root of all nodes that are tested."""
+def _graph(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, n: int | None) -> tuple[int, int, DataFrame, DataFrame]:
+    """Numbers of chunks and key ranges, documents and representatives by chunk, node and root of all nodes that are tested."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
-    n = X.partitions(docs, n, text_col)
+    n, r = X.partitions(docs, n, text_col)
     light = boundary(_sizes(docs, width, text_col), percent)
     parts = X.chunked(docs, n, id_col, text_col)
     text = parts.groupBy("chunk")
     # Exchanges that end in a checkpoint or are used twice come after the work, which is then done once.
-    state = text.applyInArrow(lambda t: _digests(t, n, width), X.ROWS).groupBy("dest").applyInArrow(_representatives, X.ROWS).repartition(n, "dest")
-    shingles = text.cogroup(state.groupBy("dest")).applyInArrow(lambda a, b: _shingles(a, b, n, width, light, percent), X.ROWS)
-    levels = shingles.groupBy("dest").applyInArrow(_frequencies, X.ROWS)
-    posts = text.cogroup(levels.union(state).groupBy("dest")).applyInArrow(lambda a, b: _post(a, b, n, width, light, percent), X.ROWS)
+    state = text.applyInArrow(lambda t: _digests(t, r, width), X.ROWS).groupBy("dest").applyInArrow(lambda t: _representatives(t), X.ROWS).repartition(n, "dest")
+    shingles = text.cogroup(state.groupBy("dest")).applyInArrow(lambda a, b: _shingles(a, b, r, width, light, percent), X.ROWS)
+    levels = shingles.groupBy("dest").applyInArrow(lambda t: _frequencies(t), X.ROWS)
+    posts = text.cogroup(levels.union(state).groupBy("dest")).applyInArrow(lambda a, b: _post(a, b, r, width, light, percent), X.ROWS)
     posts = X.checkpointed(posts.repartition(n, "dest"))
     own, lists = posts.where(f"kind = {POSTINGS}"), posts.where(f"kind in ({HUBS}, {UNLINKED})")
 
     def tested(probes: DataFrame) -> DataFrame:
         sets = text.cogroup(probes.groupBy("dest")).applyInArrow(lambda a, b: _ship(a, b, width), X.ROWS)
-        return text.cogroup(sets.union(own).groupBy("dest")).applyInArrow(lambda a, b: _test(a, b, n, width, percent), X.ROWS)
+        return text.cogroup(sets.union(own).groupBy("dest")).applyInArrow(lambda a, b: _test(a, b, r, width, percent), X.ROWS)
 
-    first = tested(lists.groupBy("dest").applyInArrow(_hubs, X.ROWS)).repartition(n, "dest")
+    first = tested(lists.groupBy("dest").applyInArrow(lambda t: _hubs(t), X.ROWS)).repartition(n, "dest")
     left = first.where(f"kind = {UNLINKED}").union(posts.where(f"kind = {HUBS}"))
-    second = tested(left.groupBy("dest").applyInArrow(_rest, X.ROWS))
+    second = tested(left.groupBy("dest").applyInArrow(lambda t: _rest(t), X.ROWS))
+    second = second.where(f"kind = {EDGES}").repartition(n, "dest")  # so that no task runs two Python workers
     edges = posts.union(first).union(second).where(f"kind = {EDGES}").mapInArrow(_edges, "a long, b long")
-    return n, posts.where(f"kind in ({DOCS}, {REPS})").groupBy("dest"), components(edges)
+    return n, r, posts.where(f"kind in ({DOCS}, {REPS})").groupBy("dest"), components(edges)
 
 
 def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (least id of the component)."""
-    n, states, roots = _graph(docs, percent, width, id_col, text_col, n)
-    members = states.applyInArrow(lambda t: _members(t, n), "doc_id long, n_shingles long, node long, rep_id long")
+    n, r, states, roots = _graph(docs, percent, width, id_col, text_col, n)
+    members = states.applyInArrow(lambda t: _members(t, r), "doc_id long, n_shingles long, node long, rep_id long")
     nodes = members.groupBy("node").agg(F.min("rep_id").alias("rep_id"))
     least = roots.join(nodes, "node").groupBy("root").agg(F.min("rep_id").alias("least"))
     labels = roots.join(least, "root").select("node", "least")
@@ -442,16 +453,15 @@ def similar_components(docs: DataFrame, percent: int = 75, width: int = 5, id_co
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, n: int | None = None) -> DataFrame:
-    """doc_id, text, carried columns of one row of each component, that of the least id and of those the least text.
+    """doc_id, text, carried columns of one row of each component, that of the least id and of those a fixed one (by hashes of their texts).
 
     Rows are told apart by their places in their chunk, not by id: rows of one id can be of several components, or one
     component. Rows without words are components of their own, but those equal in id and text are one row.
     """
-    n, states, roots = _graph(docs, percent, width, id_col, text_col, n)
+    n, r, states, roots = _graph(docs, percent, width, id_col, text_col, n)
     names = ["doc_id", "text", *(carry or [])]
     kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry or []]).schema
-    nodes = states.applyInArrow(lambda t: _own_nodes(t, n), "node long, rep_id long")
-    # Places of one id follow the order of its texts, as all rows of an id are in one chunk.
+    nodes = states.applyInArrow(lambda t: _own_nodes(t, r), "node long, rep_id long")
     least = roots.join(nodes, "node").groupBy("root").agg(F.min(F.struct("rep_id", "node")).alias("least"))
     kept = nodes.join(roots, "node", "left_anti").select("node").union(least.select("least.node"))
     kept = kept.withColumn("chunk", F.shiftright("node", 32).cast("int"))

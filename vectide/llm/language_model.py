@@ -71,6 +71,7 @@ class Tokens:
         return out.reshape(size, size)
 
 
+@X.lean
 def _initial_bigrams(batches, classes: int):
     size = classes + 1
     total = np.zeros((size, size), np.int64)
@@ -101,6 +102,7 @@ def _classes(t: Tokens, answers: pa.Table | None, keys: np.ndarray, n: int, clas
     return count, z
 
 
+@X.lean
 def _count(table: pa.Table, answers: pa.Table | None, n: int, classes: int) -> pa.Table:
     """Counts and neighbour classes of the distinct words of a chunk."""
     if not table.num_rows:
@@ -125,6 +127,7 @@ def _count(table: pa.Table, answers: pa.Table | None, n: int, classes: int) -> p
     return X.rows(out)
 
 
+@X.lean
 def _exchange(table: pa.Table, bigrams: np.ndarray, classes: int) -> pa.Table:
     """Total counts, and the best class of each word of a key range, for every chunk that has it."""
     dest = table["dest"][0].as_py()
@@ -157,6 +160,7 @@ def _exchanger(bigrams: np.ndarray, classes: int):
     return lambda t: _exchange(t, bigrams, classes)
 
 
+@X.lean
 def _bigrams(table: pa.Table, answers: pa.Table, n: int, classes: int) -> pa.Table:
     """Class bigrams of a chunk, with words seen once also counted as unknown (the last class)."""
     end, unknown, size = classes, classes + 1, classes + 2
@@ -176,6 +180,7 @@ def _bigrams(table: pa.Table, answers: pa.Table, n: int, classes: int) -> pa.Tab
     return pa.table({"table": pa.array([total.tobytes()], pa.binary())})
 
 
+@X.lean
 def _score(table: pa.Table, answers: pa.Table, bigrams: np.ndarray, distinct: int, n: int, classes: int) -> pa.Table:
     if not table.num_rows:
         return SCHEMA.empty_table()
@@ -216,18 +221,18 @@ def score_texts(docs: DataFrame, held_out, classes: int = 64, rounds: int = 1, i
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities). held_out: a boolean column."""
     if not 1 <= classes <= 250 or rounds < 1:
         raise ValueError("classes must be 1 to 250, rounds 1 or more")
-    n = X.partitions(docs, n, text_col)
+    n, r = X.partitions(docs, n, text_col)
     plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), (~held_out).alias("train"))
     bigrams = _summed(plain.mapInArrow(lambda it: _initial_bigrams(it, classes), "table binary"), classes + 1)
     parts = X.chunked(plain, n, "doc_id", "text", ["train"])
     by_chunk, answers = parts.groupBy("chunk"), None
     for _ in range(rounds):
         if answers is None:
-            counts = by_chunk.applyInArrow(lambda t: _count(t, None, n, classes), X.ROWS)
+            counts = by_chunk.applyInArrow(lambda t: _count(t, None, r, classes), X.ROWS)
         else:
-            counts = by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _count(a, b, n, classes), X.ROWS)
+            counts = by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _count(a, b, r, classes), X.ROWS)
         answers = X.checkpointed(counts.groupBy("dest").applyInArrow(_exchanger(bigrams[: classes + 1, : classes + 1], classes), X.ROWS))
-        bigrams = _summed(by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _bigrams(a, b, n, classes), "table binary"), classes + 2)
+        bigrams = _summed(by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _bigrams(a, b, r, classes), "table binary"), classes + 2)
     distinct = answers.where("kind = 9").agg(F.sum(F.col("payload").cast("string").cast("long"))).first()[0] or 0
     distinct += int(bigrams[:, classes].sum() > 0)  # the end
-    return by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _score(a, b, bigrams, distinct, n, classes), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _score(a, b, bigrams, distinct, r, classes), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -11,7 +11,7 @@ import unicodedata
 
 import numpy as np
 
-from vectide.llm.textnp import BYTE_HASH, prefix_hashes, range_hashes
+from vectide.llm.textnp import byte_hashes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 CACHE_LIMIT = 1_500_000
@@ -109,7 +109,7 @@ class Encoder:
         start = borders(points, np.searchsorted(head, offsets[:-1]))
         first = head[start]
         last = np.append(first[1:], len(data))
-        key = range_hashes(prefix_hashes(BYTE_HASH[data]), first, last)
+        key = byte_hashes(data, first, last)
         distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_LIMIT:
             self.clear()

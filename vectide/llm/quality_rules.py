@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.textnp import Words, blocks, covered, mix64, packed, prefix_hashes, range_hashes
+from vectide.llm.textnp import Words, blocks, byte_hashes, covered, mix64, packed
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -77,7 +77,7 @@ class Texts:
         end = np.minimum(end - ((self.data[end - 1] == 10) & (end > start)), self.offsets[doc + 1])
         full = np.searchsorted(self.words.start, end) > np.searchsorted(self.words.start, start)
         start, end, doc = start[full], end[full], doc[full]
-        key = range_hashes(prefix_hashes(mix64(self.data.astype(np.uint64) + np.uint64(7))), start, end)
+        key = byte_hashes(self.data, start, end)
         _, first = np.unique(mix64(key ^ mix64(doc.astype(np.uint64) + np.uint64(1))), return_index=True)
         total = np.bincount(doc, minlength=len(self))
         return total, total - np.bincount(doc[first], minlength=len(self))

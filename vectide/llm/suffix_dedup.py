@@ -5,18 +5,20 @@ into segments, runs of windows with one minimizer occurrence, and a key range of
 of its keys. Two equal windows never lie in one segment.
 
 1. A chunk of documents sends one record for each distinct segment, with its first place; further copies within the
-   chunk are repeats at once. So a text that fills a third of the table is one record a chunk.
-2. A key range finds the first of equal segments over all chunks; the others are repeats. Different segments of one
-   key which agree next to the minimizer on one side may share some windows: the chunk of the first is asked for the bytes.
-3. The bytes of a key range are concatenated into texts of bounded size that never part a key. On the Burrows-Wheeler transform of each,
-   intervals are extended backward breadth-first, which finds the places where neighbouring suffixes share 0, 1, 2, ...
-   bytes; the search stops at ``length``, and what is not parted by then are the groups of suffixes with equal windows.
-   The first of each group stays. A key with over HOT_KEY different segments (a common passage in many surroundings)
-   would make such a text large, so its windows are dealt by the hash of the whole window instead, pre-aggregated by chunk.
+   chunk, compared byte for byte, are its places too. So a text that fills a third of the table is one record a chunk.
+2. A key range asks the chunks for the bytes of segments that can share a window: those with copies, and those which
+   agree with another one of their key next to the minimizer on one side (by hash; a false agreement only costs work).
+3. The bytes of a key range, one copy of each distinct segment, are concatenated into texts of bounded size that never
+   part a key. On the Burrows-Wheeler transform of each, intervals are extended backward breadth-first, which finds the
+   places where neighbouring suffixes share 0, 1, 2, ... bytes; the search stops at ``length``, and what is not parted by
+   then are the groups of suffixes with equal windows. Of all places of a group the first stays. This alone decides.
+   A key with over ``hot`` different segments (a common passage in many surroundings) would make such a text large: its
+   windows become segments and keys of their own, dealt by their hash to all key ranges, and are judged by the transform there.
 4. Chunks remove the bytes of all repeated windows.
 
 Null texts are empty; texts shorter than ``length`` keep all bytes; documents are ordered by id, null last, rows
-that repeat an id by their text; an empty table gives an empty result; other columns are not read.
+that repeat an id by a hash of their text, then by it; an empty table gives an empty result; other columns are not read. Very
+long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -26,36 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vectide.llm import exchange as X
-from vectide.llm.textnp import BYTE_HASH, blocks, mix64, packed, prefix_hashes, range_hashes
+from vectide.llm.textnp import blocks, byte_hashes, distinct_bytes, join64, lanes, mix64, packed, sliding_min
 
-K, HOT_KEY, TEXT_BYTES = 32, 2000, 1_000_000
+K, TEXT_BYTES = 32, 1_000_000
 POSITION = np.uint64((1 << 28) - 1)
-#: key, segment hash, doc id, doc number in the chunk, first window, windows, minimizer place, left and right hashes
-RECORD = ["u8", "u8", "i8", "u4", "u4", "u1", "u1", "u2", "u2"]
-RANGE = ["u4", "u4", "u4"]  # doc number, first window, windows
-REQUEST = ["u8", "u4", "u4", "u1", "u1"]  # key, doc number, first window, windows, 1 for a hot key
-BYTES = ["u8", "i8", "u4", "u4", "u4"]  # key, doc id, doc number, first window, windows; the bytes follow
-WINDOW = ["u8", "i8", "u4", "u4"]  # window hash, doc id, doc number, window
-
-
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    step = 1
-    while 2 * step <= width:
-        x = np.minimum(x[:-step], x[step:])
-        step *= 2
-    return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
+#: key, doc number in the chunk, first window, windows, left and right hashes, whether there are more copies
+RECORD = ["u8", "u4", "u4", "u1", "u4", "u4", "u1"]
+REQUEST = ["u4", "u4", "u1", "u1", "u8"]  # doc number, first window, windows, 1 for a hot key, key
+BYTES = ["u8", "i8", "i8", "u4", "u4", "u1"]  # key, doc id, hash of the text, doc number, first window, windows; the bytes follow
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndarray]:
-    """Key, segment hash, text, first window, windows, minimizer place, left hash, right hash."""
+    """Key, text, first byte, windows, left hash, right hash of each segment."""
     k = min(K, length)
     span, n = length - k + 1, len(data)
     if n < length:
-        return [np.zeros(0, np.int64)] * 8
-    prefix = prefix_hashes(BYTE_HASH[data])
-    at = np.arange(n - k + 1)
-    h = range_hashes(prefix, at, at + k)
-    least = _sliding_min((h & ~POSITION) | at.astype(np.uint64), span) & POSITION
+        return [np.zeros(0, np.int64)] * 6
+    h = _strings(data, k) if k >= 8 else mix64(lanes(data)[: n - k + 1] & np.uint64((1 << 8 * k) - 1))
+    at = np.arange(len(h))
+    least = sliding_min((h & ~POSITION) | at.astype(np.uint64), span) & POSITION
     size = np.diff(offsets)
     valid = np.zeros(n + 1, np.int8)
     long = size >= length
@@ -64,136 +55,116 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndar
     valid = np.cumsum(valid[: len(least)], dtype=np.int8) > 0
     p = np.flatnonzero(valid)
     if not len(p):
-        return [np.zeros(0, np.int64)] * 8
+        return [np.zeros(0, np.int64)] * 6
     m = least[p].astype(np.int64)
     head = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (p[1:] != p[:-1] + 1)))
     first, m = p[head], m[head]
     count = np.diff(np.append(head, len(p)))
     end = first + count - 1 + length
     doc = np.searchsorted(offsets, first, "right") - 1
-    whole = mix64(range_hashes(prefix, first, end) ^ (m - first).astype(np.uint64))
     half = (length - k) // 2
     left, right = m - half, m + k + half
-    short = lambda a, b, ok: np.where(ok, (range_hashes(prefix, np.where(ok, a, 0), np.where(ok, b, 0)) & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0))
-    return [mix64(h[m] ^ np.uint64(0x2545F4914F6CDD1D)), whole, doc,  # minimizer hashes are small, so they are mixed again
-             first - offsets[doc], count, m - first, short(left, m + k, left >= first), short(m, right, right <= end)]
-
-
-def _ids(table: pa.Table) -> np.ndarray:
-    return table["doc_id"].combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+    short = lambda a, b, ok: np.where(ok, (byte_hashes(data, np.where(ok, a, 0), np.where(ok, b, 0)) & np.uint64(0xFFFFFFFF)) | np.uint64(1), np.uint64(0))
+    # minimizer hashes are small, so they are mixed again
+    return [mix64(h[m] ^ np.uint64(0x2545F4914F6CDD1D)), doc, first, count, short(left, m + k, left >= first), short(m, right, right <= end)]
 
 
-def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order by keys (the first the strongest), and whether each in that order is the first of its equals."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    return order, new
+def _strings(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes, 8 at least, from each place."""
+    h, have = mix64(lanes(data)[: len(data) - 7]), 8
+    while 2 * have <= k:
+        h = join64(h[:-have], h[have:])
+        have *= 2
+    return join64(h[: len(h) - (k - have)], h[k - have :]) if have < k else h
 
 
-def _scan(table: pa.Table, n: int, length: int) -> pa.Table:
+@X.lean
+def _scan(table: pa.Table, r: int, length: int) -> pa.Table:
     chunk = table["chunk"][0].as_py()
     table = X.ordered(table)
     data, off = packed(table["text"])
     parts = []
     for i, j in blocks(off):
         own = segments(data[off[i] : off[j]], off[i : j + 1] - off[i], length)
-        own[2] = own[2] + i
-        parts.append([c.astype(t) for c, t in zip([*own[:2], own[2], *own[2:]], RECORD)])
-    cols = [np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in enumerate(RECORD)]
-    if not len(cols[0]):
+        parts.append([own[0], own[1] + i, own[2] + off[i], *own[3:]])
+    if not sum(len(p[0]) for p in parts):
         return X.rows([])
-    ids = _ids(table)
-    del parts, data, table
-    cols[2] = ids[cols[3]].astype("i8")
-    order, new = _first_of(cols[0], cols[1])  # stable: the first place of each
+    key, doc, start, count, left, right = (np.concatenate(c) for c in zip(*parts))
+    del parts
+    order, new = distinct_bytes(data, key, start, count - 1 + length)
     again = order[~new]
-    out = [(chunk % n, chunk, 1, X.dump(*_merged(*[cols[c][again] for c in (3, 4, 5)])))]
-    cols = [c[order[new]] for c in cols]
-    at = X.cuts(cols[0], n, 64)
-    return X.rows(out + [(b, chunk, 0, X.dump(*[c[at[b] : at[b + 1]] for c in cols])) for b in range(n) if at[b + 1] > at[b]])
-
-
-def _merged(doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
-    """Ranges of windows, adjoining ones joined."""
-    doc, first, end = doc.astype("i8"), first.astype("i8"), first.astype("i8") + count
-    order = np.lexsort([first, doc])
-    doc, first, end = doc[order], first[order], end[order]
-    if len(doc):
-        head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (first[1:] > end[:-1])))
-        doc, first, end = doc[head], first[head], np.maximum.reduceat(end, head)
-    return [doc.astype("u4"), first.astype("u4"), (end - first).astype("u4")]
-
-
-def _by_chunk(chunks: list[int], bounds: np.ndarray, rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    which = np.searchsorted(bounds, rows, "right") - 1
-    order = np.argsort(which, kind="stable")
-    at = np.searchsorted(which[order], np.arange(len(chunks) + 1))
-    return [(c, rows[order[at[i] : at[i + 1]]]) for i, c in enumerate(chunks) if at[i + 1] > at[i]]
+    out = [(chunk % r, chunk, 1, X.dump(*X.merged(doc[again], start[again] - off[doc[again]], count[again])))]
+    more = np.append(~new[1:], False)[new] if len(new) else new
+    first = order[new]
+    cols = [c.astype(t) for c, t in zip((key[first], doc[first], start[first] - off[doc[first]], count[first], left[first], right[first], more), RECORD)]
+    at = X.cuts(cols[0], r, 64)
+    return X.rows(out + [(b, chunk, 0, X.dump(*[c[at[b] : at[b + 1]] for c in cols])) for b in range(r) if at[b + 1] > at[b]])
 
 
 def _twice(key: np.ndarray, mark: np.ndarray) -> np.ndarray:
     """Whether another row of the same key has the same mark other than 0; keys are sorted."""
-    x = mix64(key ^ (mark.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    x = join64(key, mark.astype(np.uint64))
     _, back, many = np.unique(x, return_inverse=True, return_counts=True)
     return (mark > 0) & (many[back] > 1)
 
 
-def _compare(table: pa.Table) -> pa.Table:
+@X.lean
+def _compare(table: pa.Table, hot: int) -> pa.Table:
     dest = table["dest"][0].as_py()
     got = X.by_kind(table, 0)
-    cols, bounds = X.load_all([p for *_, p in got], RECORD)
-    chunks = [c for _, c, _ in got]
     out = X.kept_rows(table, 1)
-    if len(cols[0]):
-        order, new = _first_of(cols[0], cols[1], cols[2], cols[4])
-        same = np.append(False, (cols[0][order][1:] == cols[0][order][:-1]) & (cols[1][order][1:] == cols[1][order][:-1]))
-        for c, r in _by_chunk(chunks, bounds, order[same]):
-            out.append((c, dest, 1, X.dump(*_merged(*[cols[k][r] for k in (3, 4, 5)]))))
-        firsts = order[~same]
-        key = cols[0][firsts]
-        near = _twice(key, cols[7][firsts]) | _twice(key, cols[8][firsts])
-        firsts, key = firsts[near], key[near]
-        _, back, many = np.unique(key, return_inverse=True, return_counts=True)
-        hot = np.zeros(len(cols[0]), "u1")
-        hot[firsts] = many[back] > HOT_KEY
-        for c, r in _by_chunk(chunks, bounds, firsts):
-            out.append((c, dest, 2, X.dump(*[cols[k][r] for k in (0, 3, 4, 5)], hot[r])))
+    if got:
+        (key, doc, first, count, left, right, more), bounds = X.load_all([p for *_, p in got], RECORD)
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        near = _twice(k, left[order]) | _twice(k, right[order]) | (more[order] > 0)
+        order = order[near]
+        _, back, many = np.unique(key[order], return_inverse=True, return_counts=True)
+        crowd = np.zeros(len(key), "u1")
+        crowd[order] = many[back] > hot
+        for c, rows in X.split_by_chunk([c for _, c, _ in got], bounds, np.sort(order)):
+            out.append((c, dest, 2, X.dump(*[x[rows] for x in (doc, first, count, crowd, key)])))
     return X.rows(out)
 
 
-def _ship(table: pa.Table, answers: pa.Table, n: int, length: int) -> pa.Table:
+@X.lean
+def _ship(table: pa.Table, answers: pa.Table, r: int, length: int) -> pa.Table:
     if not table.num_rows:
         return X.rows([])
     chunk = table["chunk"][0].as_py()
     table = X.ordered(table)
     data, off = packed(table["text"])
-    ids = _ids(table)
-    ranges, _ = X.load_all([p for *_, p in X.by_kind(answers, 1)], RANGE)
-    out = [(chunk % n, chunk, 1, X.dump(*_merged(*ranges)))]
-    hashes = []
+    ids, h = X.ids(table), table["h"].combine_chunks().to_numpy(zero_copy_only=False).astype("i8")
+    ranges, _ = X.load_all([p for *_, p in X.by_kind(answers, 1)], X.RANGE)
+    out, windows = [], []
+
+    def sent(dest, key, doc, first, count):
+        size = count - 1 + length
+        flat = data[np.repeat(off[doc] + first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        return (dest, chunk, 2, X.dump(*[c.astype(t) for c, t in zip((key, ids[doc], h[doc], doc, first, count), BYTES)]) + flat.tobytes())
+
     for dest, blob in X.replies(answers, 2).items():
-        key, doc, first, count, hot = X.load(blob, REQUEST)
-        a, m = off[doc] + first, count.astype("i8")
-        cold = np.flatnonzero(hot == 0)
-        if len(cold):
-            size = m[cold] - 1 + length
-            flat = data[np.repeat(a[cold] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            out.append((dest, chunk, 2, X.dump(key[cold], ids[doc[cold]].astype("i8"), doc[cold], first[cold], m[cold].astype("u4")) + flat.tobytes()))
-        for r in np.flatnonzero(hot):
-            at = np.arange(m[r])
-            prefix = prefix_hashes(BYTE_HASH[data[a[r] : a[r] + m[r] - 1 + length]])
-            hashes.append((range_hashes(prefix, at, at + length), np.full(m[r], ids[doc[r]]), np.full(m[r], doc[r], "u4"), (first[r] + at).astype("u4")))
-    if hashes:
-        h, i, d, p = (np.concatenate(c) for c in zip(*hashes))
-        order, new = _first_of(h, d, p)
-        h, i, d, p = (c[order] for c in (h, i, d, p))
-        again = np.append(False, h[1:] == h[:-1])
-        out.append((chunk % n, chunk, 1, X.dump(*_merged(d[again], p[again], np.ones(int(again.sum()), "i8")))))
-        cols = [c[~again].astype(t) for c, t in zip((h, i, d, p), WINDOW)]
-        at = X.cuts(cols[0], n, 64)
-        out += [(b, chunk, 3, X.dump(*[c[at[b] : at[b + 1]] for c in cols])) for b in range(n) if at[b + 1] > at[b]]
+        doc, first, count, hot, key = X.load(blob, REQUEST)
+        doc, first, count = doc.astype("i8"), first.astype("i8"), count.astype("i8")
+        cold, warm = hot == 0, hot > 0
+        if cold.any():
+            out.append(sent(dest, key[cold], doc[cold], first[cold], count[cold]))
+        if warm.any():
+            many = count[warm]
+            inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            windows.append(np.stack([np.repeat(doc[warm], many), np.repeat(first[warm], many) + inner]))
+    if windows:
+        doc, first = np.concatenate(windows, 1)
+        order = np.lexsort([first, doc])
+        doc, first = doc[order], first[order]
+        start, size = off[doc] + first, np.full(len(doc), length)
+        key = byte_hashes(data, start, start + length)
+        order, new = distinct_bytes(data, key, start, size)
+        again, order = order[~new], order[new]
+        ranges = [np.concatenate(x) for x in zip(ranges, X.merged(doc[again], first[again], np.ones(len(again), "i8")))]
+        at = X.cuts(key[order], r, 64)
+        out += [sent(b, key[x], doc[x], first[x], np.ones(len(x), "i8")) for b in range(r) if len(x := order[at[b] : at[b + 1]])]
+    out.append((chunk % r, chunk, 1, X.dump(*X.merged(*ranges))))
     return X.rows(out)
 
 
@@ -204,7 +175,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     for k in range(8):
         key = (key << np.uint64(8)) | np.roll(text, -k).astype(np.uint64)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if have >= depth:
             return order
         rank = np.empty(n, np.uint64)
@@ -247,66 +218,72 @@ def equal_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.cumsum(parted[:n])
 
 
+@X.lean
 def _transform(table: pa.Table, length: int) -> pa.Table:
     dest = table["dest"][0].as_py()
     out = X.kept_rows(table, 1)
-    got = X.by_kind(table, 3)
-    if got:
-        (h, i, d, p), bounds = X.load_all([b for *_, b in got], WINDOW)
-        order = np.lexsort([p, d, i, h])
-        again = order[np.append(False, h[order][1:] == h[order][:-1])]
-        for c, r in _by_chunk([c for _, c, _ in got], bounds, again):
-            out.append((c, dest, 1, X.dump(*_merged(d[r], p[r], np.ones(len(r), "i8")))))
     got = X.by_kind(table, 2)
+    del table
     if got:
-        (key, ids, doc, first, count), bounds = X.load_all([b for *_, b in got], BYTES)
+        (key, ids, h, doc, first, count), bounds = X.load_all([b for *_, b in got], BYTES)
         width = sum(np.dtype(t).itemsize for t in BYTES)
         flat = np.concatenate([np.frombuffer(b, np.uint8, offset=8 + width * (bounds[k + 1] - bounds[k])) for k, (*_, b) in enumerate(got)])
+        chunks = [c for _, c, _ in got]
+        del got
         size = count.astype("i8") - 1 + length
         start = np.cumsum(size) - size
-        order = np.argsort(key, kind="stable")
-        room = np.cumsum(size[order] + 1)
-        repeats: list[tuple[np.ndarray, np.ndarray]] = []
+        by_place = np.lexsort([first, doc, h, ids])
+        order, new = distinct_bytes(flat, key[by_place], start[by_place], size[by_place])
+        order = by_place[order]  # the first of each distinct segment has its first place
+        one = order[new]
+        room = np.cumsum(size[one] + 1)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         a = 0
-        while a < len(order):  # texts of bounded size that hold all segments of their keys
+        while a < len(one):  # texts of bounded size that hold all distinct segments of their keys
             b = max(int(np.searchsorted(room, (room[a - 1] if a else 0) + TEXT_BYTES, "right")), a + 1)
-            b = int(np.searchsorted(key[order], key[order[b - 1]], "right"))
-            repeats.append(_repeats(order[a:b], flat, start, size, count, ids, doc, first, length))
+            b = int(np.searchsorted(key[one], key[one[b - 1]], "right"))
+            found.append(_repeats(one[a:b], flat, start, size, count, (first, doc, h, ids), length))
             a = b
-        row, window = (np.concatenate(c) for c in zip(*repeats))
-        which = np.searchsorted(bounds, row, "right") - 1
-        for k, (_, c, _) in enumerate(got):
-            r = which == k
-            if r.any():
-                out.append((c, dest, 1, X.dump(*_merged(doc[row[r]], first[row[r]] + window[r], np.ones(int(r.sum()), "i8")))))
+        row, window = (np.concatenate(c) for c in zip(*found))
+        # Windows of further places of a segment are in the groups of its first place, which stands before them.
+        more = order[~new]
+        doc, first = doc.astype("i8"), first.astype("i8")
+        rows = np.concatenate([row, more])
+        begin, many = np.concatenate([first[row] + window, first[more]]), np.concatenate([np.ones(len(row), "i8"), count[more].astype("i8")])
+        for c, at in X.split_by_chunk(chunks, bounds, rows, positions=True):
+            out.append((c, dest, 1, X.dump(*X.merged(doc[rows[at]], begin[at], many[at]))))
     return X.rows(out)
 
 
-def _repeats(rows, flat, start, size, count, ids, doc, first, length) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and windows within them that are not the first of their equals."""
+def _repeats(rows, flat, start, size, count, place, length) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and windows within them that are not the first of their equals, by the transform; place: sort keys of rows, the first the weakest."""
     own = size[rows]
-    place = np.cumsum(own + 1) - (own + 1)
+    begin = np.cumsum(own + 1) - (own + 1)
     text = np.zeros(int((own + 1).sum()), np.uint8)
     inner = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-    text[np.repeat(place, own) + inner] = flat[np.repeat(start[rows], own) + inner]
+    text[np.repeat(begin, own) + inner] = flat[np.repeat(start[rows], own) + inner]
     order, group = equal_groups(text, length)
     of = np.empty(len(text), np.int64)
     of[order] = group
     many = count[rows].astype("i8")
     window = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    row = np.repeat(rows, many)
-    g = of[np.repeat(place, many) + window]
-    by = np.lexsort([first[row] + window, doc[row], ids[row], g])
+    g = of[np.repeat(begin, many) + window]
+    _, back, members = np.unique(g, return_inverse=True, return_counts=True)
+    shared = members[back] > 1
+    row, window, g = np.repeat(rows, many)[shared], window[shared], g[shared]
+    first, *rest = place
+    by = np.lexsort([first[row] + window, *[x[row] for x in rest], g])
     again = by[np.append(False, g[by][1:] == g[by][:-1])] if len(by) else by
-    return row[again], window[again].astype("u4")
+    return row[again], window[again]
 
 
+@X.lean
 def _remove(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     if not table.num_rows:
         return SCHEMA.empty_table()
     table = X.ordered(table)
     data, off = packed(table["text"])
-    (doc, first, count), _ = X.load_all([p for *_, p in X.by_kind(answers, 1)], RANGE)
+    (doc, first, count), _ = X.load_all([p for *_, p in X.by_kind(answers, 1)], X.RANGE)
     order = np.argsort(doc, kind="stable")
     doc, a = doc[order], off[doc[order]] + first[order]
     b = a + count[order].astype("i8") - 1 + length
@@ -334,14 +311,15 @@ def _remove(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
-def dedup_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes)."""
+def dedup_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", n: int | None = None, hot: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes). hot: segments of one key for one text at most."""
     if not 2 <= length <= 255:
         raise ValueError("length must be 2 to 255 bytes")
-    n = X.partitions(docs, n, text_col)
+    n, r = X.partitions(docs, n, text_col)
+    hot = hot or max(TEXT_BYTES // (2 * length), 2)
     parts = X.chunked(docs, n, id_col, text_col)
-    records = parts.groupBy("chunk").applyInArrow(lambda t: _scan(t, n, length), X.ROWS)
-    answers = records.groupBy("dest").applyInArrow(_compare, X.ROWS)
-    texts = parts.groupBy("chunk").cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _ship(a, b, n, length), X.ROWS)
+    records = parts.groupBy("chunk").applyInArrow(lambda t: _scan(t, r, length), X.ROWS)
+    answers = records.groupBy("dest").applyInArrow(lambda t: _compare(t, hot), X.ROWS)
+    texts = parts.groupBy("chunk").cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _ship(a, b, r, length), X.ROWS)
     repeats = texts.groupBy("dest").applyInArrow(lambda t: _transform(t, length), X.ROWS)
     return parts.groupBy("chunk").cogroup(repeats.groupBy("dest")).applyInArrow(lambda a, b: _remove(a, b, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

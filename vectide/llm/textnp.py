@@ -1,8 +1,8 @@
 """Vectorised helpers on blocks of whole texts, used inside Arrow tasks.
 
-A block is one uint8 array of concatenated UTF-8 texts with int64 offsets. Hashes are polynomial prefix
-sums modulo 2**64 followed by a finaliser, so the hash of every word, run of words or byte string of a block
-comes from two array look-ups. The power tables grow with the longest block, never with the corpus.
+A block is one uint8 array of concatenated UTF-8 texts with int64 offsets. Hashes read eight bytes at a time and mix after each
+step, so no arithmetic structure of a text survives (sums of powers modulo 2**64 collide on Thue-Morse texts); runs of up
+to eight bytes of one length never collide. The hash of a run of k words is made from those of shorter runs, by doubling.
 """
 
 from __future__ import annotations
@@ -14,10 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 500_000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
 SPACES = np.ones(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -36,31 +32,91 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n, kept per worker."""
-    if len(_POWERS["up"]) < n:
-        size = max(n, 2 * len(_POWERS["up"]))
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * base**i, one longer than values."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
-    return out
+def join64(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of an ordered pair of hashes, one to one in each of them."""
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
 
 
-def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], the same wherever the run stands."""
-    raw = (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
-    return mix64(raw + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place (and from the end, where zeros follow) as one number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+PIECE = 64
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], the same wherever a run stands; long runs are hashed by pieces, then over the pieces' hashes."""
+    view, size = lanes(data), end - start
+    h = mix64((view[start] & LANE_MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    live, at = np.flatnonzero((size > 8) & (size <= PIECE)), 8
+    while len(live):
+        left = size[live] - at
+        h[live] = join64(h[live], view[start[live] + at] & LANE_MASKS[np.minimum(left, 8)])
+        at += 8
+        live = live[left > 8]
+    long = np.flatnonzero(size > PIECE)
+    if len(long):
+        count = -(-size[long] // PIECE)
+        first = np.cumsum(count) - count
+        a = np.repeat(start[long] - PIECE * first, count) + PIECE * np.arange(int(count.sum()))
+        pieces = byte_hashes(data, a, np.minimum(a + PIECE, np.repeat(end[long], count)))
+        h[long] = join64(byte_hashes(pieces.view(np.uint8), 8 * first, 8 * (first + count)), size[long].astype(np.uint64))
+    return h
+
+
+def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of values[i : i + k] for each i at which k values are left."""
+    if len(values) < k:
+        return np.zeros(0, np.uint64)
+    h, have = values, 1
+    while 2 * have <= k:
+        h = join64(h[:-have], h[have:])
+        have *= 2
+    return join64(h[: len(h) - (k - have)], h[k - have :]) if have < k else h
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] equals other[b : b + size]."""
+    x, y, same = lanes(data), lanes(other), np.ones(len(a), bool)
+    live, at = np.flatnonzero(size > 0), 0
+    while len(live):
+        mask = LANE_MASKS[np.minimum(size[live] - at, 8)]
+        equal = (x[a[live] + at] & mask) == (y[b[live] + at] & mask)
+        same[live[~equal]] = False
+        at += 8
+        live = live[equal]
+        live = live[size[live] > at]
+    return same
+
+
+def distinct_bytes(data: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key and content (equal ones as they come), and whether each in that order is the first of its equals; bytes are compared."""
+    order = np.lexsort([byte_hashes(data, start, start + size), key])
+    new = np.ones(len(order), bool)
+    if len(order):
+        a, b = order[:-1], order[1:]
+        maybe = (key[a] == key[b]) & (size[a] == size[b])
+        near = np.flatnonzero(maybe)
+        maybe[near] = same_bytes(data, start[a[near]], data, start[b[near]], size[b[near]])
+        new[1:] = ~maybe
+    return order, new
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Least of each run of width values."""
+    step = 1
+    while 2 * step <= width:
+        x = np.minimum(x[:-step], x[step:])
+        step *= 2
+    return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
 
 
 def packed(column) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +173,7 @@ class Words:
         self.bounds = np.searchsorted(self.start, offsets)  # word range of each text
         self.counts = np.diff(self.bounds)
         self.doc = np.repeat(np.arange(texts), self.counts)
-        self.hash = range_hashes(prefix_hashes(BYTE_HASH[data]), self.start, self.end)
-        self.runs: np.ndarray | None = None
+        self.hash = byte_hashes(data, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -132,14 +187,13 @@ class Words:
         return self.bounds[1:][self.doc] - np.arange(len(self))
 
     def run_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if self.runs is None:
-            self.runs = prefix_hashes(self.hash)
-        return range_hashes(self.runs, start, end)
+        """Hashes of runs of words of any length."""
+        return byte_hashes(self.hash.view(np.uint8), 8 * start, 8 * end)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of all runs of k words within one text."""
         at = np.flatnonzero(self.left() >= k)
-        return at, self.run_hash(at, at + k)
+        return at, window_hashes(self.hash, k)[at]
 
 
 def word_counts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACES) -> np.ndarray:
