@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from test_decontaminate import words
 
-from vectide.llm import decontaminate
+from vectide.llm import decontaminate, textnp
 from vectide.llm.textnp import ALNUM, Words, packed
 
 
@@ -48,7 +49,34 @@ def test_slices_of_pairs(monkeypatch):
     items, docs = tables()
     index = decontaminate.Index([i for i, _ in items], [t for _, t in items], 4)
     w = Words(*packed(pa.array([t for _, t in docs], pa.string())), ALNUM, lower=True)
-    found = index.search(w)
-    whole = [x.tolist() for x in decontaminate._matches(index, w, *found)]
+    whole = [x.tolist() for x in decontaminate.found(index, w)]
     monkeypatch.setattr(decontaminate, "PAIRS", 7)
-    assert whole[0] and whole == [x.tolist() for x in decontaminate._matches(index, w, *found)]
+    assert whole[2] and whole == [x.tolist() for x in decontaminate.found(index, w)]
+
+
+def test_suffix_array():
+    rnd = np.random.default_rng(1)
+    for n, kinds, depth in ((0, 3, 4), (1, 3, 4), (60, 3, 8), (200, 2, 200), (300, 50, 3)):
+        number = rnd.integers(0, kinds + 2, n)
+        sa = decontaminate.suffix_array(number, depth)
+        assert sorted(sa.tolist()) == list(range(n))
+        alone = {p: (0, p) for p in range(n) if number[p] < decontaminate.FIRST}  # these differ from all others, and sort first
+        key = lambda p: [alone.get(q, (1, int(number[q]))) for q in range(p, min(p + depth, n))]
+        assert [key(p) for p in sa] == sorted(key(p) for p in range(n))
+
+
+def test_words_of_equal_hash(monkeypatch):
+    """Where all words' hashes collide, their bytes decide."""
+    items, docs = tables()
+    texts = pa.array([t for _, t in docs], pa.string())
+    want = [x.tolist() for x in decontaminate.found(decontaminate.Index(*zip(*items), 4), Words(*packed(texts), ALNUM, lower=True))]
+    monkeypatch.setattr(textnp, "byte_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    got = [x.tolist() for x in decontaminate.found(decontaminate.Index(*zip(*items), 4), Words(*packed(texts), ALNUM, lower=True))]
+    assert got[:2] == want[:2] and sorted(got[2]) == sorted(want[2])
+
+
+def test_thue_morse(spark):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    d = spark.createDataFrame([(1, a.translate(str.maketrans("ab", "ba"))), (2, a)], "doc_id long, text string")
+    got = decontaminate.find_contamination(d, spark.createDataFrame([(1, a)], "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in got} == {1: 0, 2: 1}

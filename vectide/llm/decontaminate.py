@@ -1,18 +1,18 @@
 """Benchmark decontamination by suffix arrays over shards of the training documents.
 
-A shard is a block of whole documents in one task. Its suffix array holds, in word order, all suffixes that can begin a
-match (their first words occur in the benchmark). Every distinct window of the benchmark, which is the beginning of a
-test suffix, is binary-searched in it; the interval found is the list of its places. Each is compared with all places of
-the window in the items: those whose words before differ begin a longest verbatim match, those whose words after differ
-end one, and the two alternate on a diagonal (document place less item place). Documents are never shuffled.
+A shard is some whole documents of one task, as numbers of the benchmark's words (other words differ from all). Its suffix array
+is made by prefix doubling. Every suffix of every test item is binary-searched in it, word by word: the interval of shard suffixes
+that share its first words narrows until ``window`` words (all words of a shorter item) agree; the interval then lists
+all places. Places at which the word before differs begin a longest verbatim match, which is followed to its end. Test suffixes
+that begin with the same window share one search. Documents are never shuffled.
 
-The benchmark is read in blocks of ``index_bytes``; each block is one broadcast of that proven bound, and the blocks are
-searched one after the other, so the benchmark may have any size. Words are runs of a-z, 0-9 and non-ASCII bytes after
-lower-casing A-Z. An item of fewer words than the window is one window.
+The benchmark is read in blocks of ``index_bytes`` of characters; a block's index takes a small multiple of that. Each is one broadcast of that
+proven bound; a worker holds one at a time and lets it go before it loads the next, so that all blocks together need disk,
+not memory. Words are runs of a-z, 0-9 and non-ASCII bytes after lower-casing A-Z; they are compared by their bytes.
 
 Null texts have no words; items without words are never found; a null item id counts as the empty string; repeated rows
-are judged one by one; empty tables give empty results (documents) or no hits (benchmark); carried columns whose name a
-result column has are dropped.
+are judged one by one; empty tables give empty results (documents) or no hits (benchmark); very long texts are shards of their
+own; carried columns whose name a result column has are dropped.
 """
 
 from __future__ import annotations
@@ -22,79 +22,127 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.exchange import widened
-from vectide.llm.textnp import ALNUM, Words, blocks, covered, packed
-
-PAD_LOW, END, UNKNOWN, FIRST = 0, 1, 2, 3
-PAD_HIGH = 0xFFFFFFFF
-PAIRS = 1 << 20
-
-
-def _keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of word numbers as byte strings that sort like them."""
-    return np.ascontiguousarray(rows, ">u4").view(f"S{4 * rows.shape[1]}").ravel()
+from vectide.llm.exchange import lean, widened
+from vectide.llm.textnp import ALNUM, Words, blocks, covered, packed, same_bytes, word_numbers
+
+END, UNKNOWN, FIRST = 0, 1, 2
+PAIRS, SHARD_BYTES = 1 << 20, 2_000_000
+
+
+def suffix_array(number: np.ndarray, depth: int) -> np.ndarray:
+    """Places in the order of their suffixes' first words, depth of them at least; a number below FIRST differs from all others."""
+    n = len(number)
+    first = np.where(number < FIRST, np.arange(n), number.astype(np.int64) + n)
+    sa = np.argsort(first)
+    new = np.append(True, first[sa][1:] != first[sa][:-1])[:n]
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    rank[sa] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    slots, have = np.flatnonzero(~(new & np.append(new[1:], True)[:n])), 1
+    while len(slots) and have < depth:  # only suffixes that still share a rank are sorted again
+        live = sa[slots]
+        key = rank[live] * (n + 2) + rank[np.minimum(live + have, n)] + 1
+        order = np.argsort(key)
+        key, live = key[order], live[order]
+        new = np.append(True, key[1:] != key[:-1])
+        sa[slots] = live
+        rank[live] = slots[new][np.cumsum(new) - 1]
+        slots = slots[~(new & np.append(new[1:], True))]
+        have *= 2
+    return sa
 
 
 class Index:
-    """Distinct windows of some items, as keys to search for, and all items and places they stand for, with the words around them."""
+    """Words of some test items as numbers, and their suffixes, those that share their first words together."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
         w = Words(*packed(pa.array(texts, pa.string())), ALNUM, lower=True)
-        self.vocab = np.unique(w.hash)
-        word = np.searchsorted(self.vocab, w.hash) + FIRST
+        self.ids, self.window = ids, window
+        number, first, extra = word_numbers(w)
+        self.hashes = w.hash[first]  # sorted
+        self.size = w.end[first] - w.start[first]
+        self.at = np.cumsum(self.size) - self.size
+        self.letters = w.data[np.repeat(w.start[first] - self.at, self.size) + np.arange(int(self.size.sum()))]
+        self.extra = {k: v + FIRST for k, v in extra.items()}
         counts = w.counts
-        short = (counts > 0) & (counts < window)
-        at = np.concatenate([np.flatnonzero(w.left() >= window), w.bounds[:-1][short]]).astype(np.int64)
-        size = np.concatenate([np.full(len(at) - int(short.sum()), window), counts[short]]).astype(np.int64)
-        cols = np.arange(window)
-        rows = np.where(cols < size[:, None], np.append(word, np.zeros(window, int))[at[:, None] + cols], PAD_LOW)
-        _, first, back = np.unique(_keys(rows), return_index=True, return_inverse=True) if len(at) else (None, np.zeros(0, int), np.zeros(0, int))
-        self.low, self.size = rows[first], size[first]
-        self.least = int(size.min()) if len(size) else window
-        item, place = w.doc[at] if len(at) else at, w.at()[at] if len(at) else at
-        order = np.lexsort([place, item, back])
-        self.bounds = np.searchsorted(back[order], np.arange(len(first) + 1))
-        self.item, self.place, self.ids, self.window = item[order], place[order], ids, window
-        self.before, self.after = (x[order] for x in _around(word, at, size, w, PAD_LOW))
+        need = np.minimum(counts, window)[w.doc]
+        # An END after each item; places of words move by the number of items before them.
+        self.number = np.zeros(len(w) + len(counts) + 1, np.int64)
+        place = np.arange(len(w)) + w.doc
+        self.number[place] = number + FIRST
+        self.longest = int(counts.max(initial=0))
+        starts = np.flatnonzero(w.left() >= need)
+        item, word, at, need = w.doc[starts], w.at()[starts], place[starts], need[starts]
+        order = np.lexsort([word, item])
+        for k in range(window - 1, -1, -1):
+            order = order[np.argsort(np.where(k < need, self.number[np.minimum(at + k, len(self.number) - 1)], END)[order], kind="stable")]
+        self.item, self.word, self.place, self.need = item[order], word[order], at[order], need[order]
+        new = np.ones(len(order), bool)
+        if len(order):
+            same = self.need[1:] == self.need[:-1]
+            for k in range(window):
+                same &= (k >= self.need[1:]) | (self.number[np.minimum(self.place[1:] + k, len(self.number) - 1)] == self.number[np.minimum(self.place[:-1] + k, len(self.number) - 1)])
+            new[1:] = ~same
+        self.head = np.flatnonzero(new)
+        self.many = np.diff(np.append(self.head, len(order)))
 
     def words(self, w: Words) -> np.ndarray:
-        """Numbers of a shard's words."""
-        if not len(self.vocab):
+        """Numbers of a shard's words, UNKNOWN for those no item has."""
+        if not len(self.hashes):
             return np.full(len(w), UNKNOWN)
-        place = np.minimum(np.searchsorted(self.vocab, w.hash), len(self.vocab) - 1)
-        return np.where(self.vocab[place] == w.hash, place + FIRST, UNKNOWN)
-
-    def search(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Window numbers and words of the shard at which they begin."""
-        none = np.zeros(0, np.int64)
-        if not len(self.size) or not len(w):
-            return none, none
-        word = self.words(w)
-        known = word != UNKNOWN
-        left = w.left()
-        run = np.concatenate([[0], np.cumsum(known)])
-        n = np.arange(len(w))
-        eligible = np.flatnonzero((left >= self.least) & (run[np.minimum(n + self.least, len(w))] - run[n] == self.least))
-        if not len(eligible):
-            return none, none
-        cols = np.arange(self.window)
-        rows = np.where(cols < left[eligible][:, None], np.append(word, np.zeros(self.window, int))[eligible[:, None] + cols], END)
-        keys = _keys(rows)
-        array = np.argsort(keys, kind="stable")  # the suffix array
-        keys = keys[array]
-        high = np.where(self.low == PAD_LOW, PAD_HIGH, self.low)
-        a, b = np.searchsorted(keys, _keys(self.low), "left"), np.searchsorted(keys, _keys(high), "right")
-        many = b - a
-        at = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        return np.repeat(np.arange(len(many)), many), eligible[array[at]]
-
-
-def _around(word: np.ndarray, at: np.ndarray, size: np.ndarray, w: Words, none: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words before and after runs of words of a text, none at its ends."""
-    padded = np.concatenate([[none], word, [none]])
-    doc = w.doc[at]
-    first, end = w.bounds[:-1][doc], w.bounds[1:][doc]
-    return np.where(at > first, padded[at], none), np.where(at + size < end, padded[at + size + 1], none)
+        at = np.minimum(np.searchsorted(self.hashes, w.hash), len(self.hashes) - 1)
+        found = np.flatnonzero((self.hashes[at] == w.hash))
+        k = at[found]
+        size = w.end[found] - w.start[found]
+        same = size == self.size[k]
+        same[same] = same_bytes(w.data, w.start[found[same]], self.letters, self.at[k[same]], size[same])
+        out = np.full(len(w), UNKNOWN)
+        out[found[same]] = k[same] + FIRST
+        for x in found[~same]:
+            out[x] = self.extra.get(w.data[w.start[x] : w.end[x]].tobytes(), UNKNOWN)
+        return out
+
+
+class Shard:
+    """Documents of a shard as numbers of an index, an END before and after each, and their suffix array."""
+
+    def __init__(self, index: Index, w: Words):
+        self.shift = w.doc + 1
+        self.number = np.zeros(len(w) + len(w.counts) + 1, np.int64)
+        self.number[np.arange(len(w)) + self.shift] = index.words(w)
+        self.sa = suffix_array(self.number, index.longest)
+
+    def search(self, index: Index) -> tuple[np.ndarray, np.ndarray]:
+        """For each distinct beginning of test suffixes, the interval of the suffix array that shares all its needed words."""
+        at, need = index.place[index.head], index.need[index.head]
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.sa))
+        live = np.arange(len(at))
+        for k in range(index.window):
+            live = live[(need[live] > k) & (hi[live] > lo[live])]
+            if not len(live):
+                break
+            target = index.number[at[live] + k]
+            a, b = lo[live], hi[live]
+            lo[live] = self._bound(a, b, k, target, False)
+            hi[live] = self._bound(lo[live], b, k, target, True)
+        return lo, hi
+
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, k: int, target: np.ndarray, past: bool) -> np.ndarray:
+        """First of [lo, hi), or hi, whose k-th word is not below target (past: is above it)."""
+        lo, hi = lo.copy(), hi.copy()
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            word = self.number[np.minimum(self.sa[mid] + k, len(self.number) - 1)]
+            right = word <= target[live] if past else word < target[live]
+            lo[live[right]] = mid[right] + 1
+            hi[live[~right]] = mid[~right]
+            live = live[lo[live] < hi[live]]
+        return lo
+
+
+def _expanded(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
 
 
 def _slices(many: np.ndarray):
@@ -106,33 +154,50 @@ def _slices(many: np.ndarray):
         a = b
 
 
-def _matches(index: Index, w: Words, window: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All longest matches: text, item, item place, place in the text, words."""
-    before, after = _around(index.words(w), at, index.size[window], w, END)
-    many = index.bounds[window + 1] - index.bounds[window]
-    heads, lasts = [], []
-    for a, b in _slices(many):
-        n = many[a:b]
-        row = np.repeat(np.arange(a, b), n)
-        flat = np.repeat(index.bounds[window[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        # a short item is all of its one window; a word that no item has, and a text's end, differ from all
-        short = index.size[window[row]] < index.window
-        for found, theirs, mine in ((heads, index.before, before), (lasts, index.after, after)):
-            take = short | (theirs[flat] != mine[row])
-            r, f = row[take], flat[take]
-            found.append(np.stack([w.doc[at[r]], index.item[f], at[r] - index.place[f], at[r], index.place[f], index.size[window[r]]]))
-    head, last = (np.concatenate(x, 1) if x else np.zeros((6, 0), np.int64) for x in (heads, lasts))
-    head, last = (x[:, np.lexsort(x[3::-1])] for x in (head, last))  # by text, item, diagonal, place
-    doc, item, _, pos, place, _ = head
-    return doc, item, place, pos - w.bounds[:-1][doc], last[3] + last[5] - pos
+def found(index: Index, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a shard that are hit; (document, item) pairs; all longest matches as rows of document, item, item place, place, words."""
+    none = np.zeros((0, 2), np.int64), np.zeros((0, 5), np.int64)
+    if not (len(w) and len(index.head)):
+        return np.zeros(len(w), bool), *none
+    shard = Shard(index, w)
+    lo, hi = shard.search(index)
+    group = np.flatnonzero(hi > lo)
+    if not len(group):
+        return np.zeros(len(w), bool), *none
+    many = (hi - lo)[group]
+    spot = shard.sa[_expanded(lo[group], many)]  # in the numbers; words are shift places before
+    text = np.searchsorted(np.arange(len(w.counts)) + w.bounds[:-1], spot, "right") - 1
+    hit = covered(spot - text - 1, np.repeat(index.need[index.head[group]], many), len(w))
+    pairs, matches = [none[0]], [none[1]]
+    row = np.repeat(group, many)
+    tests = index.many[row]
+    for a, b in _slices(tests):
+        size = tests[a:b]
+        test = _expanded(index.head[row[a:b]], size)
+        at, doc = np.repeat(spot[a:b], size), np.repeat(text[a:b], size)
+        pairs.append(np.unique(np.stack([doc, index.item[test]], 1), axis=0))
+        # A match begins where the words before differ, or at an end; an item of fewer words than a window has one suffix only.
+        before = np.where(index.word[test] > 0, index.number[index.place[test] - 1], END)
+        begins = (before != shard.number[at - 1]) | (before < FIRST) | (index.need[test] < index.window)
+        test, at, doc = test[begins], at[begins], doc[begins]
+        length = index.need[test].copy()
+        live = np.arange(len(test))
+        while len(live):
+            mine, theirs = index.number[index.place[test[live]] + length[live]], shard.number[np.minimum(at[live] + length[live], len(shard.number) - 1)]
+            live = live[(mine == theirs) & (mine >= FIRST)]
+            length[live] += 1
+        matches.append(np.stack([doc, index.item[test], index.word[test], at - doc - 1 - w.bounds[:-1][doc], length], 1))
+    return hit, np.unique(np.concatenate(pairs), axis=0), np.concatenate(matches)
 
 
 MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("length", pa.int64())])
 
 
 def _indexes(benchmark: DataFrame, window: int, id_col: str, text_col: str, index_bytes: int) -> list:
+    """Broadcast blocks of the benchmark; the driver, too, reads and pickles one at a time."""
     spark, out, ids, texts, size = benchmark.sparkSession, [], [], [], 0
     rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
+
     for r in rows.toLocalIterator():
         ids.append(r.i)
         texts.append(r.t)
@@ -145,31 +210,41 @@ def _indexes(benchmark: DataFrame, window: int, id_col: str, text_col: str, inde
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None, index_bytes: int = 8_000_000) -> DataFrame:
-    """doc_id, carried columns, n_words, n_hit, items (ids sorted as strings), matches, contaminated."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None, index_bytes: int = 8_000_000, only_clean: bool = False) -> DataFrame:
+    """doc_id, carried columns, n_words, n_hit, items (ids sorted as strings), matches, contaminated. only_clean: of documents without hits."""
     new = ["n_words", "n_hit", "items", "matches", "contaminated"]
     carry = [c for c in carry or [] if c not in {*new, "doc_id", id_col}]
     indexes = _indexes(benchmark, window, item_id_col, item_text_col, index_bytes)
     frame = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("__text"))
 
+    @lean
     def run(batches):
         for batch in batches:
             data, off = packed(batch.column("__text"))
-            for i, j in blocks(off):
-                w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM, lower=True)
-                gone, items, matches = np.zeros(len(w), bool), [set() for _ in range(j - i)], [[] for _ in range(j - i)]
-                for shared in indexes:
-                    index = shared.value
-                    win, at = index.search(w)
-                    if not len(at):
-                        continue
-                    gone |= covered(at, index.size[win], len(w))
-                    for doc, item, place, pos, size in zip(*(x.tolist() for x in _matches(index, w, win, at))):
+            shards = list(blocks(off, SHARD_BYTES))
+            results = [(np.zeros(0, bool), [set() for _ in range(j - i)], [[] for _ in range(j - i)], np.zeros(j - i, np.int64)) for i, j in shards]
+            for shared in indexes:
+                index = shared.value
+                for s, (i, j) in enumerate(shards):
+                    w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM, lower=True)
+                    hit, pairs, matches = found(index, w)
+                    gone, items, places, _ = results[s]
+                    gone = gone | hit if len(gone) else hit
+                    for doc, item in pairs.tolist():
                         items[doc].add(index.ids[item])
-                        matches[doc].append((index.ids[item], place, pos, size))
-                hit = np.bincount(w.doc[gone], minlength=j - i).astype(np.int64)
-                found = pa.array([[dict(zip(("item_id", "item_start", "doc_start", "length"), m)) for m in x] for x in matches], pa.list_(MATCH))
+                    for doc, item, *place in matches.tolist():
+                        places[doc].append(dict(zip(("item_id", "item_start", "doc_start", "length"), (index.ids[item], *place))))
+                    results[s] = gone, items, places, w.counts
+                del index
+                if len(indexes) > 1:
+                    vars(shared).pop("_value", None)  # one block at a time
+            for (i, j), (gone, items, places, counts) in zip(shards, results):
+                total = np.concatenate([[0], np.cumsum(gone)])
+                hits = np.diff(total[np.concatenate([[0], np.cumsum(counts)])]) if len(gone) else np.zeros(j - i, np.int64)
                 own = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*[own.column(k) for k in range(1 + len(carry))], pa.array(w.counts, pa.int64()), pa.array(hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), found, pa.array(hit > 0)], names=["doc_id", *carry, *new])
+                cols = [*[own.column(k) for k in range(1 + len(carry))], pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(places, pa.list_(MATCH)), pa.array(hits > 0)]
+                out = pa.RecordBatch.from_arrays(cols, names=["doc_id", *carry, *new])
+                yield out.filter(pa.array(hits == 0)) if only_clean else out
+                del own, cols, out
 
     return frame.mapInArrow(run, widened(frame.drop("__text").schema, "n_words long, n_hit long, items array<string>, matches array<struct<item_id:string,item_start:bigint,doc_start:bigint,length:bigint>>, contaminated boolean"))

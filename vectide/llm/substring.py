@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import exchange as X
-from vectide.llm.textnp import Words, blocks, covered, distinct_bytes, joined, mix64, packed, same_bytes, sliding_min, strings, unplanes, window_hashes
+from vectide.llm.textnp import Words, blocks, covered, distinct_bytes, joined, mix64, packed, sliding_min, strings, unplanes, window_hashes, word_numbers
 
 ANCHOR_BITS, COUNT_BITS, HOT, BATCH = 48, 8, 5000, 20_000
 POSITION = np.uint64((1 << 28) - 1)
@@ -161,17 +161,6 @@ def _places(table: pa.Table, answers: pa.Table, r: int, block: int, window: int)
     return X.rows(out)
 
 
-def _numbers(w: Words) -> np.ndarray:
-    """A number for each word, equal for equal bytes only."""
-    _, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-    size, like = w.end - w.start, first[back]
-    odd = np.flatnonzero((size != size[like]) | ~same_bytes(w.data, w.start, w.data, w.start[like], size))
-    extra: dict[bytes, int] = {}
-    for k in odd:
-        back[k] = len(first) + extra.setdefault(w.data[w.start[k] : w.end[k]].tobytes(), len(extra))
-    return back
-
-
 def extended(number: np.ndarray, bounds: np.ndarray, key: np.ndarray, before: np.ndarray, window: int) -> np.ndarray:
     """Which windows (by their words before the anchor) of each stretch stand in another stretch of its key too.
 
@@ -244,7 +233,7 @@ def _extend(table: pa.Table, window: int) -> pa.Table:
             inner = np.arange(int(size[x].sum())) - np.repeat(np.cumsum(size[x]) - size[x], size[x])
             text[np.repeat(at, size[x]) + inner] = flat[np.repeat(start[x], size[x]) + inner]
             w = Words(text, np.append(at, len(text)))
-            row, left = np.nonzero(extended(_numbers(w), w.bounds, key[x], before[x], window) & single[:, None])
+            row, left = np.nonzero(extended(word_numbers(w)[0], w.bounds, key[x], before[x], window) & single[:, None])
             rows.append(x[row])
             begin.append(first[x[row]] + before[x[row]] - left)
             windows.append(np.ones(len(row), "i8"))

@@ -196,6 +196,17 @@ class Words:
         return at, window_hashes(self.hash, k)[at]
 
 
+def word_numbers(w: Words) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """A number for each word, equal for equal bytes only; the first word of each hash; numbers of words whose hash another word has."""
+    _, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+    size, like = w.end - w.start, first[back]
+    odd = np.flatnonzero((size != size[like]) | ~same_bytes(w.data, w.start, w.data, w.start[like], size))
+    extra: dict[bytes, int] = {}
+    for k in odd:
+        back[k] = extra.setdefault(w.data[w.start[k] : w.end[k]].tobytes(), len(first) + len(extra))
+    return back, first, extra
+
+
 def word_counts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACES) -> np.ndarray:
     """Words of each text."""
     first = table[data]
