@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -7,6 +8,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from vectide.llm import pretokens
 from vectide.llm.packing import default_tokenizer, pack_documents, plan
 from vectide.llm.pretokens import encoder
 from vectide.llm.textnp import packed
@@ -33,6 +35,29 @@ def test_any_text(texts):
     assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == ids(texts)
 
 
+def test_thue_morse_and_equal_hashes(monkeypatch):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    texts = [a, a.translate(str.maketrans("ab", "ba")), "a few words, a few more"]
+    ENC.clear()
+    for _ in range(2):
+        flat, bounds = ENC.encode(*packed(pa.array(texts, pa.string())))
+        assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == ids(texts)
+        ENC.clear()
+        monkeypatch.setattr(pretokens, "byte_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    ENC.clear()
+
+
+def test_other_tokenizers():
+    """Whatever the tokenizer's split is, its own ids come out."""
+    folder = os.path.dirname(default_tokenizer())
+    texts = ["Some words don't  split\nalike ", "", "été 12 345!"]
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".json") and "bpe" in name:
+            e = encoder(os.path.join(folder, name))
+            flat, bounds = e.encode(*packed(pa.array(texts, pa.string())))
+            assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_plan_holds_histogram():
     rnd = np.random.default_rng(1)
     for size, n in ((16, 50), (64, 5000), (1024, 20000), (1024, 0)):

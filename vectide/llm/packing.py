@@ -5,10 +5,13 @@ is short. The histogram of piece lengths (bounded by the sequence size) goes to
 lengths that fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative least squares,
 rounded down, and what is left is packed by best fit over the histogram. Pieces of one length are interchangeable: each
 gets a rank among them (counted by task, then summed over tasks, so a common length is no hot key), and the rank alone
-says which sequence and place it gets.
+says which sequence and place it gets. The sums before each task are broadcast where they are small, else joined.
 
-Null texts are empty (the end id alone); repeated rows are documents of their own; empty tables give an empty result;
-other input columns are not read.
+``max_patterns`` bounds the driver's work for sequences of over 1024 (all 87,381 triples of that size are under it): beyond it
+triples are taken of every second, third, ... length. Patterns only propose; best fit packs every piece they leave.
+
+Null texts are empty (the end id alone); very long texts are many pieces; repeated rows are documents of their own; pieces of one
+length are told apart by the order of their tasks only; empty tables give an empty result; other input columns are not read.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.exchange import checkpointed, widened
+from vectide.llm.exchange import checkpointed, lean, widened
 from vectide.llm.pretokens import encoder
 from vectide.llm.textnp import blocks, packed
 
-MAX_PATTERNS = 24_000
+MAX_PATTERNS, BROADCAST_ROWS = 100_000, 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -34,10 +37,14 @@ def default_tokenizer() -> str:
 
 
 def tokenized_pieces(docs: DataFrame, size: int, path: str, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+    """Pieces, each with its task and its rank among the pieces of its length in that task."""
     frame = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
+    @lean
     def run(batches):
-        encode = encoder(path).encode
+        from pyspark import TaskContext
+
+        encode, task, seen = encoder(path).encode, TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             data, off = packed(batch.column("text"))
             for i, j in blocks(off):
@@ -52,14 +59,19 @@ def tokenized_pieces(docs: DataFrame, size: int, path: str, end_id: int, id_col:
                 start = np.where(piece == 0, 0, short + (piece - 1) * size)
                 length = np.where(piece == 0, short, size)
                 at = begin[row] + start
-                cols = [batch.column("doc_id").slice(i, j - i).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(flat[a : a + m].tobytes()) for a, m in zip(at, length)], pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                order = np.argsort(length, kind="stable")
+                vals, first, many = np.unique(length[order], return_index=True, return_counts=True)
+                rank = np.empty(len(length), np.int64)
+                rank[order] = np.arange(len(length)) - np.repeat(first, many) + np.repeat(seen[vals], many)
+                seen[vals] += many
+                cols = [batch.column("doc_id").slice(i, j - i).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(flat[a : a + m].tobytes()) for a, m in zip(at, length)], pa.int64()), pa.array(np.full(len(row), task), pa.int32()), pa.array(rank)]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
                 if with_ids:
                     cols.append(pa.array([flat[a : a + m] for a, m in zip(at, length)], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return frame.mapInArrow(run, widened(frame.select("doc_id").schema, "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids))
+    return frame.mapInArrow(run, widened(frame.select("doc_id").schema, "piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids array<int>" * with_ids))
 
 
 def patterns(hist: np.ndarray, size: int, limit: int = MAX_PATTERNS) -> np.ndarray:
@@ -123,12 +135,12 @@ def best_fit(hist: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     return [x for group in open_ for x in group]
 
 
-def plan(hist: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+def plan(hist: np.ndarray, size: int, max_patterns: int = MAX_PATTERNS) -> list[tuple[tuple[int, ...], int]]:
     """Length patterns and how often each is used; together they hold exactly the histogram."""
     left = hist.astype(np.int64).copy()
     out = [((size,), int(left[size]))] if left[size] else []
     left[size] = 0
-    pats = patterns(left, size)
+    pats = patterns(left, size, max_patterns)
     x = fit(left, pats)
     for k in np.argsort(-x, kind="stable"):
         many = int(x[k])
@@ -158,42 +170,27 @@ def places(packing: list[tuple[tuple[int, ...], int]], size: int) -> tuple[np.nd
     return table[:, 0], table[:, 1], table[:, 2]
 
 
-def _rank(batches):
-    """Rank of each piece among those of its length in its task."""
-    from pyspark import TaskContext
-
-    task, seen = TaskContext.get().partitionId(), {}
-    for batch in batches:
-        length = batch.column("length").to_numpy()
-        order = np.argsort(length, kind="stable")
-        vals, first, many = np.unique(length[order], return_index=True, return_counts=True)
-        rank = np.empty(len(length), np.int64)
-        rank[order] = np.arange(len(length)) - np.repeat(first, many) + np.repeat([seen.get(int(v), 0) for v in vals], many)
-        for v, m in zip(vals, many):
-            seen[int(v)] = seen.get(int(v), 0) + int(m)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), task), pa.int32()), pa.array(rank)], names=[*batch.schema.names, "task", "rank"])
-
-
-def pack_documents(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
     pieces = tokenized_pieces(docs, size, tokenizer or default_tokenizer(), end_id, id_col, text_col, with_ids)
-    pieces = checkpointed(pieces)  # ids are made once, and the tasks below are the same in every run
-    ranked = pieces.mapInArrow(_rank, widened(pieces.schema, "task int, rank long"))
-    counts = ranked.groupBy("task", "length").agg(F.count("*").alias("n"))
-    hist = np.zeros(size + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    pieces = checkpointed(pieces)  # ids and ranks are made once, and what follows is the same in every run
+    counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
+    hist, sums = np.zeros(size + 1, np.int64), 0
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("tasks")).collect():  # size rows at most
         hist[r.length] = r.n
-    keys, seqs, offs = places(plan(hist, size), size)
+        sums += r.tasks
+    keys, seqs, offs = places(plan(hist, size, max_patterns), size)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    whole = ranked.join(base, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
-
-    names = pieces.columns
+    base = F.broadcast(base) if sums <= BROADCAST_ROWS else base  # one row a task and length: 16 bytes each
+    whole = pieces.join(base, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
+    names = [c for c in pieces.columns if c not in ("task", "rank")]
 
+    @lean
     def place(batches):
         for batch in batches:
             rank = batch.column("rank").to_numpy()
             k = np.searchsorted(keys, batch.column("length").to_numpy() * (1 << 40) + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(seqs[k] + rank), pa.array(offs[k])], names=[*names, "sequence_id", "offset"])
 
-    return whole.mapInArrow(place, widened(pieces.schema, "sequence_id long, offset long"))
+    return whole.mapInArrow(place, widened(pieces.select(names).schema, "sequence_id long, offset long"))

@@ -1,17 +1,18 @@
 """Byte-level BPE ids of whole texts, with every distinct pre-token encoded once a worker.
 
 Pre-token borders of the GPT-2 split pattern are found with array operations on character classes; pre-tokens are
-hashed, and only those not yet in the worker's bounded cache go to the tokenizer. Texts with a special token's string
-are encoded by the tokenizer as they are.
+hashed, and only those not yet in the worker's bounded cache go to the tokenizer. What has an equal hash is compared byte for
+byte. Texts with a special token's string, and all texts of a tokenizer with another split, are encoded by the tokenizer as they are.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import numpy as np
 
-from vectide.llm.textnp import byte_hashes
+from vectide.llm.textnp import byte_hashes, same_bytes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 CACHE_LIMIT = 1_500_000
@@ -79,29 +80,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        self.known = parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.flat, self.body, self.begin, self.width = np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = self.plain(texts)
-        size = np.array([len(x) for x in ids], np.int64)
-        at = len(self.flat) + np.cumsum(size) - size
+    def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        ids = self.plain([t.decode() for t in texts])
+        size, width = np.array([len(x) for x in ids], np.int64), np.array([len(t) for t in texts], np.int64)
+        new = [keys, len(self.flat) + np.cumsum(size) - size, size, len(self.body) + np.cumsum(width) - width, width]
         self.flat = np.concatenate([self.flat, np.array([y for x in ids for y in x], np.uint32)])
-        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
+        self.body = np.concatenate([self.body, np.frombuffer(b"".join(texts), np.uint8)])
+        cols = [np.concatenate(c) for c in zip((self.keys, self.at, self.size, self.begin, self.width), new)]
+        order = np.argsort(cols[0], kind="stable")
+        self.keys, self.at, self.size, self.begin, self.width = (c[order] for c in cols)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         raw = data.tobytes()
-        if any(s in raw for s in self.special):
+        if not self.known or any(s in raw for s in self.special):
             ids = self.plain([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])])
             return np.array([y for x in ids for y in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         head = np.flatnonzero((data & 0xC0) != 0x80)  # byte of each code point
@@ -116,11 +121,22 @@ class Encoder:
         place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = self.keys[place] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if new.any():
-            self.learn(distinct[new], [raw[first[w] : last[w]].decode() for w in where[new]])
+            self.learn(distinct[new], [raw[first[w] : last[w]] for w in where[new]])
             place = np.searchsorted(self.keys, distinct)
-        size = self.size[place][back]
+        place = place[back]
+        width, size, at = last - first, self.size[place], self.at[place]
+        same = width == self.width[place]
+        same[same] = same_bytes(data, first[same], self.body, self.begin[place[same]], width[same])
+        if not same.all():  # equal hashes of different pre-tokens
+            odd = np.flatnonzero(~same)
+            ids = self.plain([raw[first[k] : last[k]].decode() for k in odd])
+            size[odd] = [len(x) for x in ids]
+            at[odd] = len(self.flat) + np.cumsum(size[odd]) - size[odd]
+            flat = np.concatenate([self.flat, np.array([y for x in ids for y in x], np.uint32)])
+        else:
+            flat = self.flat
         ends = np.cumsum(size)
-        flat = self.flat[np.repeat(self.at[place][back] - (ends - size), size) + np.arange(int(ends[-1]))]
+        flat = flat[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]))]
         bounds = np.concatenate([[0], ends])[np.searchsorted(first, offsets)]
         return flat, bounds
 
