@@ -88,7 +88,7 @@ def test_all_repeats_come_from_the_transform(monkeypatch):
     """Without grouping of copies by content, what the transform says is all that is removed; with one that finds nothing, nothing is."""
     docs = documents(9)
 
-    def all_new(data, key, start, size):
+    def all_new(data, key, start, size, hashes=None):
         order = np.argsort(key, kind="stable")
         return order, np.ones(len(order), bool)
 

@@ -39,11 +39,11 @@ BYTES = ["u8", "i8", "i8", "u4", "u4", "u1"]  # key, doc id, hash of the text, d
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndarray]:
-    """Key, text, first byte, windows, left hash, right hash of each segment."""
+    """Key, text, first byte, windows, left hash, right hash, hash of each segment."""
     k = min(K, length)
     span, n = length - k + 1, len(data)
     if n < length:
-        return [np.zeros(0, np.int64)] * 6
+        return [np.zeros(0, np.int64)] * 7
     h = _strings(data, k) if k >= 8 else mix64(lanes(data)[: n - k + 1] & np.uint64((1 << 8 * k) - 1))
     at = np.arange(len(h))
     least = sliding_min((h & ~POSITION) | at.astype(np.uint64), span) & POSITION
@@ -55,18 +55,21 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndar
     valid = np.cumsum(valid[: len(least)], dtype=np.int8) > 0
     p = np.flatnonzero(valid)
     if not len(p):
-        return [np.zeros(0, np.int64)] * 6
+        return [np.zeros(0, np.int64)] * 7
     m = least[p].astype(np.int64)
     head = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (p[1:] != p[:-1] + 1)))
     first, m = p[head], m[head]
     count = np.diff(np.append(head, len(p)))
     end = first + count - 1 + length
     doc = np.searchsorted(offsets, first, "right") - 1
-    half = (length - k) // 2
+    half = min((length - k) // 2, max(64 - k, 0))
     left, right = m - half, m + k + half
     short = lambda a, b, ok: np.where(ok, (byte_hashes(data, np.where(ok, a, 0), np.where(ok, b, 0)) & np.uint64(0xFFFFFFFF)) | np.uint64(1), np.uint64(0))
+    whole = (m - first).astype(np.uint64)
+    for step in range(0, 2 * length - k, k):
+        whole = join64(whole, h[np.minimum(first + step, end - k)])
     # minimizer hashes are small, so they are mixed again
-    return [mix64(h[m] ^ np.uint64(0x2545F4914F6CDD1D)), doc, first, count, short(left, m + k, left >= first), short(m, right, right <= end)]
+    return [mix64(h[m] ^ np.uint64(0x2545F4914F6CDD1D)), doc, first, count, short(left, m + k, left >= first), short(m, right, right <= end), whole]
 
 
 def _strings(data: np.ndarray, k: int) -> np.ndarray:
@@ -89,9 +92,9 @@ def _scan(table: pa.Table, r: int, length: int) -> pa.Table:
         parts.append([own[0], own[1] + i, own[2] + off[i], *own[3:]])
     if not sum(len(p[0]) for p in parts):
         return X.rows([])
-    key, doc, start, count, left, right = (np.concatenate(c) for c in zip(*parts))
+    key, doc, start, count, left, right, whole = (np.concatenate(c) for c in zip(*parts))
     del parts
-    order, new = distinct_bytes(data, key, start, count - 1 + length)
+    order, new = distinct_bytes(data, key, start, count - 1 + length, whole)
     again = order[~new]
     out = [(chunk % r, chunk, 1, X.dump(*X.merged(doc[again], start[again] - off[doc[again]], count[again])))]
     more = np.append(~new[1:], False)[new] if len(new) else new
@@ -169,18 +172,30 @@ def _ship(table: pa.Table, answers: pa.Table, r: int, length: int) -> pa.Table:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Cyclic suffixes in the order of their first bytes, depth of them at least, by prefix doubling."""
+    """Cyclic suffixes in the order of their first bytes, depth of them at least, by prefix doubling; for texts of under 2**21 bytes.
+
+    Keys and places share one number, as sorting numbers is faster than sorting places by them.
+    """
     n = len(text)
-    key, have = np.zeros(n, np.uint64), 8
-    for k in range(8):
+    bits = np.uint64(21)
+    if n >= 1 << 21:
+        raise ValueError("a text of under 2**21 bytes is needed")
+    key, have = np.zeros(n, np.uint64), 5
+    for k in range(5):
         key = (key << np.uint64(8)) | np.roll(text, -k).astype(np.uint64)
+    place, mask = np.arange(n, dtype=np.uint64), np.uint64((1 << 21) - 1)
+    rank = np.empty(n, np.uint64)
     while True:
-        order = np.argsort(key)
+        key <<= bits
+        key |= place
+        key.sort()
+        order = (key & mask).astype(np.int64)
         if have >= depth:
             return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1])).astype(np.uint64)
-        key = rank * np.uint64(n) + np.roll(rank, -have)
+        key >>= bits
+        new = np.append(np.uint64(0), (key[1:] != key[:-1]).astype(np.uint64))
+        rank[order] = np.cumsum(new)
+        key = (rank << bits) | np.roll(rank, -have)
         have *= 2
 
 
@@ -317,6 +332,8 @@ def dedup_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
         raise ValueError("length must be 2 to 255 bytes")
     n, r = X.partitions(docs, n, text_col)
     hot = hot or max(TEXT_BYTES // (2 * length), 2)
+    if (hot + 1) * 2 * length + TEXT_BYTES >= 1 << 21:
+        raise ValueError("the segments of one key would not fit a text")
     parts = X.chunked(docs, n, id_col, text_col)
     records = parts.groupBy("chunk").applyInArrow(lambda t: _scan(t, r, length), X.ROWS)
     answers = records.groupBy("dest").applyInArrow(lambda t: _compare(t, hot), X.ROWS)

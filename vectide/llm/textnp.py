@@ -97,9 +97,10 @@ def same_bytes(data: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray
     return same
 
 
-def distinct_bytes(data: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct_bytes(data: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order by key and content (equal ones as they come), and whether each in that order is the first of its equals; bytes are compared."""
-    order = np.lexsort([byte_hashes(data, start, start + size), key])
+    order = np.argsort(join64(key, byte_hashes(data, start, start + size) if hashes is None else hashes), kind="stable")
+    order = order[np.argsort(key[order], kind="stable")]
     new = np.ones(len(order), bool)
     if len(order):
         a, b = order[:-1], order[1:]
