@@ -1,6 +1,11 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
+from vectide.llm import quality_rules, textnp
 from vectide.llm.quality_rules import apply_quality_rules
 
 
@@ -37,6 +42,37 @@ def test_verdicts_and_order(spark):
     junk = [" ".join(word() + "###" for _ in range(60)), " ".join(word().upper() + "!!" for _ in range(60)), "\n".join([clean[0][:40], word()] * 30)]
     df = spark.createDataFrame(list(enumerate(clean + junk)), "doc_id long, text string")
     a = {r.doc_id: r.kept for r in apply_quality_rules(df).collect()}
-    b = {r.doc_id: r.kept for r in apply_quality_rules(df, order=["top_word", "dup_lines", "few_letters", "shouting", "exclaiming", "word_length", "symbols"]).collect()}
+    b = {r.doc_id: r.kept for r in apply_quality_rules(df, order=list(quality_rules.RULES)[::-1]).collect()}
     assert a == b == {i: i < 5 for i in range(8)}
     assert apply_quality_rules(df.limit(0)).collect() == []
+
+
+def test_what_was_counted_is_kept():
+    """Counts carried from texts to some of them equal counts made anew, and each rule's own counts are right."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice("a b c é# D!\n \n12".split(" ")) for _ in range(rnd.randint(0, 40))) for _ in range(30)]
+    data, off = textnp.packed(pa.array(texts))
+    t = quality_rules.Texts(data, off)
+    quality_rules.base_failed(t), t.word_chars, t.n_symbols, t.lines
+    keep = np.array([k % 3 > 0 for k in range(30)])
+    some = t.take(keep)
+    new = quality_rules.Texts(*textnp.packed(pa.array([x for x, k in zip(texts, keep) if k])))
+    for name, rule in quality_rules.RULES.items():
+        assert (rule(some) == rule(new)).all(), name
+    for n in (1, 2, 3):
+        want = [max(Counter(tuple(w[p : p + n]) for p in range(len(w) - n + 1)).values(), default=0) for w in (re.findall(r"[^\x20\x09-\x0D]+", x) for x in texts)]
+        assert quality_rules._top_gram(t, n).tolist() == want
+    for x, e in zip(texts, quality_rules._entropy(t)):
+        p = [c / len(x.encode()) for c in Counter(x.encode()).values()]
+        assert abs(e + sum(q * np.log2(q) for q in p)) < 1e-9
+
+
+def test_only_empty_texts(spark):
+    rows = apply_quality_rules(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").coalesce(1)).collect()
+    assert [(r.n_words, r.n_dup_lines, r.base_failed, r.kept) for r in rows] == [(0, 0, True, False)] * 2
+
+
+def test_thue_morse(spark):
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    df = spark.createDataFrame([(1, a + "\n" + a.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert apply_quality_rules(df).first().n_dup_lines == 0

@@ -1,13 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
 Base counts are made for every text; texts that fail the base go no further. The other rules run in ascending order
-of cost per rejection: each rule is timed, and its rejections counted, on a sample of rows, and rules with the most
-rejections per second come first. A rule sees only texts that all rules before it kept. The verdict doesn't depend on
-the order, only the time and ``failed_rule`` do.
-
-Null texts count as empty and fail the base (too few words); empty tables give empty results; repeated rows are
-judged one by one; input columns other than id, text and ``carry`` are not read, and carried columns whose name
-a result column has are dropped.
+of cost per rejection: each rule is timed, and its rejections counted, on a sample of rows (by a hash of id and text), and rules
+with the most rejections per second come first. A rule is timed as the cascade pays for it: with what the base has counted at hand, on texts
+that pass the base. A rule sees only texts that all rules before it kept; what was counted for them is kept, not made again. The verdict
+doesn't depend on the order, only the time and ``failed_rule`` do.
+
+Null texts count as empty and fail the base (too few words); very long texts are judged whole; rules with equal figures keep the order of RULES;
+empty tables give empty results; repeated rows are judged one by one; input columns other than id, text and ``carry`` are not
+read, and carried columns whose name a result column has are dropped.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.textnp import Words, blocks, byte_hashes, covered, mix64, packed
+from vectide.llm.exchange import lean
+from vectide.llm.textnp import Words, blocks, byte_hashes, covered, join64, mix64, packed
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -39,10 +41,22 @@ class Texts:
         return len(self.offsets) - 1
 
     def take(self, keep: np.ndarray) -> Texts:
+        """Some of the texts, with all that was counted for them."""
         if keep.all():
             return self
         sizes = np.diff(self.offsets)
-        return Texts(self.data[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])]))
+        out = Texts(self.data[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])]))
+        for name, value in vars(self).items():
+            if name == "words":
+                out.words = value.take(keep, out.data, out.offsets)
+            elif name not in ("data", "offsets"):
+                setattr(out, name, tuple(v[keep] for v in value) if isinstance(value, tuple) else value[keep])
+        return out
+
+    def copy(self) -> Texts:
+        out = Texts(self.data, self.offsets)
+        vars(out).update(vars(self))
+        return out
 
     def count(self, mask: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
@@ -72,7 +86,7 @@ class Texts:
         n = len(self.data)
         start = np.unique(np.concatenate([self.offsets[:-1], np.flatnonzero(self.data == 10) + 1]))
         start = start[start < n]
-        end = np.minimum(np.append(start[1:], n), n)
+        end = np.append(start[1:], n)[: len(start)]
         doc = np.searchsorted(self.offsets, start, "right") - 1
         end = np.minimum(end - ((self.data[end - 1] == 10) & (end > start)), self.offsets[doc + 1])
         full = np.searchsorted(self.words.start, end) > np.searchsorted(self.words.start, start)
@@ -95,13 +109,23 @@ class Texts:
         return np.bincount(w.doc[covered(at[twice[place] == key], 8, len(w))], minlength=len(self)).astype(np.int64)
 
 
-def _top_word(t: Texts) -> np.ndarray:
-    """Share of the commonest word."""
+def _top_gram(t: Texts, n: int) -> np.ndarray:
+    """Most places of one run of n words, by text."""
     w = t.words
-    key, first, n = np.unique(mix64(w.hash ^ mix64(w.doc.astype(np.uint64))), return_index=True, return_counts=True)
+    at, h = w.windows(n)
+    doc = w.doc[at].astype(np.uint64)
+    key, many = np.unique((doc << np.uint64(40)) | (join64(doc, h) >> np.uint64(24)), return_counts=True)
     top = np.zeros(len(t), np.int64)
-    np.maximum.at(top, w.doc[first], n)
-    return top / np.maximum(t.n_words, 1)
+    np.maximum.at(top, (key >> np.uint64(40)).astype(np.int64), many)
+    return top
+
+
+def _entropy(t: Texts) -> np.ndarray:
+    """Bits a byte of each text's distribution of bytes."""
+    size = np.diff(t.offsets)
+    flat = np.bincount(np.repeat(np.arange(len(t)), size) * 256 + t.data, minlength=256 * len(t)).reshape(len(t), 256)
+    p = flat / np.maximum(size, 1)[:, None]
+    return -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
 
 
 #: Name and test of each rule; a text for which the test is true is rejected.
@@ -112,7 +136,10 @@ RULES: dict[str, Callable[[Texts], np.ndarray]] = {
     "shouting": lambda t: 2 * t.count(UPPER[t.data]) > np.maximum(t.count(LETTERS[t.data]), 1),
     "few_letters": lambda t: 2 * t.count(LETTERS[t.data] | (t.data >= 128)) < np.diff(t.offsets),
     "dup_lines": lambda t: 10 * t.lines[1] > 3 * t.lines[0],
-    "top_word": lambda t: _top_word(t) > 0.3,
+    "top_word": lambda t: 10 * _top_gram(t, 1) > 3 * t.n_words,
+    "top_pair": lambda t: 10 * 2 * _top_gram(t, 2) > 3 * t.n_words,
+    "top_triple": lambda t: 10 * 3 * _top_gram(t, 3) > 3 * t.n_words,
+    "few_characters": lambda t: _entropy(t) < 2.5,
 }
 
 
@@ -134,21 +161,27 @@ def cascade(t: Texts, failed: np.ndarray, order: list[str]) -> np.ndarray:
     return verdict
 
 
+@lean
 def _measure(batches):
     for batch in batches:
         data, off = packed(batch.column(0))
         for i, j in blocks(off):
+            t = Texts(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            t = t.take(~base_failed(t))
+            t.word_chars, t.n_symbols, t.lines  # the output has them of every text
             for name, rule in RULES.items():
-                t = Texts(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                t.words  # made for the base in any case
+                own = t.copy()
                 begun = time.thread_time()
-                rejected = int(rule(t).sum())
+                rejected = int(rule(own).sum()) if len(own) else 0
                 yield pa.RecordBatch.from_pydict({"rule": [name], "cost": [time.thread_time() - begun], "rejected": [rejected]})
 
 
-def rule_order(docs: DataFrame, text_col: str = "text", sample_rows: int = 500) -> list[str]:
-    """Rules by rejections per second on sample_rows rows; only their order depends on the sample."""
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).limit(sample_rows).mapInArrow(_measure, "rule string, cost double, rejected long")
+def rule_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 500) -> list[str]:
+    """Rules by rejections per second on about sample_rows rows; only their order depends on the sample."""
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(1 << 40)) < int(share * (1 << 40)))
+    rows = rows.select(text.alias("text")).mapInArrow(_measure, "rule string, cost double, rejected long")
     got = {r.rule: (r.c, r.n) for r in rows.groupBy("rule").agg(F.sum("cost").alias("c"), F.sum("rejected").alias("n")).collect()}
     return sorted(RULES, key=lambda name: (got.get(name, (0.0, 0))[0] + 1e-6) / (got.get(name, (0.0, 0))[1] + 0.1))
 
@@ -157,15 +190,17 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rule."""
     new = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "failed_rule": pa.string()}
     carry = [c for c in carry or [] if c not in {*new, "doc_id", id_col, text_col}]
-    order = order or rule_order(docs, text_col, sample_rows)
+    order = order or rule_order(docs, id_col, text_col, sample_rows)
     frame = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("__text"))
 
+    @lean
     def run(batches):
         for batch in batches:
             data, off = packed(batch.column("__text"))
             for i, j in blocks(off):
                 t = Texts(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 failed = base_failed(t)
+                t.word_chars, t.n_symbols, t.lines  # counted once for all texts, and carried along the cascade
                 verdict = cascade(t, failed, order)
                 names = pa.array(["base", None, *order], pa.string()).take(pa.array(verdict + 2))
                 cols = [t.n_words, t.word_chars, t.n_symbols, t.lines[1], t.n_repeat_words, failed, verdict == -1]

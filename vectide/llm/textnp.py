@@ -179,6 +179,18 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    def take(self, keep: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Words:
+        """The words of some texts, whose bytes and offsets are given."""
+        out = object.__new__(Words)
+        own = keep[self.doc]
+        number = np.cumsum(keep) - 1
+        out.data, out.offsets, out.doc = data, offsets, number[self.doc[own]]
+        shift = offsets[out.doc] - self.offsets[self.doc[own]]
+        out.start, out.end, out.hash = self.start[own] + shift, self.end[own] + shift, self.hash[own]
+        out.counts = self.counts[keep]
+        out.bounds = np.concatenate([[0], np.cumsum(out.counts)])
+        return out
+
     def at(self) -> np.ndarray:
         """Number of each word within its text."""
         return np.arange(len(self)) - self.bounds[:-1][self.doc]
