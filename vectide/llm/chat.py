@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectide.llm.exchange import lean
+
 TURNS = "array<struct<role:string,text:string>>"
 HEAD, END = "<|turn ", "<|end|>\n"
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
@@ -125,6 +127,7 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "t
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what a reader of the formatted text gets: turns, and all text under the loss mask."""
 
+    @lean
     def run(batches):
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.exchange import widened
+from vectide.llm.exchange import lean, widened
 from vectide.llm.textnp import Words, blocks, packed
 
 BUCKETS, VITERBI_BYTES = 1 << 15, 8_000_000
@@ -112,6 +112,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         keep |= (F.col("lang") == lang) & (F.col("h") < int(1_000_000 * min(1, max_rows / n)))
     langs = sorted(counts)
 
+    @lean
     def count(batches):
         total, scripts = np.zeros((len(langs), BUCKETS), np.int64), np.zeros((len(langs), int(SCRIPTS.max()) + 1), np.int64)
         for batch in batches:
@@ -174,6 +175,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
     frame = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("__text"))
 
+    @lean
     def run(batches):
         model = shared.value
         langs = np.array([*(model.langs if model else []), "und"], object)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.exchange import widened
+from vectide.llm.exchange import lean, widened
 from vectide.llm.textnp import Words, blocks, mix64, packed
 
 KINDS = np.zeros(256, np.uint8)
@@ -153,33 +153,39 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, dims: int = 24, hidden: int =
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000) -> Model:
-    """Model of at most about max_rows labelled rows with a text."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, max_bytes: int = 1_000_000) -> Model:
+    """Model of at most about max_rows labelled ids, one row of each (the shortest text, then the least), of texts up to max_bytes."""
     y = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").alias("y"))
     share = min(1.0, max_rows / max(1, y.count()))
     y = y.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("i").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(y), "i")  # max_rows bounds it
+    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).join(F.broadcast(y), "i")  # max_rows bounds it
+    rows = rows.groupBy("i", "y").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("t")).select("i", "y", "t.text")
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pa.compute.sort_indices(table, sort_keys=[("i", "ascending"), ("text", "ascending")]))
         order = np.random.default_rng(1).permutation(table.num_rows)
         table = table.take(pa.array(order))
         return pa.table({"model": pa.array([pickle.dumps(fit_rows(table["text"], table["y"].to_numpy()))], pa.binary())})
 
-    got = rows.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(run, "model binary").collect()
+    got = rows.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(lambda t: run(t), "model binary").collect()
     return pickle.loads(got[0].model) if got else fit_rows(pa.array([], pa.string()), np.zeros(0))
 
 
-def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
-    """doc_id, carried columns, score, predicted."""
+def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, threshold: float = 0.3, only_predicted: bool = False) -> DataFrame:
+    """doc_id, carried columns, score, predicted. only_predicted: of rows with predicted = 1."""
     carry = [c for c in carry or [] if c not in {"doc_id", "score", "predicted", id_col}]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_vocab
     frame = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("__text"))
 
+    @lean
     def run(batches):
         for batch in batches:
             data, off = packed(batch.column("__text"))
             score = np.concatenate([np.zeros(0), *[shared.value.score(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in blocks(off)]])
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(1 + len(carry))], pa.array(score, pa.float64()), pa.array(score >= threshold).cast(pa.int32())], names=["doc_id", *carry, "score", "predicted"])
+            good = pa.array(score >= threshold)
+            out = pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(1 + len(carry))], pa.array(score, pa.float64()), good.cast(pa.int32())], names=["doc_id", *carry, "score", "predicted"])
+            yield out.filter(good) if only_predicted else out
 
     return frame.mapInArrow(run, widened(frame.drop("__text").schema, "score double, predicted int"))
