@@ -17,11 +17,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labelled documents of docs, doesn't reject."""
+    """Documents that the classifier, fitted on labelled documents of docs, doesn't reject.
+
+    Null texts are scored as empty ones; rows that share an id are judged one by one; without labels all stay; an empty table
+    stays empty; columns beside those of documents are dropped.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_model.fit(docs, labels)
-    scored = quality_model.score_quality(docs, model, carry=["text", "lang", "source", "n_chars"], threshold=0.3)
-    return scored.where("predicted = 1").select(COLUMNS)
+    scored = quality_model.score_quality(docs, model, carry=["text", "lang", "source", "n_chars"], threshold=0.3, only_predicted=True)
+    return scored.select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 35 words or more that stand anywhere else too; documents of which nothing is left go."""
+    """Texts without passages of 35 words or more that stand anywhere else too; documents of which nothing is left go.
+
+    Texts without such passages, null and empty ones too, stay byte for byte; rows that share an id are documents of their own; an
+    empty table stays empty; columns beside those of documents are dropped.
+    """
     out = substring.dedup_substrings(docs.withColumn("whole", F.col("text")), window=35, carry=["whole", "lang", "source", "n_chars"])
     text = F.when(F.col("n_removed") == 0, F.col("whole")).otherwise(F.col("kept_text"))
     length = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
@@ -43,14 +51,22 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of 10 words of a benchmark item."""
+    """Documents that hold no window of 10 words of a benchmark item.
+
+    Null and empty texts stay; rows that share an id are judged one by one; an empty benchmark takes nothing; an empty table stays
+    empty; columns beside those of documents are dropped.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    out = decontaminate.find_contamination(docs, benchmark, window=10, carry=["text", "lang", "source", "n_chars"])
-    return out.where("not contaminated").select(COLUMNS)
+    out = decontaminate.find_contamination(docs, benchmark, window=10, carry=["text", "lang", "source", "n_chars"], only_clean=True)
+    return out.select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids and their places in sequences of 1024."""
+    """Pieces of the documents' ids and their places in sequences of 1024.
+
+    Null texts are empty (the end id alone); rows that share an id are documents of their own; an empty table gives no
+    pieces; columns beside id and text are not read.
+    """
     return packing.pack_documents(docs)
 
 
