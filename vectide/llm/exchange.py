@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from vectide.llm.textnp import planes, unplanes
 
-PACK_BYTES, CHUNK_BYTES, RANGE_BYTES = 16_000_000, 8_000_000, 64_000_000
+PACK_BYTES, CHUNK_BYTES, RANGE_BYTES = 16_000_000, 8_000_000, 32_000_000
 ROWS = "dest int, chunk int, kind int, payload binary"
 ARROW_ROWS = pa.schema([("dest", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 RANGE = ["u4", "u4", "u4"]  # doc number in the chunk, first window, windows
@@ -167,7 +167,7 @@ def send(keys: np.ndarray, flags: np.ndarray, r: int, bits: int, flag_bits: int,
 def received(table: pa.Table, bits: int, flag_bits: int, kind: int = 0) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Chunks, keys, flags and bounds of each chunk's part, from the rows of one key range."""
     width = (bits + flag_bits + 7) // 8
-    parts = sorted((c, p) for c, k, p in zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["payload"].to_pylist()) if k == kind)
+    parts = [(c, p) for _, c, p in by_kind(table, kind)]
     values = [unplanes(p, width) for _, p in parts]
     full = np.concatenate(values) if values else np.zeros(0, np.uint64)
     bounds = np.cumsum([0] + [len(v) for v in values])
@@ -250,7 +250,19 @@ def split_by_chunk(chunks: list[int], bounds: np.ndarray, rows: np.ndarray, posi
     return parts if positions else [(c, rows[p]) for c, p in parts]
 
 
-def by_kind(table: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
-    """(dest, chunk, payload) of a kind, in a fixed order."""
-    own = table.filter(pc.equal(table["kind"], kind))
-    return sorted(zip(own["dest"].to_pylist(), own["chunk"].to_pylist(), own["payload"].to_pylist()))
+def by_kind(table: pa.Table, kind: int) -> list[tuple[int, int, memoryview]]:
+    """(dest, chunk, payload) of a kind, in a fixed order; payloads are not copied."""
+    at = np.flatnonzero(table["kind"].to_numpy() == kind)
+    dest, chunk, payload = table["dest"].to_numpy()[at].tolist(), table["chunk"].to_numpy()[at].tolist(), table["payload"]
+    out = [(d, c, memoryview(payload[int(k)].as_buffer())) for d, c, k in zip(dest, chunk, at)]
+    twice = len(set(zip(dest, chunk))) < len(out)
+    return sorted(out, key=lambda x: (x[0], x[1], bytes(x[2])) if twice else x[:2])
+
+
+def subranges(parts: list[np.ndarray], bits: int = 0, size: int = 500_000) -> list[list[tuple[int, int]]]:
+    """Slices of sorted keys (their low bits aside) of about size keys together, cut at the same keys in all parts."""
+    largest = max(parts, key=len)
+    step = max(size // len(parts), 1)
+    edges = np.unique((largest[step::step] >> np.uint64(bits)) << np.uint64(bits))
+    cut = [np.concatenate([[0], np.searchsorted(p, edges), [len(p)]]) for p in parts]
+    return [[(int(c[s]), int(c[s + 1])) for c in cut] for s in range(len(edges) + 1)]

@@ -190,15 +190,22 @@ def _frequencies(table: pa.Table) -> pa.Table:
     """For each chunk's shingles, 0 if one node has it, else the number of bits of the count."""
     dest = table["dest"][0].as_py()
     got = X.by_kind(table, POSTINGS)
-    (keys, many), bounds = X.load_all([p for *_, p in got], ["u8", "u1"])
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    total = np.add.reduceat(many[order].astype(np.int64), new)
-    level = np.where(total > 1, np.ceil(np.log2(np.maximum(total, 2))).astype("u1"), 0).astype("u1")
-    back = np.empty(len(keys), "u1")
-    back[order] = np.repeat(level, np.diff(np.append(new, len(k))))
-    return X.rows([(c, dest, POSTINGS, back[bounds[i] : bounds[i + 1]].tobytes()) for i, (_, c, _) in enumerate(got)])
+    parts = [X.load(p, ["u8", "u1"]) for *_, p in got]
+    back = [np.zeros(len(k), "u1") for k, _ in parts]
+    for cut in X.subranges([k for k, _ in parts]):
+        keys, many = (np.concatenate([p[c][a:b] for p, (a, b) in zip(parts, cut)]) for c in (0, 1))
+        if not len(keys):
+            continue
+        order = np.argsort(keys)
+        k = keys[order]
+        new = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        total = np.add.reduceat(many[order].astype(np.int64), new)
+        level = np.where(total > 1, np.ceil(np.log2(np.maximum(total, 2))).astype("u1"), 0).astype("u1")
+        own = np.empty(len(keys), "u1")
+        own[order] = np.repeat(level, np.diff(np.append(new, len(k))))
+        for to, (a, b), piece in zip(back, cut, np.split(own, np.cumsum([b - a for a, b in cut])[:-1])):
+            to[a:b] = piece
+    return X.rows([(c, dest, POSTINGS, x.tobytes()) for (_, c, _), x in zip(got, back)])
 
 
 @X.lean

@@ -73,12 +73,8 @@ def _match(table: pa.Table, hot: int) -> pa.Table:
     parts = [(c, unplanes(p, width)) for _, c, p in X.by_kind(table, 0)]
     del table
     hits, crowds = [np.zeros(len(p), bool) for _, p in parts], [np.zeros(len(p), bool) for _, p in parts]
-    largest = max((p for _, p in parts), key=len)
-    step = max(500_000 // len(parts), 1)
-    edges = (largest[step::step] >> np.uint64(COUNT_BITS)) << np.uint64(COUNT_BITS)
-    cut = [np.concatenate([[0], np.searchsorted(p, edges), [len(p)]]) for _, p in parts]
-    for s in range(len(edges) + 1):
-        full = np.concatenate([p[c[s] : c[s + 1]] for (_, p), c in zip(parts, cut)])
+    for cut in X.subranges([p for _, p in parts], COUNT_BITS):
+        full = np.concatenate([p[a:b] for (_, p), (a, b) in zip(parts, cut)])
         if not len(full):
             continue
         order = np.argsort(full >> np.uint64(COUNT_BITS))
@@ -91,10 +87,9 @@ def _match(table: pa.Table, hot: int) -> pa.Table:
             back = np.zeros(len(k), bool)
             back[order] = np.repeat(found, size)
             at = 0
-            for own, c in zip(to, cut):
-                n = int(c[s + 1] - c[s])
-                own[c[s] : c[s + 1]] = back[at : at + n]
-                at += n
+            for own, (a, b) in zip(to, cut):
+                own[a:b] = back[at : at + b - a]
+                at += b - a
     return X.rows([(c, dest, kind, np.packbits(x).tobytes()) for kind, to in ((0, hits), (2, crowds)) for (c, _), x in zip(parts, to)])
 
 
