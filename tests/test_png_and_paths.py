@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from vectide.operators import codec, moments
-from vectide.sources import archive
+from vectide.sources import archive, images
 
 
 def filtered(rows, bpp):
@@ -79,6 +79,11 @@ def test_frechet_of_paths(spark, tmp_path):
     assert codec.frechet_of_paths(spark, a, b, config, 4) == pytest.approx(want)
     moments.save_summary(spark, means["b"], f"{tmp_path}/b.parquet")
     assert codec.frechet_of_paths(spark, a, f"{tmp_path}/b.parquet", config, 4) == pytest.approx(want)
+    np.savez(f"{tmp_path}/b.npz", mu=means["b"].mu, sigma=means["b"].sigma)
+    assert codec.frechet_of_paths(spark, a, f"{tmp_path}/b.npz", config, 4) == pytest.approx(want)
+    z = codec.activations(images.decode_rgb(spark, a), config, 4).collect()
+    assert [r.path[-5:] for r in z] == [f"{k}.png" for k in range(6)] and np.allclose(np.mean([r.z for r in z], 0), means["a"].mu)
+    assert {"png", "jpg", "gif", "bmp"} <= set(images.decoder_extensions(spark)) and images.scan_images(spark, a).count() == 6
     assert codec.frechet_of_paths(spark, a, a, config, 4, count=3) == pytest.approx(0, abs=1e-4)
     (tmp_path / "b" / "notes.txt").write_text("no image")
     assert codec.frechet_of_paths(spark, a, b, config, 4) == pytest.approx(want)

@@ -43,12 +43,10 @@ def test_joins(spark, data):
         simjoin.costs(data, data, "other")
 
 
-def test_query_blocks(spark, data, monkeypatch):
+def test_query_blocks(spark, data):
     df = frame(spark, data)
     one = sorted(map(tuple, simjoin.similarity_join(df, df, k=2).collect()))
-    blocks = simjoin.query_blocks
-    monkeypatch.setattr(simjoin, "query_blocks", lambda *a: blocks(*a, size=7))
-    assert sorted(map(tuple, simjoin.similarity_join(df, df, k=2).collect())) == one
+    assert sorted(map(tuple, simjoin.similarity_join(df, df, k=2, block=7).collect())) == one
 
 
 def test_interpolation(spark):
@@ -186,3 +184,69 @@ def test_numbered(spark):
     df = spark.createDataFrame([(k * 37 % 1000,) for k in range(200)], "k long")
     got = [r.rn for r in numbered(df, "k", width=64).orderBy("k").collect()]
     assert got == list(range(1, 201))
+
+
+def test_query_blocks_waves_and_tiles(spark):
+    """5,000 queries in blocks of 700 and waves of 3 scans, against NumPy; the own row is left out or kept."""
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(6000, 4))
+    x[100:140] = x[0]  # ties
+    df = frame(spark, x)
+    q = df.where("vec_id < 5000")
+    cost = simjoin.costs(x, x[:5000], "cosine")
+    for own in (False, True):
+        got = simjoin.similarity_join(df, q, k=3, exclude_self=own, block=700, wave=3).toPandas().sort_values(["qid", "rank"])
+        assert len(got) == 15000
+        c = cost.copy()
+        if own:
+            c[np.arange(5000), np.arange(5000)] = np.inf
+        assert np.allclose(got.cost.to_numpy().reshape(5000, 3), np.sort(c, axis=0)[:3].T, atol=1e-9)
+        assert not (own and (got.qid == got.rid).any())
+    near = simjoin.similarity_join(df, q.where("vec_id % 100 = 0"), class_col="label", k=5, exclude_self=True).toPandas()
+    label = np.arange(6000) % 3
+    for qid, rows in near.sort_values("rank").groupby("qid"):
+        gap = np.abs(label - label[qid])
+        order = np.lexsort([np.arange(6000), np.round(cost[:, qid], 12), gap])
+        want = [k for k in order if k != qid][:5]
+        assert np.allclose(cost[rows.rid.to_numpy(), qid], cost[want, qid]) and (gap[rows.rid.to_numpy()] == gap[want]).all()
+
+
+def test_moments_of_2048_dimensions(spark):
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(60, 2048))
+    df = frame(spark, x).withColumn("w", F.when(F.col("vec_id") < 20, F.col("v")))
+    a, b = moments.summaries(df, "v", "w")
+    assert (a.n, b.n) == (60, 20) and np.allclose(a.sigma, np.cov(x, rowvar=False)) and np.allclose(b.mu, x[:20].mean(0))
+    rows = moments.covariance(df.select(F.slice("v", 1, 30).alias("v")), "v").toPandas().sort_values(["i", "j"])
+    assert np.allclose(rows["cov"].to_numpy().reshape(30, 30), np.cov(x[:, :30], rowvar=False))
+
+
+def test_ring_of_65536(spark):
+    """Against a real ring buffer, with ranges smaller than the ring, one hot key and one hot code."""
+    rnd = np.random.default_rng(10)
+    n, size = 70_000, 65_536
+    codes = np.where(rnd.random(n) < 0.5, 3, rnd.integers(0, 5000, n))
+    df = spark.range(n, numPartitions=3).withColumn("key", F.lit("a"))
+    df = df.join(spark.createDataFrame(list(enumerate(codes.tolist())), "id long, code long"), "id")
+    got = running.ring_usage(df, "key", "id", F.col("code"), size, 5000, width=9000).toPandas().set_index("id").usage
+    assert len(got) == n
+    ring, count, used = np.zeros(size, int), np.zeros(5000, int), 1
+    count[0] = size
+    for k, c in enumerate(codes):
+        old, ring[k % size] = ring[k % size], c
+        count[old] -= 1
+        used -= count[old] == 0
+        used += count[c] == 0
+        count[c] += 1
+        if k % 997 == 0 or k > n - 50:
+            assert math.isclose(got[k], used / 5000)
+
+
+def test_band_edges_and_squares():
+    edges = arrays.band_edges(4, 4, 2, [1.0, 2.0, 8.0])
+    assert edges[0] == 0 and math.isclose(edges[1], math.hypot(3, 3) / 2) and edges[2] > math.hypot(3, 3) and len(edges) == 3
+    assert arrays.band_edges(4, 4, 2, []) == arrays.band_edges(4, 4, 2)
+    assert arrays.band_mask(4, 4, "drop_high", 7, "square") == [1, 1, 1, 0] * 3 + [0] * 4
+    assert arrays.band_mask(4, 4, "low", 0, "square") == [0] * 16
+    with pytest.raises(ValueError):
+        arrays.band_mask(4, 4, "high", 5, "square")

@@ -71,17 +71,23 @@ def square_side(n: int) -> int:
     return math.isqrt(n)
 
 
-def band_edges(h: int, w: int, bands: int) -> list[float]:
-    """Even edges from 0 to a little over the greatest radius."""
-    top = math.hypot(h - 1, w - 1)
-    edges = [top * k / bands for k in range(bands + 1)]
-    edges[-1] += 1e-6
+def band_edges(h: int, w: int, bands: int, schedule: list[float] | None = None, eps: float = 2.0**-23) -> list[float]:
+    """Edges from 0 to a little (the number type's eps) over the greatest radius: even, or the first bands entries of a schedule scaled to it."""
+    top, given = math.hypot(h - 1, w - 1), list(schedule or [])[:bands]
+    edges = [0.0, *[x / max(max(given), 1e-6) * top for x in given]] if given else [top * k / bands for k in range(bands + 1)]
+    edges[-1] += eps
     return edges
 
 
 def band_mask(h: int, w: int, mode: str, keep: int, order: str = "zigzag") -> list[int]:
-    """1 for kept places: the first (low) or last (high) keep ones of an order, or all but the keep highest (drop_high) or lowest (drop_low)."""
+    """1 for kept places: the first (low) or last (high) keep ones of an order, or all but the keep highest (drop_high) or lowest (drop_low).
+
+    With order "square" they are the square at the top left (low, drop_high) or bottom right; their number must be a square.
+    """
     n = h * w
+    keep = max(0, min(keep, n))
+    if order == "square":
+        return square_mask(h, w, square_side(keep if mode in ("low", "high") else n - keep), "low" if mode in ("low", "drop_high") else "high")
     places = zigzag(h, w) if order == "zigzag" else radial(h, w)
     if mode in ("drop_high", "drop_low") and keep <= 0:
         return [1] * n

@@ -104,8 +104,14 @@ def apply(df: DataFrame, config: dict, step: str, vec_col: str = "v", name: str
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
+def activations(images_: DataFrame, config: dict, size: int, name: str = "z") -> DataFrame:
+    """path and z: the codec's encoding of decoded images (path, height, width, pixels), prepared at size by a crop, in path order."""
+    x = images.prepared(images_, size)
+    return apply(x, config, "encode", "x", name).select("path", name).orderBy("path")
+
+
 def frechet_of_paths(spark: SparkSession, a: str, b: str, config: dict, size: int, count: int | None = None) -> float:
-    """Frechet distance between two paths: a summary of moments.save_summary (a name in .parquet), or a flat folder of images (the
+    """Frechet distance between two paths: a summary of moments.save_summary (a name in .parquet) or of mu and sigma (in .npz), or a flat folder of images (the
     first count of them), prepared at size by a crop and encoded by the codec of config. A missing path and an unknown codec are errors.
     """
     for p in (a, b):
@@ -118,6 +124,8 @@ def frechet_of_paths(spark: SparkSession, a: str, b: str, config: dict, size: in
     def of(p: str) -> moments.Summary:
         if p.endswith(".parquet"):
             return moments.load_summary(spark, p)
+        if p.endswith(".npz"):
+            return moments.load_arrays(spark, p)
         names = images.scan_flat(spark, p, count).select(F.substring_index("path", "/", -1).alias("name"))
         x = images.decode_rgb(spark, p, names)
         return moments.summary(apply(images.prepared(x, size), config, "encode", "x"), "z")

@@ -1,11 +1,12 @@
 """Mean vectors, covariance matrices and the Frechet distance between distributions.
 
 A partition sums its rows' outer products with matrix products over Arrow batches; partial sums of d x d numbers are added
-in two levels, so what moves depends on the dimension and the number of tasks, not on the rows.
+in two levels to one, so what moves depends on the dimension and the number of tasks, not on the rows, and one matrix reaches the driver.
 """
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,16 +23,23 @@ class Summary:
 
 
 def _partials(batches):
-    n, s, g = 0, None, None
+    """Partial sums of each column, of its rows that are not null."""
+    held: dict[int, tuple] = {}
     for batch in batches:
-        if batch.num_rows:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            shift = x.mean(0)  # sums about the batch mean, merged exactly below
-            c = x - shift
-            part = (len(x), shift, c.T @ c)
-            n, s, g = part if s is None else _merge(n, s, g, *part)
-    if s is not None:
-        yield pa.RecordBatch.from_pydict({"n": [n], "mu": [s.tobytes()], "m2": [g.tobytes()]})
+        for k in range(batch.num_columns):
+            column = batch.column(k).drop_null()
+            if len(column):
+                x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+                mean = x.mean(0)  # sums about the batch mean, merged exactly below
+                part = (len(x), mean, (x - mean).T @ (x - mean))
+                held[k] = _merge(*held[k], *part) if k in held else part
+    for k, part in held.items():
+        yield from _row(k, part).to_batches()
+
+
+def _row(k: int, part: tuple) -> pa.Table:
+    n, mu, m2 = part
+    return pa.table({"k": pa.array([k], pa.int32()), "n": pa.array([n], pa.int64()), "mu": pa.array([mu.tobytes()], pa.binary()), "m2": pa.array([m2.tobytes()], pa.binary())})
 
 
 def _merge(n, mu, m2, k, nu, k2):
@@ -48,21 +56,50 @@ def _combined(parts):
     return out
 
 
-def summary(df: DataFrame, vec_col: str, tasks: int = 32) -> Summary:
-    """Count, mean and sample covariance (over n - 1) of a vector column; rows with a null vector are left out."""
+PARTIAL = "k int, n long, mu binary, m2 binary"
+
+
+def _merged(df: DataFrame, columns: tuple[str, ...], tasks: int) -> DataFrame:
+    """One row for each column: its number, count, mean and sums of products."""
 
     def add(t: pa.Table) -> pa.Table:
-        n, mu, m2 = _combined(zip(t["n"].to_pylist(), t["mu"].to_pylist(), t["m2"].to_pylist()))
-        return pa.table({"n": [n], "mu": pa.array([mu.tobytes()], pa.binary()), "m2": pa.array([m2.tobytes()], pa.binary())})
-
-    schema = "n long, mu binary, m2 binary"
-    parts = df.where(F.col(vec_col).isNotNull()).select(F.col(vec_col).cast("array<double>")).mapInArrow(_partials, schema)
-    parts = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(tasks))).groupBy("part").applyInArrow(add, schema)
-    got = _combined((r.n, r.mu, r.m2) for r in parts.collect())  # at most `tasks` matrices of d x d
-    if got is None:
+        return _row(t["k"][0].as_py(), _combined(zip(t["n"].to_pylist(), (b.as_py() for b in t["mu"]), (b.as_py() for b in t["m2"]))))
+
+    parts = df.select(*[F.col(c).cast("array<double>").alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(_partials, PARTIAL)
+    parts = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(tasks)))
+    parts = parts.groupBy("k", "part").applyInArrow(lambda t: add(t.drop_columns(["part"])), PARTIAL)
+    return parts.groupBy("k").applyInArrow(add, PARTIAL)  # at most `tasks` rows a column
+
+
+def summaries(df: DataFrame, *columns: str, tasks: int = 32) -> list[Summary]:
+    """Count, mean and sample covariance (over n - 1) of vector columns, in one pass; null vectors are left out."""
+    got = {r.k: r for r in _merged(df, columns, tasks).collect()}  # one row a column
+    if len(got) < len(columns):
         raise ValueError("no vectors")
-    n, mu, m2 = got
-    return Summary(n, mu, m2 / (n - 1) if n > 1 else np.full_like(m2, np.nan))
+    out = []
+    for k in range(len(columns)):
+        n, mu, m2 = _combined([(got[k].n, got[k].mu, got[k].m2)])
+        out.append(Summary(n, mu, m2 / (n - 1) if n > 1 else np.full_like(m2, np.nan)))
+    return out
+
+
+def summary(df: DataFrame, vec_col: str, tasks: int = 32) -> Summary:
+    """summaries() of one column."""
+    return summaries(df, vec_col, tasks=tasks)[0]
+
+
+def covariance(df: DataFrame, vec_col: str, tasks: int = 32) -> DataFrame:
+    """i, j, cov: the sample covariance as rows, made where the sums are merged; nothing goes through the driver."""
+
+    def rows(batches):
+        for batch in batches:
+            for n, mu, m2 in zip(batch.column("n").to_pylist(), batch.column("mu").to_pylist(), batch.column("m2").to_pylist()):
+                d = len(mu) // 8
+                cov = np.frombuffer(m2).reshape(d, d) / (n - 1) if n > 1 else np.full((d, d), np.nan)
+                for i in range(d):
+                    yield pa.RecordBatch.from_pydict({"i": pa.array(np.full(d, i), pa.int32()), "j": pa.array(np.arange(d), pa.int32()), "cov": cov[i]})
+
+    return _merged(df, (vec_col,), tasks).mapInArrow(rows, "i int, j int, cov double")
 
 
 def save_summary(spark, s: Summary, path: str) -> None:
@@ -74,6 +111,13 @@ def load_summary(spark, path: str) -> Summary:
     return Summary(r.n, np.array(r.mu), np.array(r.sigma))
 
 
+def load_arrays(spark, path: str) -> Summary:
+    """Summary of an NPZ archive of mu and sigma, read by Spark; its count is not known (0)."""
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
+    with np.load(io.BytesIO(data)) as f:
+        return Summary(0, np.asarray(f["mu"], float), np.asarray(f["sigma"], float))
+
+
 def _root(m: np.ndarray) -> np.ndarray:
     w, v = np.linalg.eigh(m)
     return (v * np.sqrt(np.clip(w, 0, None))) @ v.T

@@ -1,22 +1,25 @@
-"""Running-state operators in batch form: weights of an ordered fold known from place and count, so no list is collected."""
+"""Running-state operators in batch form: weights of an ordered fold known from place and count, so no list is collected and no key is one task."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectide.functions.numbering import numbered_by
+
 
 def ema(df: DataFrame, key: str, order: str, value: str, decay: float, name: str = "ema") -> DataFrame:
-    """Last state of e <- decay * e + (1 - decay) * x for each key, e starting as the first x."""
-    w = Window.partitionBy(key)
-    x = df.select(key, order, F.col(value).alias("__x"))
-    x = x.withColumn("__i", F.row_number().over(w.orderBy(order))).withColumn("__n", F.count("*").over(w))
+    """Last state of e <- decay * e + (1 - decay) * x for each key, e starting as the first x; order: whole numbers."""
+    x = numbered_by(df.select(key, order, F.col(value).alias("__x")), key, order, "__i", "__n")
     first = F.when(F.col("__i") == 1, 1.0).otherwise(1.0 - decay)
     return x.groupBy(key).agg(F.sum(F.col("__x") * first * F.pow(F.lit(decay), F.col("__n") - F.col("__i"))).alias(name))
 
 
 def lerp_fold(batches: DataFrame, keys: list[str], place: str, value: Column, weight: float, start: float, name: str) -> DataFrame:
-    """Last state of v <- v + weight * (x - v) over the batches of each key, v starting at start."""
+    """Last state of v <- v + weight * (x - v) over the batches of each key, v starting at start; a row of batches stands for a whole batch."""
     w = Window.partitionBy(*keys)
     x = batches.select(*keys, place, value.alias("__x"))
     x = x.withColumn("__i", F.row_number().over(w.orderBy(place))).withColumn("__n", F.count("*").over(w))
@@ -25,11 +28,33 @@ def lerp_fold(batches: DataFrame, keys: list[str], place: str, value: Column, we
     return x.groupBy(*keys).agg(total.alias(name))
 
 
-def ring_usage(df: DataFrame, key: str, order: str, code: Column, size: int, codes: int, name: str = "usage") -> DataFrame:
-    """Share of codes among the last `size` codes of each row; the buffer starts full of code 0."""
-    w = Window.partitionBy(key).orderBy(order)
-    x = df.select(key, order, code.alias("__c"))
-    last = F.collect_set("__c").over(w.rowsBetween(-(size - 1), 0))
-    short = F.row_number().over(w) < size
-    used = F.size(last) + F.when(short & ~F.array_contains(last, 0), 1).otherwise(0)
-    return x.withColumn(name, used / F.lit(float(codes))).drop("__c")
+def ring_usage(df: DataFrame, key: str, order: str, code: Column, size: int, codes: int, name: str = "usage", width: int = 65536) -> DataFrame:
+    """Share of codes among the last `size` codes of each row; the buffer starts full of code 0. order: whole numbers, no two rows of a key alike.
+
+    A code is in the buffer from its place to that of its next occurrence, or for size rows: so the number of codes is a running sum of
+    +1 and -1. Places, next occurrences and running sums are found within ranges of width places first, so no key is one task.
+    """
+    x = numbered_by(df.select(key, order, code.cast("long").alias("__c")), key, order, "__i", width=width)
+    x = x.withColumn("__part", F.floor(F.col("__i") / width))
+    # the buffer's own code 0 before the first row
+    zero = x.select(key).distinct().select(key, F.lit(0).cast("long").alias("__c"), F.lit(0).cast("long").alias("__i"), F.lit(0).cast("long").alias("__part"))
+    seen = x.select(key, "__c", "__i", "__part").union(zero)
+    by_code = Window.partitionBy(key, "__c").orderBy("__part")
+    later = seen.groupBy(key, "__c", "__part").agg(F.min("__i").alias("__first")).withColumn("__later", F.lead("__first").over(by_code)).drop("__first")
+    inner = F.lead("__i").over(Window.partitionBy(key, "__c", "__part").orderBy("__i"))
+    seen = _join(seen.withColumn("__next", inner), later, [key, "__c", "__part"])
+    end = F.least(F.coalesce("__next", "__later", F.lit(2**62)), F.col("__i") + size)
+    steps = seen.select(key, F.explode(F.array(F.struct(F.col("__i").alias("p"), F.lit(1).alias("d")), F.struct(end.alias("p"), F.lit(-1).alias("d")))).alias("s"))
+    steps = steps.select(key, F.col("s.p").alias("__i"), F.col("s.d").alias("__d")).groupBy(key, "__i").agg(F.sum("__d").alias("__d"))
+    steps = steps.withColumn("__part", F.floor(F.col("__i") / width))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = steps.groupBy(key, "__part").agg(F.sum("__d").alias("__d")).select(key, "__part", F.coalesce(F.sum("__d").over(before), F.lit(0)).alias("__base"))
+    within = F.sum("__d").over(Window.partitionBy(key, "__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    used = _join(steps.withColumn("__own", within), sums, [key, "__part"]).select(key, "__i", (F.col("__base") + F.col("__own")).alias("__used"))
+    return _join(x.select(key, order, "__i"), used, [key, "__i"]).select(key, order, (F.col("__used") / F.lit(float(codes))).alias(name))
+
+
+def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which nulls are equal."""
+    b = b.select(*[F.col(k).alias(f"{k}__") for k in keys], *[c for c in b.columns if c not in keys])
+    return a.join(b, reduce(and_, [a[k].eqNullSafe(b[f"{k}__"]) for k in keys])).drop(*[f"{k}__" for k in keys])

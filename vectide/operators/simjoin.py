@@ -1,20 +1,21 @@
 """Similarity joins of a stated query set against all reference rows.
 
-The query set is read in blocks of a fixed number of vectors; each block is one broadcast of bounded size, and every
-reference partition multiplies its Arrow batches with it, so the reference is scanned once a block and never
-shuffled. Top-k keeps the best k of each partition before the exchange and the best k of all after it.
+The query set is read in blocks of a fixed number of vectors; each block is one broadcast of bounded size. One scan of the reference
+serves a wave of blocks: every partition multiplies tiles of its Arrow batches with one block after the other. The reference is
+never shuffled. Top-k keeps the best k of each partition before the exchange and the best k of all after it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK, TILE, WAVE = 4096, 1024, 64  # queries of a block, reference rows of a tile, blocks of a scan
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -50,43 +51,68 @@ def costs(ref: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
-def similarity_join(ref: DataFrame, queries: DataFrame, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "v", class_col: str | None = None, k: int | None = None) -> DataFrame:
+def similarity_join(ref: DataFrame, queries: DataFrame, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "v", class_col: str | None = None, k: int | None = None, exclude_self: bool = False, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
     """qid, rid, cost: of all pairs, or with rank of the k nearest; with class_col, rows of the nearest classes come first.
 
-    Ties go to the smaller reference id. A query is compared with itself if the reference holds it.
+    Ties go to the smaller reference id. A query is compared with itself if the reference holds it, unless exclude_self is set.
     """
-    spark, out = ref.sparkSession, None
+    spark, parts, held = ref.sparkSession, [], []
     cols = [id_col, vec_col] + ([class_col] if class_col else [])
-    for ids, matrix, classes in query_blocks(queries, id_col, vec_col, class_col):
-        shared = spark.sparkContext.broadcast((ids, matrix, classes))
-
-        def run(batches):
-            qid, q, qc = shared.value
-            best = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                c = costs(_matrix(batch.column(1), batch.num_rows), q, metric)
-                rid = batch.column(0).to_numpy(zero_copy_only=False)
-                gap = np.abs(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)[:, None] - qc) if qc is not None else np.zeros(c.shape, np.int64)
-                if k is None:
-                    yield _rows(np.tile(qid, len(rid)), np.repeat(rid, len(qid)), c.ravel(), gap.ravel())
-                    continue
-                part = [np.tile(qid, len(rid)), np.repeat(rid, len(qid)), c.ravel(), gap.ravel()]
-                best = _top([np.concatenate(x) for x in zip(best, part)] if best else part, k)
-            if best:
-                yield _rows(*best)
-
-        part = ref.select(*cols).mapInArrow(run, "qid long, rid long, cost double, gap long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "qid long, rid long, cost double, gap long")
+    for part in query_blocks(queries, id_col, vec_col, class_col, block):
+        held.append(spark.sparkContext.broadcast(part))
+        if len(held) == wave:
+            parts.append(_scan(ref.select(*cols), held, metric, k, exclude_self))
+            held = []
+    if held:
+        parts.append(_scan(ref.select(*cols), held, metric, k, exclude_self))
+    out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PAIR)
     if k is None:
         return out.drop("gap")
     w = Window.partitionBy("qid").orderBy("gap", "cost", "rid")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("gap")
 
 
+PAIR = "qid long, rid long, cost double, gap long"
+
+
+def _scan(ref: DataFrame, blocks: list, metric: str, k: int | None, exclude_self: bool) -> DataFrame:
+    """Costs of a wave of query blocks, or those of the k nearest rows of each reference partition."""
+
+    def run(batches):
+        best: list = [None] * len(blocks)
+        for batch in batches:
+            for a in range(0, batch.num_rows, TILE):
+                tile = batch.slice(a, TILE)
+                x, rid = _matrix(tile.column(1), tile.num_rows), tile.column(0).to_numpy(zero_copy_only=False)
+                of = tile.column(2).to_numpy(zero_copy_only=False).astype(np.int64) if tile.num_columns > 2 else None
+                for n, shared in enumerate(blocks):
+                    qid, q, qc = shared.value
+                    pairs = _nearest(costs(x, q, metric), rid, qid, None if of is None else np.abs(of[:, None] - qc), k, exclude_self)
+                    if k is None:
+                        yield _rows(*pairs)
+                    else:
+                        best[n] = _top([np.concatenate(c) for c in zip(best[n], pairs)] if best[n] else pairs, k)
+        for pairs in best:
+            if pairs:
+                yield _rows(*pairs)
+
+    return ref.mapInArrow(run, PAIR)
+
+
+def _nearest(c: np.ndarray, rid: np.ndarray, qid: np.ndarray, gap: np.ndarray | None, k: int | None, exclude_self: bool) -> list[np.ndarray]:
+    """Pairs of a tile: all, or those that can be among the k nearest of their query (ties included)."""
+    take = np.ones(c.shape, bool)
+    if k is not None and len(rid) > k + exclude_self:
+        # by class distance first; rows within the rounding of that sum are kept, and ranked exactly later
+        key = c if gap is None else c + 1e9 * gap
+        bound = np.partition(key, k - 1 + exclude_self, axis=0)[k - 1 + exclude_self]
+        take = key <= bound + 1e-9 * (1 + np.abs(bound))
+    if exclude_self:
+        take &= rid[:, None] != qid
+    r, q = np.nonzero(take)
+    return [qid[q], rid[r], c[r, q], np.zeros(len(r), np.int64) if gap is None else gap[r, q]]
+
+
 def _top(cols: list[np.ndarray], k: int) -> list[np.ndarray]:
     qid, rid, cost, gap = cols
     order = np.lexsort([rid, cost, gap, qid])

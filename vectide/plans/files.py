@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vectide.functions import vec
@@ -105,11 +104,13 @@ for _name, (_sql, _f) in PIXEL.items():
     _pixels(_name, _sql, _f)
 
 
-@query("select vec_id, n // 23 as tile_row, n % 23 as tile_col from (select vec_id, row_number() over (order by vec_id) - 1 as n from embeddings) where n < 529")
+@query("""select vec_id, n // side as tile_row, n % side as tile_col from (select vec_id, row_number() over (order by vec_id) - 1 as n from embeddings),
+    (select cast(round(sqrt(count(*))) as bigint) as side from embeddings)""")
 def k6_grid_places(spark, d):
-    """Row and column of each image in a grid of 23 x 23, the first 529."""
-    x = numbered(table(spark, d, "embeddings").select("vec_id"), "vec_id").withColumn("n", F.col("rn") - 1).where("n < 529")
-    return x.select("vec_id", F.floor(F.col("n") / 23).alias("tile_row"), (F.col("n") % 23).alias("tile_col"))
+    """Row and column of every image in a grid of round(sqrt(n)) columns."""
+    x = numbered(table(spark, d, "embeddings").select("vec_id"), "vec_id").withColumn("n", F.col("rn") - 1)
+    side = round(x.count() ** 0.5)
+    return x.select("vec_id", F.floor(F.col("n") / side).alias("tile_row"), (F.col("n") % side).alias("tile_col"))
 
 
 @query("select vec_id from embeddings where vec_id % 7 = 0 order by vec_id limit 20")
@@ -135,6 +136,4 @@ def k10_metrics_row(spark, d):
 @query("select label, count(*) as n, min(vec_id) as first_id, max(vec_id) as last_id from embeddings group by label")
 def k9_stacked_groups(spark, d):
     """Each label's vectors as they would be stacked into one array: count and the first and last id."""
-    w = Window.partitionBy("label")
-    x = table(spark, d, "embeddings").select("label", "vec_id").withColumn("n", F.count("*").over(w))
-    return x.groupBy("label").agg(F.max("n").alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))

@@ -90,9 +90,12 @@ def r12_haar_round_trip(spark, d):
     return place(layout.linear(z, m.T, "z", "back"), F.col("back"))
 
 
-@query("select k as band, round(sqrt(98.0) * k / 4 + case when k = 4 then 1e-6 else 0 end, 6) + 0.0 as edge from (select unnest(range(5)) as k)")
+@query("""select 'even' as kind, k as band, round(sqrt(98.0) * k / 4 + case when k = 4 then power(2, -23) else 0 end, 9) + 0.0 as edge from (select unnest(range(5)) as k)
+    union all select 'scaled', k, round(sqrt(98.0) * k * k / 16 + case when k = 4 then power(2, -23) else 0 end, 9) + 0.0 from (select unnest(range(5)) as k)""")
 def r13_band_edges(spark, d):
-    return spark.createDataFrame(list(enumerate(arrays.band_edges(8, 8, 4))), "band long, edge double").withColumn("edge", r6("edge"))
+    """Even edges, and those of a schedule of 1, 4, 9, 16 (and an entry over the number of bands)."""
+    rows = [(kind, k, e) for kind, s in (("even", None), ("scaled", [1, 4, 9, 16, 99])) for k, e in enumerate(arrays.band_edges(8, 8, 4, s))]
+    return spark.createDataFrame(rows, "kind string, band long, edge double").withColumn("edge", F.round("edge", 9) + F.lit(0.0))
 
 
 @query("select p_partkey, least(greatest(cast(round_even(p_size / 50.0 * 65, 0) as bigint), 0), 64) as by_ratio, least(p_size, 64) as by_count from part")
@@ -119,12 +122,17 @@ def r16_square_mask(spark, d):
 
 @query("""with z as (select p, row_number() over (order by p // 8 + p % 8, case when (p // 8 + p % 8) % 2 = 0 then p % 8 else p // 8 end) as n from (select unnest(range(64)) as p))
     select mode, p as pos, cast(case mode when 'low' then n <= 10 when 'high' then n > 54 when 'drop_high' then n <= 54 else n > 10 end as bigint) as keep
-    from (select unnest(['low', 'high', 'drop_high', 'drop_low']) as mode), z""")
+    from (select unnest(['low', 'high', 'drop_high', 'drop_low']) as mode), z union all
+    select 'square_' || mode, p, cast(case mode when 'low' then p // 8 < 4 and p % 8 < 4 when 'high' then p // 8 >= 4 and p % 8 >= 4 when 'drop_high' then p // 8 < 7 and p % 8 < 7 else p // 8 >= 1 and p % 8 >= 1 end as bigint)
+    from (select unnest(['low', 'high', 'drop_high', 'drop_low']) as mode), (select unnest(range(64)) as p)""")
 def r17_band_mask(spark, d):
-    return mask_rows(spark, {m: arrays.band_mask(8, 8, m, 10) for m in ("low", "high", "drop_high", "drop_low")})
+    """Ten places by zig-zag order; by squares 16 places, or all but 15."""
+    modes = ("low", "high", "drop_high", "drop_low")
+    squares = {f"square_{m}": arrays.band_mask(8, 8, m, 15 if "drop" in m else 16, "square") for m in modes}
+    return mask_rows(spark, {m: arrays.band_mask(8, 8, m, 10) for m in modes} | squares)
 
 
-@query("select k as band, count(*) as cells from (select unnest(range(1, 5)) as k), (select unnest(range(64)) as p) where sqrt((p // 8) * (p // 8) + (p % 8) * (p % 8)) < sqrt(98.0) * k / 4 + case when k = 4 then 1e-6 else 0 end group by k")
+@query("select k as band, count(*) as cells from (select unnest(range(1, 5)) as k), (select unnest(range(64)) as p) where sqrt((p // 8) * (p // 8) + (p % 8) * (p % 8)) < sqrt(98.0) * k / 4 + case when k = 4 then power(2, -23) else 0 end group by k")
 def r18_keep_from_bands(spark, d):
     edges = arrays.band_edges(8, 8, 4)
     return spark.createDataFrame([(k, sum(math.hypot(p // 8, p % 8) < edges[k] for p in range(64))) for k in range(1, 5)], "band long, cells long")

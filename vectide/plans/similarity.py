@@ -1,6 +1,7 @@
 """Similarity joins, top-k, weighting and interpolation over the embeddings table.
 
-Queries are the vectors whose id is divisible by 50; the reference is all others. Vectors are of unit length, so
+Queries are the vectors whose id is divisible by 50; the reference is all vectors. Joins hold a query's pair with itself too; the nearest
+rows of a query leave it out. Vectors are of unit length, so
 those for squared distance are scaled by 1 + label / 10.
 """
 
@@ -13,13 +14,14 @@ from vectide.operators import moments, simjoin, weights
 from vectide.plans.registry import VECTORS, query, r6, vectors
 
 K = 10
-QUERY, REF = "vec_id % 50 = 0", "vec_id % 50 != 0"
+QUERY = "vec_id % 50 = 0"
 COST = "-list_dot_product(q.v, r.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(r.v, r.v)) + 1e-8)"
-PAIRS = f"from {VECTORS} q join {VECTORS} r on q.vec_id % 50 = 0 and r.vec_id % 50 != 0"
+PAIRS = f"from {VECTORS} q join {VECTORS} r on q.vec_id % 50 = 0"
+OTHERS = f"{PAIRS} and q.vec_id != r.vec_id"
 SCALED = "(select vec_id, label, list_transform(cast(embedding as double[]), lambda x: x * (1 + label / 10.0)) as v from embeddings)"
 L2 = "list_dot_product(q.v, q.v) + list_dot_product(r.v, r.v) - 2 * list_dot_product(q.v, r.v)"
 TOP = f"""top as (select * from (select q.vec_id as qid, r.vec_id as rid, {COST} as cost, q.v as qv, r.v as rv,
-    row_number() over (partition by q.vec_id order by {COST}, r.vec_id) as rank {PAIRS}) where rank <= {K})"""
+    row_number() over (partition by q.vec_id order by {COST}, r.vec_id) as rank {OTHERS}) where rank <= {K})"""
 U = "(((qid * 1103515245 + 12345) % 2147483648) / 2147483648.0)"
 WEIGHTED = f"""{TOP}, recost as (select *, list_sum(list_transform(list_zip(qv, rv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(qv) as cost2 from top),
     e as (select *, exp(min(cost2) over (partition by qid) - cost2) as e from recost),
@@ -30,7 +32,7 @@ DRAWN = f"""{WEIGHTED}, cdf as (select *, sum(p) over (partition by qid order by
 
 def sides(spark, d):
     v = vectors(spark, d)
-    return v.where(QUERY), v.where(REF)
+    return v.where(QUERY), v
 
 
 def scaled(spark, d):
@@ -52,26 +54,26 @@ def j2_cosine_join_chunked(spark, d):
 @query(f"select q.vec_id as qid, r.vec_id as rid, round({L2}, 6) + 0.0 as cost {PAIRS.replace(VECTORS, SCALED)}")
 def j3_l2_join(spark, d):
     v = scaled(spark, d)
-    return simjoin.similarity_join(v.where(REF), v.where(QUERY), "l2").withColumn("cost", r6("cost"))
+    return simjoin.similarity_join(v, v.where(QUERY), "l2").withColumn("cost", r6("cost"))
 
 
 @query(f"""select qid, rid, rank, round(cost, 6) + 0.0 as cost from (select q.vec_id as qid, r.vec_id as rid, {COST} as cost,
-    row_number() over (partition by q.vec_id order by abs(r.label - q.label), {COST}, r.vec_id) as rank {PAIRS}) where rank <= {K}""")
+    row_number() over (partition by q.vec_id order by abs(r.label - q.label), {COST}, r.vec_id) as rank {OTHERS}) where rank <= {K}""")
 def j6_same_class_knn(spark, d):
     q, r = sides(spark, d)
-    return simjoin.similarity_join(r, q, class_col="label", k=K).withColumn("cost", r6("cost"))
+    return simjoin.similarity_join(r, q, class_col="label", k=K, exclude_self=True).withColumn("cost", r6("cost"))
 
 
 @query(f"select qid, rid, rank, round(cost, 6) + 0.0 as cost from (with {TOP} select * from top)")
 def t1_topk(spark, d):
     q, r = sides(spark, d)
-    return simjoin.similarity_join(r, q, k=K).withColumn("cost", r6("cost"))
+    return simjoin.similarity_join(r, q, k=K, exclude_self=True).withColumn("cost", r6("cost"))
 
 
 def candidates(spark, d):
     """The k nearest with both vectors (the gather of neighbours is an equi-join on the reference id)."""
     q, r = sides(spark, d)
-    top = simjoin.similarity_join(r, q, k=K)
+    top = simjoin.similarity_join(r, q, k=K, exclude_self=True)
     top = top.join(r.select(F.col("vec_id").alias("rid"), F.col("v").alias("rv")), "rid").join(q.select(F.col("vec_id").alias("qid"), F.col("v").alias("qv")), "qid")
     return top.withColumn("cost2", vec.mse(F.col("qv"), F.col("rv")))
 
@@ -155,6 +157,6 @@ def v4_method_dispatch(spark, d):
 def a8_interpolated_distance(spark, d):
     """Distance between the queries' distribution and that of their interpolants with drawn neighbours; no SQL has the matrix root."""
     x = drawn(spark, d)
-    z = x.select(vec.slerp(F.col("qv"), F.col("rv"), 0.5).alias("v"))
-    a, b = moments.summary(x.select(F.col("qv").alias("v")), "v"), moments.summary(z, "v")
+    z = x.select("qv", vec.slerp(F.col("qv"), F.col("rv"), 0.5).alias("v"))
+    a, b = moments.summaries(z, "qv", "v")
     return spark.createDataFrame([(a.n, round(moments.frechet(a, b), 6))], "n long, distance double")

@@ -61,20 +61,23 @@ def u5_export_scale(spark, d):
     return running_moments(spark, d).select("event_type", r6(s).alias("scale"), (F.round("mean", 5) + F.lit(0.0)).alias("bias"), (F.round(F.pow(1 / s, F.lit(2.0)), 4) + F.lit(0.0)).alias("back"))
 
 
-RING = """(select event_type, event_id, (len(list_distinct(l)) + case when n < 64 and not list_contains(l, 0) then 1 else 0 end) / 16.0 as usage from (select event_type, event_id,
-    list(user_id % 16) over (partition by event_type order by event_id rows 63 preceding) as l, row_number() over (partition by event_type order by event_id) as n from events))"""
+RING = """(select event_type, event_id, (len(list_distinct(l)) + case when n < 65536 and not list_contains(l, 0) then 1 else 0 end) / 1024.0 as usage from (select event_type, event_id,
+    list(user_id % 1024) over (partition by event_type order by event_id rows 65535 preceding) as l, row_number() over (partition by event_type order by event_id) as n from events))"""
+
+
+def ring(spark, d):
+    return running.ring_usage(table(spark, d, "events"), "event_type", "event_id", F.col("user_id") % 1024, 65536, 1024)
 
 
 @query(f"select * from {RING}")
 def u6_ring_usage(spark, d):
-    return running.ring_usage(table(spark, d, "events"), "event_type", "event_id", F.col("user_id") % 16, 64, 16)
+    return ring(spark, d)
 
 
 @query(f"select round(avg(usage), 6) + 0.0 as usage from (select event_type, arg_max(usage, event_id) as usage from {RING} group by event_type)")
 def u7_mean_ring_usage(spark, d):
     """The last usage of each codebook, averaged."""
-    x = running.ring_usage(table(spark, d, "events"), "event_type", "event_id", F.col("user_id") % 16, 64, 16)
-    return x.groupBy("event_type").agg(F.max_by("usage", "event_id").alias("usage")).agg(r6(F.avg("usage")).alias("usage"))
+    return ring(spark, d).groupBy("event_type").agg(F.max_by("usage", "event_id").alias("usage")).agg(r6(F.avg("usage")).alias("usage"))
 
 
 @query("select event_id from events where event_id % 100 = 0 or event_id = 1")

@@ -34,8 +34,14 @@ def scan_class_folders(spark: SparkSession, root: str) -> DataFrame:
     return dense_index(x, "class_name", "label").select("path", "class_name", "label")
 
 
-def scan_images(spark: SparkSession, root: str, extensions=CLASS_EXTENSIONS, max_images: int | None = None) -> DataFrame:
-    """path and name relative to root, in path order, the first max_images of them if given."""
+def decoder_extensions(spark: SparkSession) -> list[str]:
+    """File name endings that the decoder of decode_rgb has readers for."""
+    return sorted({x.lower() for x in spark._jvm.javax.imageio.ImageIO.getReaderFileSuffixes() if x})
+
+
+def scan_images(spark: SparkSession, root: str, extensions=None, max_images: int | None = None) -> DataFrame:
+    """path and name relative to root, in path order, the first max_images of them if given; of the decoder's own extensions by default."""
+    extensions = decoder_extensions(spark) if extensions is None else extensions
     base = F.substring_index("path", root.rstrip("/") + "/", -1)
     x = _files(spark, root).where(_extension().isin(*extensions)).select("path", base.alias("name")).orderBy("path")
     return x.limit(max_images) if max_images is not None else x
