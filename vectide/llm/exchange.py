@@ -12,6 +12,7 @@ All steps are deterministic functions of their input rows, so lost tasks can be
 from __future__ import annotations
 
 import ctypes
+import gc
 from functools import wraps
 from inspect import isgeneratorfunction
 
@@ -98,6 +99,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark remove shuffle files of finished rounds: its cleaner does so after garbage collections of the driver, which may else be far apart."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 @lean
 def _pack(batches):
     """Rows of a task as one compressed blob for each chunk, whenever PACK_BYTES have come together."""

@@ -3,7 +3,9 @@
 Every word belongs to one of ``classes`` classes. A token's probability is that of its class after the class before it,
 times its share of its class, mixed with the smoothed unigram probability. Classes start from a hash of the last two bytes of a word;
 an exchange round moves every word, whatever its count, to the class whose left and right neighbour classes fit its own best, given
-the class bigram counts of the round before (all words at once, as is usual when exchange is run in parallel).
+the class bigram counts of the round before (all words at once, as is usual when exchange is run in parallel); of equally good classes a
+word's own stays, then the first. Rounds go on until the likelihood that classes give the training tokens gains less than ``gain``
+(a share of the logarithm), ``rounds`` at most; a round that lowers it is refused.
 
 A chunk of documents sends, for each distinct word, its count and sparse neighbour-class counts to the word's key range,
 which adds them up over all chunks and answers with total count and class. Only tables of classes x classes, and the
@@ -11,7 +13,7 @@ number of distinct words, reach the driver. Words seen once stand for unknown wo
 words are one more type, so the probabilities of all types sum to one.
 
 Null texts are empty (one end token); documents of a null id are learnt from or not by the crc32 of the empty text;
-repeated rows count each time; an empty table gives an empty result; without training tokens the score is the base score;
+repeated rows count each time; very long texts are scored whole; an empty table gives an empty result; without training tokens the score is the base score;
 other columns are not read.
 """
 
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from vectide.llm import exchange as X
 from vectide.llm.textnp import Words, blocks, mix64, packed
 
-COUNTS = ["u8", "u8"]  # word hash, training count; sparse counts follow
+COUNTS = ["u8", "u8", "u1"]  # word hash, training count, class; sparse counts follow
+BIGRAMS = 8  # kind of rows that hold a chunk's class bigrams
 SPARSE = ["u4", "u2", "u4"]  # word number in the blob, neighbour class, count
 MIX, PRIOR = 0.95, 5.0
 
@@ -103,41 +106,50 @@ def _classes(t: Tokens, answers: pa.Table | None, keys: np.ndarray, n: int, clas
 
 
 @X.lean
-def _count(table: pa.Table, answers: pa.Table | None, n: int, classes: int) -> pa.Table:
+def _count(table: pa.Table, answers: pa.Table | None, r: int, classes: int) -> pa.Table:
     """Counts and neighbour classes of the distinct words of a chunk."""
     if not table.num_rows:
         return X.rows([])
     chunk = table["chunk"][0].as_py()
     t = Tokens(X.ordered(table), classes)
     keys, back = t.distinct()
-    z = t.initial.astype(np.int64) if answers is None else _classes(t, answers, keys, n, classes)[1][back]
+    z = t.initial.astype(np.int64) if answers is None else _classes(t, answers, keys, r, classes)[1][back]
     before, after = t.neighbours(z, classes)
     word = back[t.learn]
     total = np.bincount(word, minlength=len(keys)).astype("u8")
+    own = np.zeros(len(keys), "u1")
+    own[back] = z
     size = 2 * (classes + 1)
     pair, many = X.distinct(np.concatenate([word * size + before[t.learn], word * size + classes + 1 + after[t.learn]]))
     of, ctx = pair // size, pair % size
-    at = X.cuts(keys, n, 64)
-    out = []
-    for b in range(n):
+    at = X.cuts(keys, r, 64)
+    out = [(r, chunk, BIGRAMS, t.bigrams(z, classes, classes + 1).tobytes())] if answers is not None else []
+    for b in range(r):
         lo, hi = at[b], at[b + 1]
         if hi > lo:
             i, j = np.searchsorted(of, [lo, hi])
-            out.append((b, chunk, 0, X.dump(keys[lo:hi], total[lo:hi]) + X.dump((of[i:j] - lo).astype("u4"), ctx[i:j].astype("u2"), many[i:j].astype("u4"))))
+            blob = X.dump(keys[lo:hi], total[lo:hi], own[lo:hi]) + X.dump((of[i:j] - lo).astype("u4"), ctx[i:j].astype("u2"), many[i:j].astype("u4"))
+            out.append((b, chunk, 0, len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)))
     return X.rows(out)
 
 
+def _blob(payload) -> memoryview:
+    return memoryview(pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), "zstd"))
+
+
 @X.lean
-def _exchange(table: pa.Table, bigrams: np.ndarray, classes: int) -> pa.Table:
+def _exchange(table: pa.Table, bigrams: np.ndarray, classes: int, move: bool) -> pa.Table:
     """Total counts, and the best class of each word of a key range, for every chunk that has it."""
     dest = table["dest"][0].as_py()
-    got = X.by_kind(table, 0)
+    got = [(d, c, _blob(p)) for d, c, p in X.by_kind(table, 0)]
+    if not got:
+        return X.rows([])
     heads = [X.load(p, COUNTS) for *_, p in got]
     bounds = np.cumsum([0] + [len(h[0]) for h in heads])
-    keys, back = np.unique(np.concatenate([h[0] for h in heads]), return_inverse=True)
-    total = np.zeros(len(keys), np.int64)
-    np.add.at(total, back, np.concatenate([h[1] for h in heads]).astype(np.int64))
-    entries = [X.load(p[8 + 16 * len(h[0]) :], SPARSE) for (*_, p), h in zip(got, heads)]
+    keys, first, back = np.unique(np.concatenate([h[0] for h in heads]), return_index=True, return_inverse=True)
+    own = np.concatenate([h[2] for h in heads])[first]
+    total = np.bincount(back, np.concatenate([h[1] for h in heads]).astype(float), minlength=len(keys)).astype(np.int64)
+    entries = [X.load(p[8 + 17 * len(h[0]) :], SPARSE) for (*_, p), h in zip(got, heads)]
     word = np.concatenate([back[bounds[k] + e[0]] for k, e in enumerate(entries)])
     ctx, many = np.concatenate([e[1] for e in entries]), np.concatenate([e[2] for e in entries]).astype(np.float32)
     order = np.argsort(word, kind="stable")
@@ -152,12 +164,16 @@ def _exchange(table: pa.Table, bigrams: np.ndarray, classes: int) -> pa.Table:
         head = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
         score[w[head]] += np.add.reduceat(fits[ctx[a : a + 50_000]] * many[a : a + 50_000, None], head, axis=0)
     best = score.argmax(1).astype("u1")
+    here = np.arange(len(keys))
+    best = np.where(score[here, best] > score[here, own], best, own) if move else own
     out = [(c, dest, 0, X.dump(total[back[bounds[k] : bounds[k + 1]]].astype("u8"), best[back[bounds[k] : bounds[k + 1]]])) for k, (_, c, _) in enumerate(got)]
-    return X.rows([*out, (-1 - dest, dest, 9, str(int((total > 0).sum())).encode())])
+    return X.rows([*out, (-1 - dest, dest, 9, f"{(total > 0).sum()} {(total * np.log(np.maximum(total, 1))).sum()}".encode())])
 
 
-def _exchanger(bigrams: np.ndarray, classes: int):
-    return lambda t: _exchange(t, bigrams, classes)
+def likelihood(bigrams: np.ndarray) -> float:
+    """What of the logarithm of the training tokens' likelihood depends on their classes."""
+    x = lambda n: float((n * np.log(np.maximum(n, 1))).sum())
+    return x(bigrams.astype(float)) - x(bigrams.sum(0).astype(float)) - x(bigrams.sum(1).astype(float))
 
 
 @X.lean
@@ -217,22 +233,42 @@ def _score(table: pa.Table, answers: pa.Table, bigrams: np.ndarray, distinct: in
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score_texts(docs: DataFrame, held_out, classes: int = 64, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, classes: int = 64, rounds: int = 3, gain: float = 0.01, id_col: str = "doc_id", text_col: str = "text", n: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities). held_out: a boolean column."""
     if not 1 <= classes <= 250 or rounds < 1:
         raise ValueError("classes must be 1 to 250, rounds 1 or more")
     n, r = X.partitions(docs, n, text_col)
     plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), (~held_out).alias("train"))
-    bigrams = _summed(plain.mapInArrow(lambda it: _initial_bigrams(it, classes), "table binary"), classes + 1)
     parts = X.chunked(plain, n, "doc_id", "text", ["train"])
-    by_chunk, answers = parts.groupBy("chunk"), None
-    for _ in range(rounds):
-        if answers is None:
-            counts = by_chunk.applyInArrow(lambda t: _count(t, None, r, classes), X.ROWS)
-        else:
-            counts = by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _count(a, b, r, classes), X.ROWS)
-        answers = X.checkpointed(counts.groupBy("dest").applyInArrow(_exchanger(bigrams[: classes + 1, : classes + 1], classes), X.ROWS))
-        bigrams = _summed(by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _bigrams(a, b, r, classes), "table binary"), classes + 2)
-    distinct = answers.where("kind = 9").agg(F.sum(F.col("payload").cast("string").cast("long"))).first()[0] or 0
+    by_chunk = parts.groupBy("chunk")
+
+    def exchanged(counts: DataFrame, bigrams: np.ndarray, move: bool = True) -> DataFrame:
+        return X.checkpointed(counts.where("kind = 0").groupBy("dest").applyInArrow(lambda t: _exchange(t, bigrams, classes, move), X.ROWS))
+
+    def tables(answers: DataFrame) -> np.ndarray:
+        return _summed(by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _bigrams(a, b, r, classes), "table binary"), classes + 2)
+
+    first = by_chunk.applyInArrow(lambda t: _count(t, None, r, classes), X.ROWS)
+    bigrams = _summed(plain.mapInArrow(lambda it: _initial_bigrams(it, classes), "table binary"), classes + 1)
+    answers, done, refused = exchanged(first, bigrams), 1, False
+    got = answers.where("kind = 9").select(F.split(F.col("payload").cast("string"), " ").alias("x")).agg(F.sum(F.col("x")[0].cast("long")), F.sum(F.col("x")[1].cast("double"))).first()
+    distinct, words = got[0] or 0, got[1] or 0.0
+    last, before = words + likelihood(bigrams), None  # before: the answers that the last round changed
+    while done < rounds and not refused:
+        X.release(docs)
+        counts = by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _count(a, b, r, classes), X.ROWS)
+        counts = X.checkpointed(counts.repartition(n, "dest"))
+        bigrams = _summed(counts.where(f"kind = {BIGRAMS}").select(F.col("payload").alias("table")), classes + 1)
+        now = words + likelihood(bigrams)
+        refused = now < last
+        if refused or now - last < gain * abs(last):
+            break
+        before, last = answers, now
+        answers, done = exchanged(counts, bigrams), done + 1
+    X.release(docs)
+    bigrams = tables(answers)
+    if refused or words + likelihood(bigrams[: classes + 1, : classes + 1]) < last - 1e-6 * abs(last):  # back to the classes before the last round
+        answers = exchanged(first, bigrams, move=False) if before is None else before
+        bigrams = tables(answers)
     distinct += int(bigrams[:, classes].sum() > 0)  # the end
     return by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _score(a, b, bigrams, distinct, r, classes), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
