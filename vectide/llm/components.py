@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.exchange import checkpointed
+from vectide.llm.exchange import checkpointed, release
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,6 +40,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = e.join(least, "a")
         new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         e = checkpointed(new.distinct())
+        release(e)
         # done when no node has two parents and no parent has another parent
         parents = e.where("a != b")
         many = parents.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")

@@ -8,6 +8,9 @@ prefix only, the rarest of its shingles, as many as let no link escape; shingles
 link across the boundary take part in both. The boundary is the size at which, over the histogram of set sizes, the
 estimated number of rows moved is least.
 
+Shingles are 48-bit hashes. Links are decided by whole sets of them: two texts of 1,000 shingles each have a false common one
+with odds of 1 to 280 million, which changes a link only at the very threshold; equal sets are told by 128 bits.
+
 A list is never turned into all its pairs. Each list has one hub, tested against all its members; members that link
 with it are connected. Only a member that does not is tested against the rest of the list. Sets travel to the chunks
 of list members (once a chunk, not once a member), and tests compare whole sets. A task reports its links as stars that
@@ -15,7 +18,8 @@ connect the same nodes, so a large group leaves fewer edges than it has members
 
 Words are runs of other than white space after lower-casing A-Z; a text with fewer words than ``width`` is one
 shingle of all of them. Texts that are null or have no words have an empty set and link with nothing. Repeated rows are nodes
-like others; a null id counts as the largest; an empty table gives an empty result; other columns are not read.
+like others; a null id counts as the largest; very long texts are sets of any size; of equal sets the least id, then the first place,
+stands for all; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from vectide.llm.textnp import Words, blocks, mix64, packed, word_counts
 LOW48 = np.uint64((1 << 48) - 1)
 POSTINGS, EDGES, HUBS, TESTS, SHIPS, SETS, UNLINKED, DIGESTS, REPS, DOCS = range(10)
 DOC = ["u8", "u8", "i8", "u4"]  # two digests of the set, id, size
-MAX_LIGHT = 24
+MAX_LIGHT, TESTED = 24, 1 << 20  # largest boundary (subsets of larger sets cost more than any list); tests at a time
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -339,7 +343,7 @@ def _ship(table: pa.Table, answers: pa.Table, width: int) -> pa.Table:
 
 
 @X.lean
-def _test(table: pa.Table, answers: pa.Table, n: int, width: int, percent: int) -> pa.Table:
+def _test(table: pa.Table, answers: pa.Table, r: int, width: int, percent: int) -> pa.Table:
     """Verified edges, and list members that don't link with what was tested in their list."""
     out = [(d, c, EDGES, p) for d, c, p in X.by_kind(answers, EDGES)]
     posts, tests = X.by_kind(answers, POSTINGS), X.by_kind(answers, TESTS)
@@ -350,19 +354,41 @@ def _test(table: pa.Table, answers: pa.Table, n: int, width: int, percent: int)
     (k, probe), _ = X.load_all([p for *_, p in tests], ["u8", "u8"])
     a, b = np.searchsorted(h, k, "left"), np.searchsorted(h, k, "right")
     many = b - a
-    flat = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    k, probe, member = np.repeat(k, many), np.repeat(probe, many), idx[flat]
-    other = probe != node(chunk, member)
-    k, probe, member = k[other], probe[other], member[other]
-    nodes, numbers = np.unique(probe, return_inverse=True)
-    pair, back = np.unique(numbers.astype(np.uint64) << np.uint64(32) | member.astype(np.uint64), return_inverse=True)
     sets = {}
     for *_, blob in X.by_kind(answers, SETS):
         own, size = X.load(blob, ["u8", "u4"])
         (values,) = X.load(blob[8 + 12 * len(own) :], ["u8"])
         sets |= dict(zip(own.tolist(), np.split(values, np.cumsum(size)[:-1])))
-    which, local = np.unique((pair & np.uint64(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
+    used = np.zeros(len(h) + 1, np.int64)
+    np.add.at(used, a, 1)
+    np.add.at(used, b, -1)
+    which = np.unique(idx[np.cumsum(used[:-1]) > 0])
     s = Sets(X.ordered(table), width, which)
+    total, ends = np.concatenate([[0], np.cumsum(many)]), 0
+    edges, left = [], []
+    while ends < len(k):  # tests in slices of bounded size, a long list's probes in several
+        begin, ends = ends, max(int(np.searchsorted(total, total[ends] + TESTED, "right")) - 1, ends + 1)
+        part = slice(begin, ends)
+        n = many[part]
+        flat = np.repeat(a[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        one = _tested(np.repeat(k[part], n), np.repeat(probe[part], n), idx[flat].astype(np.int64), chunk, s, which, sets, percent)
+        edges.append(one[0])
+        left.append(one[1])
+    x, y = np.concatenate(edges, 1) if edges else np.zeros((2, 0), np.uint64)
+    out.append((chunk, chunk, EDGES, X.dump(*forest(x, y))))
+    left = np.unique(np.concatenate(left), axis=0) if left else np.zeros((0, 2), np.uint64)
+    if len(left):
+        out += _sent(np.ascontiguousarray(left[:, 0]), [np.ascontiguousarray(left[:, 1])], 48, r, chunk, UNLINKED)
+    return X.rows(out)
+
+
+def _tested(k, probe, member, chunk: int, s: Sets, which: np.ndarray, sets: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the links among (probe, member) of lists k, and (list, member) of those without a link."""
+    other = probe != node(chunk, member)
+    k, probe, member = k[other], probe[other], member[other]
+    nodes, numbers = np.unique(probe, return_inverse=True)
+    pair, back = np.unique(numbers.astype(np.uint64) << np.uint64(32) | member.astype(np.uint64), return_inverse=True)
+    local = np.searchsorted(which, (pair & np.uint64(0xFFFFFFFF)).astype(np.int64))
     linked = np.zeros(len(pair), bool)
     theirs = [sets[x] for x in nodes.tolist()]
     sizes = np.array([len(x) for x in theirs], np.int64)
@@ -377,13 +403,10 @@ def _test(table: pa.Table, answers: pa.Table, n: int, width: int, percent: int)
         both = np.sort(np.concatenate([mine, their]))
         common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(part))
         linked[part] = 100 * common >= percent * (m[part] + size[part] - common)
-    member_of_pair = node(chunk, (pair & np.uint64(0xFFFFFFFF)))
-    out.append((chunk, chunk, EDGES, X.dump(*forest(nodes[of][linked], member_of_pair[linked]))))
     bad = ~linked[back]
-    left = np.unique(np.stack([k[bad], node(chunk, member[bad])], 1), axis=0)
-    if len(left):
-        out += _sent(np.ascontiguousarray(left[:, 0]), [np.ascontiguousarray(left[:, 1])], 48, n, chunk, UNLINKED)
-    return X.rows(out)
+    mine = node(chunk, (pair & np.uint64(0xFFFFFFFF)))
+    edges = np.stack(forest(nodes[of][linked], mine[linked])) if linked.any() else np.zeros((2, 0), np.uint64)
+    return edges, np.unique(np.stack([k[bad], node(chunk, member[bad])], 1), axis=0)
 
 
 @X.lean
@@ -435,6 +458,7 @@ def _graph(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str
     levels = shingles.groupBy("dest").applyInArrow(lambda t: _frequencies(t), X.ROWS)
     posts = text.cogroup(levels.union(state).groupBy("dest")).applyInArrow(lambda a, b: _post(a, b, r, width, light, percent), X.ROWS)
     posts = X.checkpointed(posts.repartition(n, "dest"))
+    X.release(docs)
     own, lists = posts.where(f"kind = {POSTINGS}"), posts.where(f"kind in ({HUBS}, {UNLINKED})")
 
     def tested(probes: DataFrame) -> DataFrame:

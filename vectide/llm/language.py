@@ -7,7 +7,7 @@ language is that of most letters, its score their share.
 
 The model is fitted on a bounded sample of labelled rows (``max_rows`` for each language, taken by a hash of the id).
 Texts that are null or have no letter are ``und`` with score 0; rows with null language teach nothing; without any training rows all
-texts are ``und``; ties go to the language that sorts first; repeated rows are labelled one by one; empty tables
+texts are ``und``; very long texts are labelled whole; ties go to the language that sorts first; repeated rows are labelled one by one; empty tables
 give empty results; carried columns whose name a result column has are dropped.
 """
 
@@ -102,15 +102,15 @@ class Model:
         return label
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2000, penalty: float = 6.0) -> Model | None:
+def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2000, penalty: float = 6.0, max_langs: int = 200) -> Model | None:
+    """Model of the max_langs commonest languages (the model has one table each), of at most about max_rows rows of each."""
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1_000_000)).alias("h"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    langs = sorted(r.lang for r in counts.collect())
+    if not langs:
         return None
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep |= (F.col("lang") == lang) & (F.col("h") < int(1_000_000 * min(1, max_rows / n)))
-    langs = sorted(counts)
+    share = F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("n"))
+    sample = rows.join(F.broadcast(counts), "lang").where(F.col("h") < share)  # max_langs rows
 
     @lean
     def count(batches):
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
                 scripts += np.bincount(of * scripts.shape[1] + _script(w), minlength=scripts.size).reshape(scripts.shape)
         yield pa.RecordBatch.from_pydict({"a": [total.tobytes()], "b": [scripts.tobytes()]})
 
-    got = rows.where(keep).select("lang", "text").repartition(8).mapInArrow(count, "a binary, b binary").collect()  # eight tables of fixed size
+    got = sample.select("lang", "text").repartition(8).mapInArrow(count, "a binary, b binary").collect()  # eight tables of fixed size
     total = sum(np.frombuffer(r.a, np.int64) for r in got).reshape(len(langs), BUCKETS)
     scripts = sum(np.frombuffer(r.b, np.int64) for r in got).reshape(len(langs), -1)
     return Model(langs, total, scripts, penalty)
