@@ -50,3 +50,19 @@ def test_escapes(turns):
     esc = lambda s: s.replace("\\", "\\\\").replace("<|", "<\\|")
     role = lambda s: "".join("\\" + c if c in "\\<|>" else c for c in s)
     assert chat.parse("".join(f"{chat.HEAD}{role(a)}|>\n{esc(b)}{chat.END}" for a, b in turns)) == turns
+
+
+def test_edges(spark):
+    """Clashing columns are dropped or kept apart, an empty table stays empty, and a very long turn comes back whole."""
+    long = "<|end|> \\ é " * 300_000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 1, "assistant", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'z' as formatted", "'z' as loss_spans", "'z' as rn", "'z' as at", "'z' as body")
+    out = chat.format_chat(df)
+    assert out.columns == ["conv_id", "formatted", "loss_spans"]
+    r = chat.read_back(out).first()
+    assert (r.n_turns, r.loss_chars) == (3, 2 * len(long)) and r.loss_sha256 == hashlib.sha256((2 * long).encode()).hexdigest()
+    assert chat.read_back(out.limit(0)).collect() == []
+    records = spark.createDataFrame([(1, '{"prompt": "a", "completion": "b"}', "z", "z")], "id long, record string, turns string, v string")
+    got = chat.canonical_turns(records, "record")
+    assert got.columns == ["id", "layout", "turns"] and [tuple(t) for t in got.first().turns] == [("user", "a"), ("assistant", "b")]
+    assert chat.canonical_turns(records.limit(0), "record").collect() == []

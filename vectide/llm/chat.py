@@ -10,7 +10,8 @@ roles each of ``\\ < | >`` gets a ``\\`` before it, so no text or role can hold
 The loss mask is a list of (start, length) in code points that cover exactly the escaped assistant texts.
 
 Null texts and roles are empty; turns with equal numbers are ordered by role and text, repeated rows are turns of their
-own, null turn numbers come first; a null conversation id is a conversation; other input columns are not read.
+own, null turn numbers come first; a null conversation id is a conversation; very long turns come back whole; empty tables give empty
+results; other input columns are not read, and carried columns named like results (layout, turns) are dropped.
 """
 
 from __future__ import annotations

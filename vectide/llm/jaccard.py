@@ -39,7 +39,7 @@ from vectide.llm.textnp import Words, blocks, mix64, packed, word_counts
 LOW48 = np.uint64((1 << 48) - 1)
 POSTINGS, EDGES, HUBS, TESTS, SHIPS, SETS, UNLINKED, DIGESTS, REPS, DOCS = range(10)
 DOC = ["u8", "u8", "i8", "u4"]  # two digests of the set, id, size
-MAX_LIGHT, TESTED = 24, 1 << 20  # largest boundary (subsets of larger sets cost more than any list); tests at a time
+MAX_LIGHT, TESTED = 64, 1 << 20  # sizes that the histogram tells apart (subsets of larger sets cost over 10**9 rows each); tests at a time
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -65,7 +65,7 @@ def boundary(hist: dict[int, int], percent: int) -> int:
     return best[1]
 
 
-def _sizes(docs: DataFrame, width: int, text_col: str, most: int = 64) -> dict[int, int]:
+def _sizes(docs: DataFrame, width: int, text_col: str, most: int = MAX_LIGHT) -> dict[int, int]:
     """Texts by shingles (counted with repeats), up to most."""
 
     def run(batches):

@@ -8,7 +8,7 @@ the vector of a repeat. The mean over a text goes
 through one hidden layer; the last fifth of the sample sets the temperature that divides the logit.
 
 Scores need only the text. Null texts are empty and get the score of an empty text; without labels the score is 0.5, with
-labels of one kind it is near that label; repeated ids are scored row by row; a label given twice counts as its mean rounded;
+labels of one kind it is near that label; repeated ids are scored row by row; very long texts are scored whole, and not fitted beyond ``max_bytes``; a label given twice counts as its mean rounded;
 empty tables give empty results; carried columns whose name a result column has are dropped.
 """
 
