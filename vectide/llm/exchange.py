@@ -153,10 +153,21 @@ def ordered(table: pa.Table) -> pa.Table:
 
 
 def rows(items: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    cols = list(zip(*items)) if items else [[], [], [], []]
+    """Rows of dest, chunk, kind and payload, compressed; an Arrow buffer is taken as it is."""
+    cols = [*zip(*items)] if items else [[], [], [], []]
+    cols[3] = [p.to_pybytes() if isinstance(p, pa.Buffer) else _smaller(p) for p in cols[3]]
     return pa.table([pa.array(c, t) for c, t in zip(cols, ARROW_ROWS.types)], schema=ARROW_ROWS)
 
 
+def _smaller(payload: bytes) -> bytes:
+    return b"\0" + bytes(payload) if len(payload) < 512 else b"\1" + len(payload).to_bytes(8, "little") + pa.compress(payload, "zstd", asbytes=True)
+
+
+def unpacked(payload: pa.Buffer) -> memoryview:
+    view = memoryview(payload)
+    return memoryview(pa.decompress(view[9:], int.from_bytes(view[1:9], "little"), "zstd")) if view[0] else view[1:]
+
+
 def cuts(sorted_keys: np.ndarray, r: int, bits: int) -> np.ndarray:
     """Bounds of the r equal key ranges within sorted keys of so many bits."""
     edges = np.array([(b << bits) // r for b in range(1, r)], np.uint64)
@@ -183,7 +194,7 @@ def received(table: pa.Table, bits: int, flag_bits: int, kind: int = 0) -> tuple
 
 def kept_rows(table: pa.Table, kind: int) -> list[tuple[int, int, int, bytes]]:
     """Rows that only pass through a key range, back to their chunk."""
-    return [(c, d, kind, p) for d, c, p in by_kind(table, kind)]
+    return [(c, d, kind, p) for d, c, p in by_kind(table, kind, raw=True)]
 
 
 def replies(table: pa.Table, kind: int) -> dict[int, bytes]:
@@ -257,13 +268,14 @@ def split_by_chunk(chunks: list[int], bounds: np.ndarray, rows: np.ndarray, posi
     return parts if positions else [(c, rows[p]) for c, p in parts]
 
 
-def by_kind(table: pa.Table, kind: int) -> list[tuple[int, int, memoryview]]:
-    """(dest, chunk, payload) of a kind, in a fixed order; payloads are not copied."""
+def by_kind(table: pa.Table, kind: int, raw: bool = False) -> list:
+    """(dest, chunk, payload) of a kind, in a fixed order; raw: payloads as they are in the table, for rows()."""
     at = np.flatnonzero(table["kind"].to_numpy() == kind)
     dest, chunk, payload = table["dest"].to_numpy()[at].tolist(), table["chunk"].to_numpy()[at].tolist(), table["payload"]
-    out = [(d, c, memoryview(payload[int(k)].as_buffer())) for d, c, k in zip(dest, chunk, at)]
+    out = [(d, c, payload[int(k)].as_buffer()) for d, c, k in zip(dest, chunk, at)]
     twice = len(set(zip(dest, chunk))) < len(out)
-    return sorted(out, key=lambda x: (x[0], x[1], bytes(x[2])) if twice else x[:2])
+    out.sort(key=lambda x: (x[0], x[1], x[2].to_pybytes()) if twice else x[:2])
+    return out if raw else [(d, c, unpacked(p)) for d, c, p in out]
 
 
 def subranges(parts: list[np.ndarray], bits: int = 0, size: int = 500_000) -> list[list[tuple[int, int]]]:

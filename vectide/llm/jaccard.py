@@ -139,7 +139,7 @@ def _digests(table: pa.Table, n: int, width: int) -> pa.Table:
 @X.lean
 def _representatives(table: pa.Table) -> pa.Table:
     dest = table["dest"][0].as_py()
-    out = [(d, c, DOCS, p) for d, c, p in X.by_kind(table, DOCS)]
+    out = [(d, c, DOCS, p) for d, c, p in X.by_kind(table, DOCS, raw=True)]
     got = X.by_kind(table, DIGESTS)
     if got:
         (a, b, ids, nodes), bounds = X.load_all([p for *_, p in got], ["u8", "u8", "i8", "u8"])
@@ -219,7 +219,7 @@ def _post(table: pa.Table, answers: pa.Table, n: int, width: int, light: int, pe
         return X.rows([])
     state = State(answers, n)
     table, chunk = X.ordered(table), state.chunk
-    out = [(d, c, k, p) for k in (DOCS, REPS) for d, c, p in X.by_kind(answers, k)]
+    out = [(d, c, k, p) for k in (DOCS, REPS) for d, c, p in X.by_kind(answers, k, raw=True)]
     which = _heavy(state, light, percent)
     s = Sets(table, width, which)
     keys, _ = X.distinct(s.flat)
@@ -326,7 +326,7 @@ def _rest(table: pa.Table) -> pa.Table:
 
 @X.lean
 def _ship(table: pa.Table, answers: pa.Table, width: int) -> pa.Table:
-    out = [(d, c, k, p) for k in (TESTS, EDGES, POSTINGS) for d, c, p in X.by_kind(answers, k)]
+    out = [(d, c, k, p) for k in (TESTS, EDGES, POSTINGS) for d, c, p in X.by_kind(answers, k, raw=True)]
     got = X.by_kind(answers, SHIPS)
     if got and table.num_rows:
         chunk = got[0][0]
@@ -345,7 +345,7 @@ def _ship(table: pa.Table, answers: pa.Table, width: int) -> pa.Table:
 @X.lean
 def _test(table: pa.Table, answers: pa.Table, r: int, width: int, percent: int) -> pa.Table:
     """Verified edges, and list members that don't link with what was tested in their list."""
-    out = [(d, c, EDGES, p) for d, c, p in X.by_kind(answers, EDGES)]
+    out = [(d, c, EDGES, p) for d, c, p in X.by_kind(answers, EDGES, raw=True)]
     posts, tests = X.by_kind(answers, POSTINGS), X.by_kind(answers, TESTS)
     if not (posts and tests and table.num_rows):
         return X.rows(out)
@@ -412,7 +412,7 @@ def _tested(k, probe, member, chunk: int, s: Sets, which: np.ndarray, sets: dict
 @X.lean
 def _edges(batches):
     for batch in batches:
-        (a, b), _ = X.load_all(batch.column("payload").to_pylist(), ["u8", "u8"])
+        (a, b), _ = X.load_all([X.unpacked(p.as_buffer()) for p in batch.column("payload")], ["u8", "u8"])
         yield pa.RecordBatch.from_pydict({"a": a.astype("i8"), "b": b.astype("i8")})
 
 

@@ -123,25 +123,20 @@ def _count(table: pa.Table, answers: pa.Table | None, r: int, classes: int) -> p
     pair, many = X.distinct(np.concatenate([word * size + before[t.learn], word * size + classes + 1 + after[t.learn]]))
     of, ctx = pair // size, pair % size
     at = X.cuts(keys, r, 64)
-    out = [(r, chunk, BIGRAMS, t.bigrams(z, classes, classes + 1).tobytes())] if answers is not None else []
+    out = [(r, chunk, BIGRAMS, pa.py_buffer(t.bigrams(z, classes, classes + 1).tobytes()))] if answers is not None else []
     for b in range(r):
         lo, hi = at[b], at[b + 1]
         if hi > lo:
             i, j = np.searchsorted(of, [lo, hi])
-            blob = X.dump(keys[lo:hi], total[lo:hi], own[lo:hi]) + X.dump((of[i:j] - lo).astype("u4"), ctx[i:j].astype("u2"), many[i:j].astype("u4"))
-            out.append((b, chunk, 0, len(blob).to_bytes(8, "little") + pa.compress(blob, "zstd", asbytes=True)))
+            out.append((b, chunk, 0, X.dump(keys[lo:hi], total[lo:hi], own[lo:hi]) + X.dump((of[i:j] - lo).astype("u4"), ctx[i:j].astype("u2"), many[i:j].astype("u4"))))
     return X.rows(out)
 
 
-def _blob(payload) -> memoryview:
-    return memoryview(pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), "zstd"))
-
-
 @X.lean
 def _exchange(table: pa.Table, bigrams: np.ndarray, classes: int, move: bool) -> pa.Table:
     """Total counts, and the best class of each word of a key range, for every chunk that has it."""
     dest = table["dest"][0].as_py()
-    got = [(d, c, _blob(p)) for d, c, p in X.by_kind(table, 0)]
+    got = X.by_kind(table, 0)
     if not got:
         return X.rows([])
     heads = [X.load(p, COUNTS) for *_, p in got]
@@ -167,7 +162,7 @@ def _exchange(table: pa.Table, bigrams: np.ndarray, classes: int, move: bool) ->
     here = np.arange(len(keys))
     best = np.where(score[here, best] > score[here, own], best, own) if move else own
     out = [(c, dest, 0, X.dump(total[back[bounds[k] : bounds[k + 1]]].astype("u8"), best[back[bounds[k] : bounds[k + 1]]])) for k, (_, c, _) in enumerate(got)]
-    return X.rows([*out, (-1 - dest, dest, 9, f"{(total > 0).sum()} {(total * np.log(np.maximum(total, 1))).sum()}".encode())])
+    return X.rows([*out, (-1 - dest, dest, 9, pa.py_buffer(f"{(total > 0).sum()} {(total * np.log(np.maximum(total, 1))).sum()}".encode()))])
 
 
 def likelihood(bigrams: np.ndarray) -> float:
