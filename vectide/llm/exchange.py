@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from functools import wraps
 from inspect import isgeneratorfunction
 
@@ -101,8 +102,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Let Spark remove shuffle files of finished rounds: its cleaner does so after garbage collections of the driver, which may else be far apart."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first one frees holds the rest
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 @lean

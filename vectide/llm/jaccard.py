@@ -25,7 +25,7 @@ stands for all; an empty table gives an empty result; other columns are not read
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
