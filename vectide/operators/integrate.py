@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vectide.functions import vec
-
 Velocity = Callable[[Column, Column], Column]
 
 

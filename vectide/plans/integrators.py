@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import vec
 from vectide.operators import integrate as I
-from vectide.plans.registry import VECTORS, query, r6, table, vectors
+from vectide.plans.registry import query, r6, table, vectors
 from vectide.plans.scalars import NOISE, POS, place, u
 
 N, SHIFT = 8, 1.5
