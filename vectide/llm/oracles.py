@@ -29,6 +29,27 @@ links as (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id =
 reach as (select doc_id, doc_id as least from documents union select y, least from reach join links on x = reach.doc_id where y > least)
 select documents.doc_id, coalesce(n, 0)::bigint as n_shingles, min(least) as component_id from documents left join n using (doc_id) join reach using (doc_id) group by documents.doc_id, n"""
 
+#: Base counts, then all rules of the cascade, whose order doesn't change the verdict.
+OP4 = rf"""with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, {WORD}) as l from d),
+k as (select doc_id, i, array_to_string(l[i:i + 7], ' ') as s from (select doc_id, l, unnest(range(1, len(l) - 6)) as i from w where len(l) >= 8)),
+rep as (select doc_id, count(distinct p) as n_repeat from (select doc_id, unnest(range(i, i + 8)) as p from (select doc_id, i, count(*) over (partition by doc_id, s) as c from k) where c > 1) group by doc_id),
+lines as (select doc_id, count(*) as n_lines, count(*) - count(distinct x) as n_dup from (select doc_id, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, {WORD}) group by doc_id),
+grams as (select doc_id, n, array_to_string(l[i:i + n - 1], ' ') as g from (select doc_id, l, n, unnest(range(1, len(l) - n + 2)) as i from w, (select unnest([1, 2, 3]) as n) where len(l) >= n)),
+top as (select doc_id, max(case when n = 1 then c end) as top1, max(case when n = 2 then c end) as top2, max(case when n = 3 then c end) as top3
+    from (select doc_id, n, g, count(*) as c from grams group by all) group by doc_id),
+bytes as (select doc_id, sum(c) as size, log2(sum(c)) - sum(c * log2(c)) / sum(c) as entropy from
+    (select doc_id, b, count(*) as c from (select doc_id, unnest(list_transform(range(0, len(h) // 2), lambda i: substr(h, 2 * i + 1, 2))) as b from (select doc_id, hex(encode(t)) as h from d)) group by all) group by doc_id),
+c as (select w.doc_id, len(l)::bigint as n_words, coalesce(list_sum(list_transform(l, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup, 0)::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words,
+    length(t) - length(replace(t, '!', '')) as marks, length(regexp_replace(t, '[^A-Z]', '', 'g')) as upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as letters,
+    coalesce(size, 0) as size, length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) as ascii, coalesce(entropy, 0) as entropy, coalesce(n_lines, 0) as n_lines, top1, coalesce(top2, 0) as top2, coalesce(top3, 0) as top3
+    from w left join rep using (doc_id) left join lines using (doc_id) left join top using (doc_id) left join bytes using (doc_id)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 14 * n_words
+    or 4 * marks > n_words or 2 * upper > greatest(letters, 1) or 2 * (letters + size - ascii) < size or 10 * n_dup_lines > 3 * n_lines
+    or 10 * top1 > 3 * n_words or 20 * top2 > 3 * n_words or 30 * top3 > 3 * n_words or entropy < 2.5) as kept from b"""
+
 OP5 = f"""with w as (select doc_id, regexp_extract_all({LOWER}, {ALNUM}) as l from documents),
 b as (select item_id, regexp_extract_all({LOWER}, {ALNUM}) as l from benchmark),
 size as (select item_id, l, least(10, len(l)) as m from b where len(l) > 0),
@@ -61,4 +82,4 @@ g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
     sum(length({_ROLE}) + length({_TEXT}) + 18) as n from c group by conv_id)
 select conv_id, n_turns, sha256(t) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, n::bigint as formatted_chars from g"""
 
-ORACLE_SQL = {"op1_suffix_array_dedup": OP1, "op2_ngram_jaccard_join": OP2, "op5_decontamination": OP5, "op8_substring_dedup": OP8, "op10_chat_formatting": OP10}
+ORACLE_SQL = {"op1_suffix_array_dedup": OP1, "op2_ngram_jaccard_join": OP2, "op4_quality_rules": OP4, "op5_decontamination": OP5, "op8_substring_dedup": OP8, "op10_chat_formatting": OP10}

@@ -96,5 +96,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op7_lm_scoring, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting)}
 
-#: SQL can't state the models of op3, op7 and op9, the tokenizer of op6 and the cascade of op4; those have brute-force tests.
+#: SQL can't state the models of op3, op7 and op9 and the tokenizer and packing of op6; those have brute-force tests.
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
