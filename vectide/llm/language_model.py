@@ -253,6 +253,7 @@ def score_texts(docs: DataFrame, held_out, classes: int = 64, rounds: int = 3, g
         X.release(docs)
         counts = by_chunk.cogroup(answers.groupBy("dest")).applyInArrow(lambda a, b: _count(a, b, r, classes), X.ROWS)
         counts = X.checkpointed(counts.repartition(n, "dest"))
+        X.release(docs)
         bigrams = _summed(counts.where(f"kind = {BIGRAMS}").select(F.col("payload").alias("table")), classes + 1)
         now = words + likelihood(bigrams)
         refused = now < last
