@@ -456,7 +456,9 @@ def _graph(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str
     state = text.applyInArrow(lambda t: _digests(t, r, width), X.ROWS).groupBy("dest").applyInArrow(lambda t: _representatives(t), X.ROWS).repartition(n, "dest")
     shingles = text.cogroup(state.groupBy("dest")).applyInArrow(lambda a, b: _shingles(a, b, r, width, light, percent), X.ROWS)
     levels = shingles.groupBy("dest").applyInArrow(lambda t: _frequencies(t), X.ROWS)
-    posts = text.cogroup(levels.union(state).groupBy("dest")).applyInArrow(lambda a, b: _post(a, b, r, width, light, percent), X.ROWS)
+    levels = X.checkpointed(levels.union(state))  # small; the shingles' shuffle can go
+    X.release(docs)
+    posts = text.cogroup(levels.groupBy("dest")).applyInArrow(lambda a, b: _post(a, b, r, width, light, percent), X.ROWS)
     posts = X.checkpointed(posts.repartition(n, "dest"))
     X.release(docs)
     own, lists = posts.where(f"kind = {POSTINGS}"), posts.where(f"kind in ({HUBS}, {UNLINKED})")
