@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vectide.llm import exchange as X
 from vectide.llm.components import components, forest
@@ -432,16 +433,16 @@ def _own_nodes(table: pa.Table, n: int) -> pa.Table:
 
 
 @X.lean
-def _taken(table: pa.Table, kept: pa.Table, names: list[str]) -> pa.Table:
+def _taken(table: pa.Table, kept: pa.Table, schema: pa.Schema) -> pa.Table:
     """Rows of a chunk at the places of the kept nodes, without those equal to the row before in id and text."""
     if not (table.num_rows and kept.num_rows):
-        return pa.table({c: [] for c in names})
+        return schema.empty_table()
     table = X.ordered(table)
     last, again = (None, None), np.zeros(table.num_rows, bool)
     for k, row in enumerate(zip(table["doc_id"].to_pylist(), table["text"])):
         again[k], last = k > 0 and row[0] == last[0] and row[1].equals(last[1]), row
     at = np.sort(kept["node"].to_numpy().astype("u8") & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return table.take(pa.array(at[~again[at]])).select(names)
+    return table.take(pa.array(at[~again[at]])).select(schema.names).cast(schema)
 
 
 def _graph(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, n: int | None) -> tuple[int, int, DataFrame, DataFrame]:
@@ -492,11 +493,11 @@ def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str
     component. Rows without words are components of their own, but those equal in id and text are one row.
     """
     n, r, states, roots = _graph(docs, percent, width, id_col, text_col, n)
-    names = ["doc_id", "text", *(carry or [])]
     kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry or []]).schema
+    schema = to_arrow_schema(kind)
     nodes = states.applyInArrow(lambda t: _own_nodes(t, r), "node long, rep_id long")
     least = roots.join(nodes, "node").groupBy("root").agg(F.min(F.struct("rep_id", "node")).alias("least"))
     kept = nodes.join(roots, "node", "left_anti").select("node").union(least.select("least.node"))
     kept = kept.withColumn("chunk", F.shiftright("node", 32).cast("int"))
     parts = X.chunked(docs, n, id_col, text_col, carry)
-    return parts.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(lambda a, b: _taken(a, b, names), kind)
+    return parts.groupBy("chunk").cogroup(kept.groupBy("chunk")).applyInArrow(lambda a, b: _taken(a, b, schema), kind)
