@@ -42,8 +42,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndar
     """Key, text, first byte, windows, left hash, right hash, hash of each segment."""
     k = min(K, length)
     span, n = length - k + 1, len(data)
+    none = [np.zeros(0, t) for t in ("u8", "i8", "i8", "i8", "u8", "u8", "u8")]
     if n < length:
-        return [np.zeros(0, np.int64)] * 7
+        return none
     h = _strings(data, k) if k >= 8 else mix64(lanes(data)[: n - k + 1] & np.uint64((1 << 8 * k) - 1))
     at = np.arange(len(h))
     least = sliding_min((h & ~POSITION) | at.astype(np.uint64), span) & POSITION
@@ -55,7 +56,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndar
     valid = np.cumsum(valid[: len(least)], dtype=np.int8) > 0
     p = np.flatnonzero(valid)
     if not len(p):
-        return [np.zeros(0, np.int64)] * 7
+        return none
     m = least[p].astype(np.int64)
     head = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (p[1:] != p[:-1] + 1)))
     first, m = p[head], m[head]
