@@ -31,7 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     every smaller neighbour likewise (small star); it ends when all edges point at roots. Rounds are checkpointed.
     """
     e = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -40,7 +40,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = e.join(least, "a")
         new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         e = checkpointed(new.distinct())
-        release(e)
+        if not k:
+            release(e)  # what made the edges is large, rounds are not
         # done when no node has two parents and no parent has another parent
         parents = e.where("a != b")
         many = parents.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
