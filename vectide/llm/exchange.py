@@ -104,8 +104,9 @@ def release(df: DataFrame) -> None:
     """Let Spark remove shuffle files of finished rounds: its cleaner does so after garbage collections of the driver, which may else be far apart."""
     for _ in range(2):  # what the first one frees holds the rest
         gc.collect()
+        df.sparkSession.range(1).count()  # the scheduler keeps its last job until there is another
         df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.1)
 
 
 @lean
