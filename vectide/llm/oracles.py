@@ -82,4 +82,53 @@ g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
     sum(length({_ROLE}) + length({_TEXT}) + 18) as n from c group by conv_id)
 select conv_id, n_turns, sha256(t) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, n::bigint as formatted_chars from g"""
 
-ORACLE_SQL = {"op1_suffix_array_dedup": OP1, "op2_ngram_jaccard_join": OP2, "op4_quality_rules": OP4, "op5_decontamination": OP5, "op8_substring_dedup": OP8, "op10_chat_formatting": OP10}
+#: Column as byte count, colon and value, or a dash.
+_FIELD = "coalesce(strlen(cast({0} as varchar))::varchar || ':' || cast({0} as varchar), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: CRC-32 of the decimal id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(range(0, 9 * len(doc_id::varchar)), lambda k: case when k % 9 = 0 then ascii(substr(doc_id::varchar, k // 9 + 1, 1)) + 256 else 0 end)),
+    lambda c, x: case when x > 0 then xor(c, x - 256) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) % 7 = 0"""
+
+
+def _levels(name: str, start: str) -> str:
+    """Nodes (g, lvl, i, h) of trees from their lowest level, and steps (g, i, l) of the proofs of their nodes."""
+    return f"""{name}(g, lvl, i, h) as ({start} union all
+        select g, lvl + 1, i // 2, sha256(string_agg(h, '' order by i)) from (select *, count(*) over (partition by g) as c from {name}) where c > 1 group by g, lvl, i // 2),
+    {name}_top as (select g, max(lvl) as top from {name} group by g),
+    {name}_steps as (select a.g, a.i, list(case when s.i is null then '0' when s.i % 2 = 0 then 'L' || s.h else 'R' || s.h end order by l.lvl) as l
+        from {name} a join {name}_top t on t.g = a.g join (select unnest(range(0, 64)) as lvl) l on l.lvl < t.top
+        left join {name} s on s.g = a.g and s.lvl = l.lvl and s.i = xor(a.i >> l.lvl, 1) where a.lvl = 0 group by a.g, a.i)"""
+
+
+OP11 = f"""with recursive d as (select doc_id, coalesce('+' || lang, '') as g, {_leaf('n_chars')} as leaf, case when {_CRC} then {_leaf('n_chars + 1')} end as other from documents),
+    n as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i from d),
+    {_levels("t", "select g, 0, i, leaf from n")},
+    sub as (select t.g, t.h as subroot, row_number() over (order by t.g) - 1 as i from t join t_top on t.g = t_top.g and t.lvl = top),
+    {_levels("u", "select '', 0, i, subroot from sub")},
+    root as (select h as root from u join u_top on lvl = top),
+    p as (select n.*, sub.subroot, root.root, list_concat(coalesce(t_steps.l, []), coalesce(u_steps.l, [])) as steps
+        from n join sub on sub.g = n.g cross join root left join t_steps on t_steps.g = n.g and t_steps.i = n.i left join u_steps on u_steps.i = sub.i),
+    f as (select *, list_reduce(list_concat([coalesce(other, leaf)], steps), lambda h, s: sha256(case s[1] when 'L' then s[2:] || h else h || s[2:] end)) as folded_root from p)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) as proof_sha256, folded_root, folded_root = root as verified from f"""
+
+OP13 = f"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, {WORD}) as l, min(doc_id) over (partition by t) as least from d),
+lab as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+m as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, (len(l) < 200)::int + 2 * (100 * len(list_distinct(l)) < 50 * len(l))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(w.doc_id > least, false)::int as mask from w left join lab on lab.doc_id = w.doc_id),
+cells as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by all),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as name, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (select a.name || b.name || c.name || d.name || e.name as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits from f a, f b, f c, f d, f e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps as (select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as gone from orders, (select unnest(range(1, 6)) as step)),
+r as (select part, filter_order, step, bit, sum(case when mask & (gone | bit) = 0 then n else 0 end) as kept, sum(case when mask & bit > 0 and mask & gone = 0 then n else 0 end) as removed,
+    sum(case when mask & bit > 0 and mask & gone > 0 then n else 0 end) as redundant, sum(case when mask = bit then n else 0 end) as unique_fails,
+    sum(case when mask & bit > 0 and mask & gone = 0 then good else 0 end) as good_lost, sum(case when mask & bit > 0 and mask & gone = 0 then toxic else 0 end) as toxic_lost from cells, steps group by all)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+    (sum(removed) over (partition by part, bit))::bigint as shapley from r"""
+
+ORACLE_SQL = {"op1_suffix_array_dedup": OP1, "op2_ngram_jaccard_join": OP2, "op4_quality_rules": OP4, "op5_decontamination": OP5, "op8_substring_dedup": OP8, "op10_chat_formatting": OP10, "op11_merkle_manifest": OP11, "op13_filter_interaction_audit": OP13}

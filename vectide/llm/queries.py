@@ -94,7 +94,24 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op7_lm_scoring, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.merkle import leaf, manifest
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    own, more = ([F.col(c) for c in ("doc_id", "source", "lang")], F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = docs.select("doc_id", "lang", leaf(*own, F.col("n_chars"), more).alias("leaf"), F.when(tampered, leaf(*own, F.col("n_chars") + 1, more)).alias("other"))
+    out = manifest(rows, other_col="other")
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.filter_audit import audit, cells, fail_masks
+
+    return audit(cells(fail_masks(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op7_lm_scoring, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting, op11_merkle_manifest, op13_filter_interaction_audit)}
 
 #: SQL can't state the models of op3, op7 and op9 and the tokenizer and packing of op6; those have brute-force tests.
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
