@@ -52,6 +52,8 @@ def tables(spark, tmp_path_factory):
         "labels": spark.createDataFrame([(i, int(i % 2), 0) for i, *_ in docs[5:50]], "doc_id long, quality int, toxic int"),
         "conversations": spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"),
     }
+    pages = [(k, f"http://h{k % 3}.org/{k}", f"<html><body><nav><a href=/>Home</a></nav><article><h1>T {k} &amp;c</h1><p><b>{(t or '')[:99].replace('<', '&lt;')}</b><br><p>more &quot;{k}&quot;</p></article><footer>&copy; {k}") for k, (i, t, _) in enumerate(docs)]
+    made["pages"] = spark.createDataFrame([*pages, (999, None, None)], "page_id long, url string, html string")
     for name, df in made.items():
         df.repartition(2).write.parquet(f"{folder}/{name}.parquet")
     return folder, [(i, t) for i, t, _ in docs], bench, talk, {i: x for i, _, x in docs}
@@ -149,7 +151,7 @@ def test_sql(spark, tables, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels", "pages"):
         con.execute(f"create view {t} as select * from '{tables[0]}/{t}.parquet/*.parquet'")
     got = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in got.description]
@@ -159,4 +161,4 @@ def test_sql(spark, tables, name):
 
 
 def test_names():
-    assert sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1])) == list(QUERIES) and len(QUERIES) == 10
+    assert sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1])) == list(QUERIES) and len(QUERIES) == 13

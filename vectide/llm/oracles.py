@@ -116,6 +116,13 @@ OP11 = f"""with recursive d as (select doc_id, coalesce('+' || lang, '') as g, {
     f as (select *, list_reduce(list_concat([coalesce(other, leaf)], steps), lambda h, s: sha256(case s[1] when 'L' then s[2:] || h else h || s[2:] end)) as folded_root from p)
 select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) as proof_sha256, folded_root, folded_root = root as verified from f"""
 
+#: The given pages mark the article; what is in it are headings, paragraphs and inline markup. A reading beside the wrappers, by this markup alone.
+OP12 = r"""with a as (select page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') as l from pages),
+t as (select page_id, url, list_transform(l, lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) as l from a),
+e as (select page_id, url, list_transform(l, lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')) as l from t),
+b as (select page_id, url, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x != '') as l from e)
+select page_id, url, array_to_string(l, chr(10) || chr(10)) as text, length(array_to_string(l, chr(10) || chr(10)))::bigint as n_chars from b"""
+
 OP13 = f"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, {WORD}) as l, min(doc_id) over (partition by t) as least from d),
 lab as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
@@ -131,4 +138,4 @@ r as (select part, filter_order, step, bit, sum(case when mask & (gone | bit) =
 select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
     (sum(removed) over (partition by part, bit))::bigint as shapley from r"""
 
-ORACLE_SQL = {"op1_suffix_array_dedup": OP1, "op2_ngram_jaccard_join": OP2, "op4_quality_rules": OP4, "op5_decontamination": OP5, "op8_substring_dedup": OP8, "op10_chat_formatting": OP10, "op11_merkle_manifest": OP11, "op13_filter_interaction_audit": OP13}
+ORACLE_SQL = {"op1_suffix_array_dedup": OP1, "op2_ngram_jaccard_join": OP2, "op4_quality_rules": OP4, "op5_decontamination": OP5, "op8_substring_dedup": OP8, "op10_chat_formatting": OP10, "op11_merkle_manifest": OP11, "op12_html_extraction": OP12, "op13_filter_interaction_audit": OP13}

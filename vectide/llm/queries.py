@@ -105,13 +105,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectide.llm.html_extract import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectide.llm.filter_audit import audit, cells, fail_masks
 
     return audit(cells(fail_masks(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op7_lm_scoring, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting, op11_merkle_manifest, op13_filter_interaction_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_language_id, op4_quality_rules, op5_decontamination, op6_best_fit_packing, op7_lm_scoring, op8_substring_dedup, op9_quality_classifier, op10_chat_formatting, op11_merkle_manifest, op12_html_extraction, op13_filter_interaction_audit)}
 
 #: SQL can't state the models of op3, op7 and op9 and the tokenizer and packing of op6; those have brute-force tests.
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
