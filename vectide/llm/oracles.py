@@ -120,7 +120,7 @@ select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps,
 OP12 = r"""with a as (select page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') as l from pages),
 t as (select page_id, url, list_transform(l, lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) as l from a),
 e as (select page_id, url, list_transform(l, lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')) as l from t),
-b as (select page_id, url, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x != '') as l from e)
+b as (select page_id, url, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g'))), lambda x: x != '') as l from e)
 select page_id, url, array_to_string(l, chr(10) || chr(10)) as text, length(array_to_string(l, chr(10) || chr(10)))::bigint as n_chars from b"""
 
 OP13 = f"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
