@@ -1,4 +1,4 @@
-"""Running-state operators in batch form: weights of an ordered fold known from place and count, so no list is collected and no key is one task."""
+"""Running-state operators in batch form: an ordered fold is a prefix scan, or a sum with weights known from place and count; no list is collected."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.functions.numbering import numbered_by
+from vectide.operators.scan import affine_fold
 
 
 def ema(df: DataFrame, key: str, order: str, value: str, decay: float, name: str = "ema") -> DataFrame:
@@ -18,14 +19,14 @@ def ema(df: DataFrame, key: str, order: str, value: str, decay: float, name: str
     return x.groupBy(key).agg(F.sum(F.col("__x") * first * F.pow(F.lit(decay), F.col("__n") - F.col("__i"))).alias(name))
 
 
+def lerp(value: Column, weight: float, start: float) -> tuple[Column, Column, float]:
+    """The state v <- v + weight * (x - v), v starting at start, for scan.affine_fold."""
+    return F.lit(1.0 - weight), value * F.lit(weight), start
+
+
 def lerp_fold(batches: DataFrame, keys: list[str], place: str, value: Column, weight: float, start: float, name: str) -> DataFrame:
     """Last state of v <- v + weight * (x - v) over the batches of each key, v starting at start; a row of batches stands for a whole batch."""
-    w = Window.partitionBy(*keys)
-    x = batches.select(*keys, place, value.alias("__x"))
-    x = x.withColumn("__i", F.row_number().over(w.orderBy(place))).withColumn("__n", F.count("*").over(w))
-    keep = F.lit(1.0 - weight)
-    total = F.sum(F.col("__x") * weight * F.pow(keep, F.col("__n") - F.col("__i"))) + start * F.pow(keep, F.first("__n"))
-    return x.groupBy(*keys).agg(total.alias(name))
+    return affine_fold(batches, keys, place, {name: lerp(value, weight, start)})
 
 
 def ring_usage(df: DataFrame, key: str, order: str, code: Column, size: int, codes: int, name: str = "usage", width: int = 65536) -> DataFrame:

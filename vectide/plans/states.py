@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vectide.operators import running
+from vectide.operators.scan import affine_fold, affine_scan
 from vectide.plans.registry import query, r6, table
 
 
@@ -38,8 +39,7 @@ RUNNING = """(select event_type, list_reduce(list_concat([0.0], list(m order by
 def running_moments(spark, d):
     """Running mean and (unbiased) variance of each channel over its batches, momentum 0.1."""
     x = table(spark, d, "events").groupBy("event_type", F.floor(F.col("event_id") / 200).alias("b")).agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n")).where("n > 1")
-    mean = running.lerp_fold(x, ["event_type"], "b", F.col("m"), 0.1, 0.0, "mean")
-    return mean.join(running.lerp_fold(x, ["event_type"], "b", F.col("v"), 0.1, 1.0, "var"), "event_type")
+    return affine_fold(x, ["event_type"], "b", {"mean": running.lerp(F.col("m"), 0.1, 0.0), "var": running.lerp(F.col("v"), 0.1, 1.0)})
 
 
 @query(f"select event_type, round(mean, 5) + 0.0 as mean, round(var, 4) + 0.0 as var from {RUNNING}")
@@ -47,6 +47,14 @@ def u4_running_moments(spark, d):
     return running_moments(spark, d).select("event_type", (F.round("mean", 5) + F.lit(0.0)).alias("mean"), (F.round("var", 4) + F.lit(0.0)).alias("var"))
 
 
+@query("""select event_type, b, round(list_reduce(list_concat([1.0], list(x) over (partition by event_type order by b)), lambda v, x: v + 0.05 * (x - v)), 4) + 0.0 as variance from
+    (select event_type, event_id // 200 as b, avg(value * value) as x from events group by all)""")
+def u3_prior_variance_trace(spark, d):
+    """The state after every batch: the scan of the fold."""
+    x = table(spark, d, "events").groupBy("event_type", F.floor(F.col("event_id") / 200).alias("b")).agg(F.avg(F.col("value") * F.col("value")).alias("x"))
+    return affine_scan(x, ["event_type"], "b", {"variance": running.lerp(F.col("x"), 0.05, 1.0)}).withColumn("variance", F.round("variance", 4) + F.lit(0.0))
+
+
 @query("select event_id, round((value - m) / sqrt(v + 1e-4), 5) + 0.0 as value from events join (select event_type, event_id // 200 as b, avg(value) as m, var_pop(value) as v from events group by all) s on s.event_type = events.event_type and s.b = event_id // 200")
 def u4_batch_normalize(spark, d):
     """Each batch normalised by its own mean and biased variance."""
