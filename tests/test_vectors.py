@@ -195,7 +195,7 @@ def test_query_blocks_waves_and_tiles(spark):
     q = df.where("vec_id < 5000")
     cost = simjoin.costs(x, x[:5000], "cosine")
     for own in (False, True):
-        got = simjoin.similarity_join(df, q, k=3, exclude_self=own, block=700, wave=3).toPandas().sort_values(["qid", "rank"])
+        got = simjoin.similarity_join(df, q, k=3, exclude_self=own, block=700).toPandas().sort_values(["qid", "rank"])
         assert len(got) == 15000
         c = cost.copy()
         if own:

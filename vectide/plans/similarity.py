@@ -57,11 +57,25 @@ def j3_l2_join(spark, d):
     return simjoin.similarity_join(v, v.where(QUERY), "l2").withColumn("cost", r6("cost"))
 
 
+@query(f"select q.vec_id as qid, r.vec_id as rid, round({COST}, 6) + 0.0 as cost {PAIRS} where {COST} <= -0.31")
+def j1_cosine_within(spark, d):
+    """Pairs of a cost of at most -0.31; tiles that can't hold one are left out."""
+    q, r = sides(spark, d)
+    return simjoin.similarity_join(r, q, within=-0.31, prune=True).withColumn("cost", r6("cost"))
+
+
+@query(f"select q.vec_id as qid, r.vec_id as rid, round({L2}, 6) + 0.0 as cost {PAIRS.replace(VECTORS, SCALED)} where {L2} <= 1.83")
+def j3_l2_within(spark, d):
+    """Pairs of a squared distance of at most 1.83."""
+    v = scaled(spark, d)
+    return simjoin.similarity_join(v, v.where(QUERY), "l2", within=1.83, prune=True).withColumn("cost", r6("cost"))
+
+
 @query(f"""select qid, rid, rank, round(cost, 6) + 0.0 as cost from (select q.vec_id as qid, r.vec_id as rid, {COST} as cost,
     row_number() over (partition by q.vec_id order by abs(r.label - q.label), {COST}, r.vec_id) as rank {OTHERS}) where rank <= {K}""")
 def j6_same_class_knn(spark, d):
     q, r = sides(spark, d)
-    return simjoin.similarity_join(r, q, class_col="label", k=K, exclude_self=True).withColumn("cost", r6("cost"))
+    return simjoin.similarity_join(r, q, class_col="label", k=K, exclude_self=True, prune=True).withColumn("cost", r6("cost"))
 
 
 @query(f"select qid, rid, rank, round(cost, 6) + 0.0 as cost from (with {TOP} select * from top)")
