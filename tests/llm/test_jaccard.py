@@ -101,3 +101,77 @@ def test_forest_connects_the_same_nodes():
         stars = list(zip(*(x.tolist() for x in forest(a, b))))
         assert roots(stars) == roots(list(zip(a.tolist(), b.tolist())))
         assert len(stars) < max(1, len(set(a.tolist()) | set(b.tolist())))
+
+
+def local(docs, n=3, r=2, percent=75, width=5):
+    """The stages of similar_components without Spark, so that hashes can be changed."""
+    import pyarrow as pa
+
+    from vectide.llm import exchange as X
+    from vectide.llm import jaccard as J
+
+    table = pa.table({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs], pa.string()), "h": pa.array([hash(t) for _, t in docs], pa.int64()), "chunk": pa.array([k % n for k in range(len(docs))], pa.int32())})
+    packs = pa.Table.from_batches(list(X._pack(table.to_batches())))
+    texts = {c: packs.filter(pa.array([x == c for x in packs["chunk"].to_pylist()], pa.bool_())) for c in range(n)}
+
+    def dealt(tables):
+        t = pa.concat_tables([X.rows([]), *tables])
+        return {d: t.filter(pa.array([x == d for x in t["dest"].to_pylist()], pa.bool_())) for d in set(t["dest"].to_pylist())}
+
+    def of(tables, kinds):
+        return [t.filter(pa.array([x in kinds for x in t["kind"].to_pylist()], pa.bool_())) for t in tables]
+
+    light = J.boundary({}, percent) or 4
+    state = dealt([J._representatives(t) for t in dealt([J._digests(t, r, width) for t in texts.values()]).values()])
+    levels = [J._frequencies(t) for t in dealt([J._shingles(texts[c], state[c], r, width, light, percent) for c in texts]).values()]
+    levels = dealt([*levels, *state.values()])
+    posts = [J._post(texts[c], levels[c], r, width, light, percent) for c in texts]
+
+    def tested(probes):
+        sets = [J._ship(texts[c], t) for c, t in dealt(probes).items()]
+        return [J._test(texts[c], t, r, width, percent) for c, t in dealt([*sets, *of(posts, [J.POSTINGS])]).items()]
+
+    first = tested([J._hubs(t) for t in dealt(of(posts, [J.HUBS])).values()])
+    second = tested([J._rest(t) for t in dealt([*of(first, [J.UNLINKED]), *of(posts, [J.HUBS])]).values()])
+    up = {}
+    root = lambda x: x if up.setdefault(x, x) == x else root(up[x])
+    for batch in J._edges(b for t in of([*first, *second], [J.EDGES]) for b in t.to_batches()):
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    members = pa.concat_tables([J._members(pa.concat_tables(of([t], [J.DOCS, J.REPS])), r) for t in levels.values()]).to_pylist()
+    least = {}
+    for m in members:
+        x = root(m["node"])
+        least[x] = min(least.get(x, 1 << 62), 1 << 62 if m["rep_id"] is None else m["rep_id"])
+    return sorted((str(m["doc_id"]), m["n_shingles"], str(None if least[root(m["node"])] == 1 << 62 else least[root(m["node"])])) for m in members)
+
+
+def test_short_texts_of_one_hash(spark):
+    """Two words whose hashes share 48 bits."""
+    docs = [(1, "aaacxisv"), (2, "aacfxsay"), (3, "aaacxisv")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in similar_components(df).collect()) == [(1, 1), (2, 2), (3, 1)]
+    assert local(docs) == brute(docs)
+
+
+def test_colliding_shingles(monkeypatch):
+    """Where all shingles have one of a few hashes, or all the same, words decide: sizes and links stay right."""
+    from vectide.llm import textnp
+
+    docs = documents(4, 30) + [(7000 + k, f"t{k} a b c d e") for k in range(6)] + [(8000 + k, "one two three four five " * 2 + f"z{k % 3}") for k in range(6)]
+    want = brute(docs)
+    assert local(docs) == want
+    windows, run_hash = textnp.Words.windows, textnp.Words.run_hash
+    for few in (50, 1):
+        small = lambda h: (h % np.uint64(few)) << np.uint64(16)  # noqa: B023, E731
+        monkeypatch.setattr(textnp.Words, "windows", lambda self, k: (lambda at, h: (at, small(h)))(*windows(self, k)))  # noqa: B023
+        monkeypatch.setattr(textnp.Words, "run_hash", lambda self, a, b: small(run_hash(self, a, b)))  # noqa: B023
+        assert local(docs) == want
+
+
+def test_same_set_in_another_order(spark):
+    """Texts of one set of shingles but other words are nodes of their own, and link."""
+    docs = [(1, "x " * 40), (2, "x " * 50), (3, "a b c d e f a b c d e f"), (4, "b c d e f a b c d e f a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_components(df).collect()) == brute(docs)

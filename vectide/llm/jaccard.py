@@ -1,29 +1,30 @@
 """Components of texts whose sets of word shingles are similar, by a size-aware heavy-light join.
 
-Two texts link when 100 * |A & B| >= percent * |A | B|. Texts with equal sets are one node, kept as their least id.
+Two texts link when 100 * |A & B| >= percent * |A | B|. Texts of the same words in the same order are one node, kept as their least id.
 
 Light: for small sets, all subsets of the size that a link needs are enumerated (for each size of the partner); two small
-sets link exactly when they share one. Heavy: for other sets, inverted lists are scanned. A set enters the lists of its
+sets that link share one. Heavy: for other sets, inverted lists are scanned. A set enters the lists of its
 prefix only, the rarest of its shingles, as many as let no link escape; shingles of one node enter none. Sets that can
 link across the boundary take part in both. The boundary is the size at which, over the histogram of set sizes, the
 estimated number of rows moved is least.
 
-Shingles are 48-bit hashes. Links are decided by whole sets of them: two texts of 1,000 shingles each have a false common one
-with odds of 1 to 280 million, which changes a link only at the very threshold; equal sets are told by 128 bits.
+Hashes (48 bits) only name lists and order shingles. Words are compared before a shingle counts as common to two texts, or as a repeat within
+one, so sizes and links are exact whatever collides. Nodes are told apart by 128 bits of the SHA-256 of their words.
 
 A list is never turned into all its pairs. Each list has one hub, tested against all its members; members that link
-with it are connected. Only a member that does not is tested against the rest of the list. Sets travel to the chunks
+with it are connected. Only a member that does not is tested against the rest of the list. Texts travel to the chunks
 of list members (once a chunk, not once a member), and tests compare whole sets. A task reports its links as stars that
 connect the same nodes, so a large group leaves fewer edges than it has members and hubs.
 
 Words are runs of other than white space after lower-casing A-Z; a text with fewer words than ``width`` is one
 shingle of all of them. Texts that are null or have no words have an empty set and link with nothing. Repeated rows are nodes
-like others; a null id counts as the largest; very long texts are sets of any size; of equal sets the least id, then the first place,
+like others; a null id counts as the largest; very long texts are sets of any size; of equal texts the least id, then the first place,
 stands for all; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 from math import comb
 
@@ -35,12 +36,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from vectide.llm import exchange as X
 from vectide.llm.components import components, forest
-from vectide.llm.textnp import Words, blocks, mix64, packed, word_counts
+from vectide.llm.textnp import LOWER, Words, blocks, joined, mix64, packed, same_bytes, word_counts
 
 LOW48 = np.uint64((1 << 48) - 1)
 POSTINGS, EDGES, HUBS, TESTS, SHIPS, SETS, UNLINKED, DIGESTS, REPS, DOCS = range(10)
-DOC = ["u8", "u8", "i8", "u4"]  # two digests of the set, id, size
+DOC = ["u8", "u8", "i8", "u4"]  # digest of the words in two halves, id, size of the set
 MAX_LIGHT, TESTED = 64, 1 << 20  # sizes that the histogram tells apart (subsets of larger sets cost over 10**9 rows each); tests at a time
+SHIPPED = 8_000_000  # bytes of shipped texts whose sets are held at a time
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -82,30 +84,94 @@ def _sizes(docs: DataFrame, width: int, text_col: str, most: int = MAX_LIGHT) ->
 
 
 class Sets:
-    """Distinct shingles (48-bit hashes, sorted) of some texts of a chunk."""
+    """Distinct shingles of some texts: flat (48 bits of their hashes, sorted in each text), and with words the places of their words.
 
-    def __init__(self, table: pa.Table, width: int, which: np.ndarray | None = None):
-        column = table["text"] if which is None else table["text"].take(pa.array(which))
-        data, off = packed(column)
-        flat, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    Shingles of one text with one hash are compared: repeats are dropped, different ones stay both (odd texts).
+    """
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, width: int, words: bool = False):
+        flat, sizes, odd = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        places: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]  # first word and number of words of shingles; starts and ends of words
+        seen = 0
         for i, j in blocks(off):
             for a in range(i, j, 60_000):
                 b = min(a + 60_000, j)
                 w = Words(data[off[a] : off[b]], off[a : b + 1] - off[a], lower=True)
                 at, h = w.windows(width)
                 short = np.flatnonzero((w.counts > 0) & (w.counts < width))
+                first = np.concatenate([at, w.bounds[:-1][short]])
+                many = np.concatenate([np.full(len(at), width), w.counts[short]])
                 doc = np.concatenate([w.doc[at], short]).astype(np.uint64)
                 h = np.concatenate([h, w.run_hash(w.bounds[:-1][short], w.bounds[1:][short])])
-                keys, _ = X.distinct((doc << np.uint64(48)) | (h >> np.uint64(16)))
+                keys = (doc << np.uint64(48)) | (h >> np.uint64(16))
+                order = np.argsort(keys)
+                keys, first, many = keys[order], first[order], many[order]
+                twice = np.flatnonzero(keys[1:] == keys[:-1])
+                bad = np.zeros(b - a, bool)
+                if len(twice):
+                    keep = np.ones(len(keys), bool)
+                    keep[twice + 1] = ~_same_words(w, first[twice], many[twice], w, first[twice + 1], many[twice + 1])
+                    for d in np.unique((keys[twice + 1][keep[twice + 1]] >> np.uint64(48)).astype(np.int64)):  # each against all of its hash
+                        bad[d] = True
+                        mine = np.flatnonzero(keys >> np.uint64(48) == np.uint64(d))
+                        got = [tuple(_words(w, first[x], many[x])) for x in mine]
+                        keep[mine] = [x not in got[:k] for k, x in enumerate(got)]
+                    keys, first, many = keys[keep], first[keep], many[keep]
                 flat.append(keys & LOW48)
                 sizes.append(np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=b - a))
-        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
+                odd.append(bad)
+                if words:
+                    for to, x in zip(places, (first + seen, many, w.start + off[a], w.end + off[a])):
+                        to.append(x)
+                    seen += len(w)
+        self.flat, self.sizes, self.odd = np.concatenate(flat), np.concatenate(sizes), np.concatenate(odd)
         self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        if words:
+            self.data = LOWER[data]
+            self.first, self.many, self.start, self.end = (np.concatenate(x) for x in places)
+
+    def exact(self, doc: int) -> set[tuple[bytes, ...]]:
+        return {tuple(_words(self, self.first[k], self.many[k])) for k in range(self.bounds[doc], self.bounds[doc + 1])}
+
+
+def _words(w, first: int, many: int) -> list[bytes]:
+    return [w.data[w.start[k] : w.end[k]].tobytes() for k in range(first, first + many)]
+
+
+def _same_words(w, a: np.ndarray, n: np.ndarray, other, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether n words of w from word a are m words of other from word b: as one run of bytes, else word for word."""
+    start, at = w.start[a], other.start[b]
+    size, there = w.end[a + n - 1] - start, other.end[b + m - 1] - at
+    same = (n == m) & (size == there)
+    some = np.flatnonzero(same)
+    same[some] = same_bytes(w.data, start[some], other.data, at[some], size[some])
+    left = np.flatnonzero(~same & (n == m))
+    for k in range(int(n[left].max(initial=0))):
+        live = left[n[left] > k]
+        x, y = a[live] + k, b[live] + k
+        size = w.end[x] - w.start[x]
+        equal = size == other.end[y] - other.start[y]
+        equal[equal] = same_bytes(w.data, w.start[x[equal]], other.data, other.start[y[equal]], size[equal])
+        left = np.setdiff1d(left, live[~equal], assume_unique=True)
+    same[left] = True
+    return same
 
-    def digest(self, seed: int) -> np.ndarray:
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(self.flat + np.uint64(seed << 48)))])
-        return mix64(total[self.bounds[1:]] - total[self.bounds[:-1]] + self.sizes.astype(np.uint64))
+
+def _texts(table: pa.Table, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    return packed(table["text"] if which is None else table["text"].take(pa.array(which)))
+
+
+def _digest(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of 128 bits of the SHA-256 of each text's words, joined by one space."""
+    out = []
+    for i, j in blocks(off):
+        w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], lower=True)
+        body, ends = joined(w, np.ones(len(w), bool))
+        raw = memoryview(body)
+        out += [hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(ends[:-1], ends[1:])]
+    both = np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def node(chunk: int, idx: np.ndarray) -> np.ndarray:
@@ -126,9 +192,10 @@ def _sent(keys: np.ndarray, columns: list[np.ndarray], bits: int, n: int, chunk:
 def _digests(table: pa.Table, n: int, width: int) -> pa.Table:
     chunk = table["chunk"][0].as_py()
     table = X.ordered(table)
-    s = Sets(table, width)
+    texts = _texts(table)
+    s = Sets(*texts, width)
     ids = X.ids(table)
-    a, b = s.digest(1), s.digest(2)
+    a, b = _digest(*texts)
     out = [(chunk, chunk, DOCS, X.dump(a, b, ids, s.sizes.astype("u4")))]
     full = np.flatnonzero(s.sizes)
     order = full[np.lexsort([full, b[full], a[full]])]
@@ -185,7 +252,7 @@ def _shingles(table: pa.Table, answers: pa.Table, n: int, width: int, light: int
     if not table.num_rows:
         return X.rows([])
     state = State(answers, n)
-    s = Sets(X.ordered(table), width, _heavy(state, light, percent))
+    s = Sets(*_texts(X.ordered(table), _heavy(state, light, percent)), width)
     keys, many = X.distinct(s.flat)
     return X.rows(_sent(keys, [np.minimum(many, 255).astype("u1")], 48, n, state.chunk, POSTINGS))
 
@@ -222,7 +289,7 @@ def _post(table: pa.Table, answers: pa.Table, n: int, width: int, light: int, pe
     table, chunk = X.ordered(table), state.chunk
     out = [(d, c, k, p) for k in (DOCS, REPS) for d, c, p in X.by_kind(answers, k, raw=True)]
     which = _heavy(state, light, percent)
-    s = Sets(table, width, which)
+    s = Sets(*_texts(table, which), width)
     keys, _ = X.distinct(s.flat)
     level, at = np.zeros(len(keys), "u1"), X.cuts(keys, n, 48)
     for d, blob in X.replies(answers, POSTINGS).items():
@@ -230,19 +297,13 @@ def _post(table: pa.Table, answers: pa.Table, n: int, width: int, light: int, pe
     own = level[np.searchsorted(keys, s.flat)] if len(keys) else level
     order = np.lexsort([s.flat, own, s.doc])
     place = np.arange(len(order)) - s.bounds[:-1][s.doc[order]]
-    chosen = order[(place < prefix_size(s.sizes, percent)[s.doc[order]]) & (own[order] > 0)]
-    h, idx = s.flat[chosen], which[s.doc[chosen]]
-    first = mix64(node(chunk, idx))  # hubs are least in this order
-    by = np.lexsort([first, h])
-    h, idx = h[by], idx[by]
-    out.append((chunk, chunk, POSTINGS, X.dump(h, idx.astype("u4"))))
-    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    many = np.minimum(np.diff(np.append(head, len(h))), 2).astype("u1")
-    out += _sent(h[head], [node(chunk, idx[head]), many], 48, n, chunk, HUBS)
+    again = np.zeros(len(order), bool)  # different shingles of one hash are in one list
+    again[1:] = (s.flat[order][1:] == s.flat[order][:-1]) & (s.doc[order][1:] == s.doc[order][:-1])
+    chosen = order[(place < prefix_size(s.sizes, percent)[s.doc[order]]) & (own[order] > 0) & ~again]
+    keys, owners = [s.flat[chosen]], [which[s.doc[chosen]]]
     small = state.nodes[state.sizes[state.nodes] <= light]
-    s = Sets(table, width, small)
-    subset_keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for size in np.unique(s.sizes):
+    s = Sets(*_texts(table, small), width)
+    for size in np.unique(s.sizes):  # the subsets that links of small sets need are lists like others
         rows = np.flatnonzero(s.sizes == size)
         values = mix64(s.flat[s.bounds[rows][:, None] + np.arange(size)])
         for m in partners(int(size), percent):
@@ -251,17 +312,17 @@ def _post(table: pa.Table, answers: pa.Table, n: int, width: int, light: int, pe
                 continue
             tag = np.uint64(min(size, m) * 1000 + max(size, m))
             for pick in combinations(range(size), o):
-                subset_keys.append(mix64(values[:, pick].sum(1, dtype=np.uint64) * np.uint64(1000003) + tag))
+                keys.append(mix64(values[:, pick].sum(1, dtype=np.uint64) * np.uint64(1000003) + tag) >> np.uint64(16))
                 owners.append(small[rows])
-    k, owner = np.concatenate(subset_keys), node(chunk, np.concatenate(owners))
-    by = np.lexsort([owner, k])
-    k, owner = k[by], owner[by]
-    if len(k):
-        new = np.append(True, k[1:] != k[:-1])
-        head = np.flatnonzero(new)
-        hub = owner[head][np.cumsum(new) - 1]
-        out.append((chunk, chunk, EDGES, X.dump(*forest(hub[~new], owner[~new]))))
-        out += _sent(k[head], [owner[head]], 64, n, chunk, UNLINKED)
+    h, idx = np.concatenate(keys), np.concatenate(owners)
+    by = np.lexsort([mix64(node(chunk, idx)), h])  # hubs are least in this order
+    h, idx = h[by], idx[by]
+    new = np.append(True, (h[1:] != h[:-1]) | (idx[1:] != idx[:-1])) if len(h) else np.zeros(0, bool)
+    h, idx = h[new], idx[new]
+    out.append((chunk, chunk, POSTINGS, X.dump(h, idx.astype("u4"))))
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    many = np.minimum(np.diff(np.append(head, len(h))), 2).astype("u1")
+    out += _sent(h[head], [node(chunk, idx[head]), many], 48, n, chunk, HUBS)
     return X.rows(out)
 
 
@@ -283,7 +344,7 @@ def _probes(h: np.ndarray, probe: np.ndarray, to: np.ndarray, dest: int) -> list
 
 @X.lean
 def _hubs(table: pa.Table) -> pa.Table:
-    """The hub of each list, to every chunk with members; star edges of shared subsets."""
+    """The hub of each list, to every chunk with members."""
     dest, out = table["dest"][0].as_py(), []
     got = X.by_kind(table, HUBS)
     if got:
@@ -297,14 +358,6 @@ def _hubs(table: pa.Table) -> pa.Table:
         to = np.searchsorted(bounds, order, "right") - 1
         chunks = np.array([c for _, c, _ in got])
         out += _probes(h[order][keep], hub[keep], chunks[to][keep], dest)
-    got = X.by_kind(table, UNLINKED)
-    if got:
-        (k, nodes), _ = X.load_all([p for *_, p in got], ["u8", "u8"])
-        order = np.lexsort([nodes, k])
-        k, nodes = k[order], nodes[order]
-        new = np.append(True, k[1:] != k[:-1])
-        hub = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-        out.append((dest, dest, EDGES, X.dump(*forest(hub[~new], nodes[~new]))))
     return X.rows(out)
 
 
@@ -326,20 +379,19 @@ def _rest(table: pa.Table) -> pa.Table:
 
 
 @X.lean
-def _ship(table: pa.Table, answers: pa.Table, width: int) -> pa.Table:
+def _ship(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """Texts to the chunks that test against them."""
     out = [(d, c, k, p) for k in (TESTS, EDGES, POSTINGS) for d, c, p in X.by_kind(answers, k, raw=True)]
     got = X.by_kind(answers, SHIPS)
     if got and table.num_rows:
         chunk = got[0][0]
         (idx, to), _ = X.load_all([p for *_, p in got], ["u4", "u4"])
         pair = np.unique(np.stack([to, idx], 1), axis=0)
-        which, back = np.unique(pair[:, 1], return_inverse=True)
-        s = Sets(X.ordered(table), width, which)
+        table = X.ordered(table)
         for t in np.unique(pair[:, 0]):
-            r = back[pair[:, 0] == t]
-            size = s.sizes[r]
-            flat = s.flat[np.repeat(s.bounds[:-1][r] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            out.append((int(t), chunk, SETS, X.dump(node(chunk, which[r]), size.astype("u4")) + X.dump(flat)))
+            which = pair[pair[:, 0] == t, 1].astype(np.int64)
+            data, off = _texts(table, which)
+            out.append((int(t), chunk, SETS, X.dump(node(chunk, which), np.diff(off).astype("u4")) + data.tobytes()))
     return X.rows(out)
 
 
@@ -355,26 +407,31 @@ def _test(table: pa.Table, answers: pa.Table, r: int, width: int, percent: int)
     (k, probe), _ = X.load_all([p for *_, p in tests], ["u8", "u8"])
     a, b = np.searchsorted(h, k, "left"), np.searchsorted(h, k, "right")
     many = b - a
-    sets = {}
-    for *_, blob in X.by_kind(answers, SETS):
-        own, size = X.load(blob, ["u8", "u4"])
-        (values,) = X.load(blob[8 + 12 * len(own) :], ["u8"])
-        sets |= dict(zip(own.tolist(), np.split(values, np.cumsum(size)[:-1])))
     used = np.zeros(len(h) + 1, np.int64)
     np.add.at(used, a, 1)
     np.add.at(used, b, -1)
     which = np.unique(idx[np.cumsum(used[:-1]) > 0])
-    s = Sets(X.ordered(table), width, which)
-    total, ends = np.concatenate([[0], np.cumsum(many)]), 0
+    s = Sets(*_texts(X.ordered(table), which), width, words=True)
     edges, left = [], []
-    while ends < len(k):  # tests in slices of bounded size, a long list's probes in several
-        begin, ends = ends, max(int(np.searchsorted(total, total[ends] + TESTED, "right")) - 1, ends + 1)
-        part = slice(begin, ends)
-        n = many[part]
-        flat = np.repeat(a[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        one = _tested(np.repeat(k[part], n), np.repeat(probe[part], n), idx[flat].astype(np.int64), chunk, s, which, sets, percent)
-        edges.append(one[0])
-        left.append(one[1])
+    for _, _, packet in X.by_kind(answers, SETS, raw=True):  # texts are unpacked, and their sets made, some at a time
+        blob = X.unpacked(packet)
+        own, size = X.load(blob, ["u8", "u4"])
+        off = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+        data = np.frombuffer(blob, np.uint8, int(off[-1]), 8 + 12 * len(own))
+        for i, j in blocks(off, SHIPPED):
+            theirs = Sets(data[off[i] : off[j]], off[i : j + 1] - off[i], width, words=True)
+            some = np.flatnonzero((probe >= own[i]) & (probe <= own[j - 1]))
+            at = np.minimum(np.searchsorted(own[i:j], probe[some]), j - i - 1)
+            some, at = some[own[i:j][at] == probe[some]], at[own[i:j][at] == probe[some]]
+            total, ends = np.concatenate([[0], np.cumsum(many[some])]), 0
+            while ends < len(some):  # tests in slices of bounded size, a long list's probes in several
+                begin, ends = ends, max(int(np.searchsorted(total, total[ends] + TESTED, "right")) - 1, ends + 1)
+                part = some[begin:ends]
+                n = many[part]
+                flat = np.repeat(a[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                one = _tested(np.repeat(k[part], n), np.repeat(at[begin:ends], n), own[i:j], theirs, idx[flat].astype(np.int64), chunk, s, which, percent)
+                edges.append(one[0])
+                left.append(one[1])
     x, y = np.concatenate(edges, 1) if edges else np.zeros((2, 0), np.uint64)
     out.append((chunk, chunk, EDGES, X.dump(*forest(x, y))))
     left = np.unique(np.concatenate(left), axis=0) if left else np.zeros((0, 2), np.uint64)
@@ -383,26 +440,27 @@ def _test(table: pa.Table, answers: pa.Table, r: int, width: int, percent: int)
     return X.rows(out)
 
 
-def _tested(k, probe, member, chunk: int, s: Sets, which: np.ndarray, sets: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of the links among (probe, member) of lists k, and (list, member) of those without a link."""
-    other = probe != node(chunk, member)
-    k, probe, member = k[other], probe[other], member[other]
-    nodes, numbers = np.unique(probe, return_inverse=True)
-    pair, back = np.unique(numbers.astype(np.uint64) << np.uint64(32) | member.astype(np.uint64), return_inverse=True)
+def _tested(k, of, nodes: np.ndarray, theirs: Sets, member, chunk: int, s: Sets, which: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the links among (nodes[of], member) of lists k, and (list, member) of those without a link."""
+    other = nodes[of] != node(chunk, member)
+    k, of, member = k[other], of[other], member[other]
+    pair, back = np.unique(of.astype(np.uint64) << np.uint64(32) | member.astype(np.uint64), return_inverse=True)
     local = np.searchsorted(which, (pair & np.uint64(0xFFFFFFFF)).astype(np.int64))
     linked = np.zeros(len(pair), bool)
-    theirs = [sets[x] for x in nodes.tolist()]
-    sizes = np.array([len(x) for x in theirs], np.int64)
     of = (pair >> np.uint64(32)).astype(np.int64)
-    m, size = s.sizes[local], sizes[of] if len(of) else of
+    m, size = s.sizes[local], theirs.sizes[of]
     fits = np.flatnonzero((100 * m >= percent * size) & (100 * size >= percent * m))
     for a in range(0, len(fits), 2000):
         part = fits[a : a + 2000]
         tag = np.arange(len(part), dtype=np.uint64) << np.uint64(48)
-        mine = np.concatenate([s.flat[s.bounds[i] : s.bounds[i + 1]] for i in local[part]]) | np.repeat(tag, m[part])
-        their = np.concatenate([theirs[i] for i in of[part]]) | np.repeat(tag, size[part])
-        both = np.sort(np.concatenate([mine, their]))
-        common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(part))
+        (mine, x), (their, y) = (_gathered(t, d, tag) for t, d in ((s, local[part]), (theirs, of[part])))
+        at = np.minimum(np.searchsorted(mine, their), max(len(mine) - 1, 0))
+        hit = np.flatnonzero(mine[at] == their)
+        x, y = x[at[hit]], y[hit]
+        hit = hit[_same_words(s, s.first[x], s.many[x], theirs, theirs.first[y], theirs.many[y])]
+        common = np.bincount((their[hit] >> np.uint64(48)).astype(np.int64), minlength=len(part))
+        for p in np.flatnonzero(s.odd[local[part]] | theirs.odd[of[part]]):
+            common[p] = len(s.exact(local[part][p]) & theirs.exact(of[part][p]))
         linked[part] = 100 * common >= percent * (m[part] + size[part] - common)
     bad = ~linked[back]
     mine = node(chunk, (pair & np.uint64(0xFFFFFFFF)))
@@ -410,6 +468,13 @@ def _tested(k, probe, member, chunk: int, s: Sets, which: np.ndarray, sets: dict
     return edges, np.unique(np.stack([k[bad], node(chunk, member[bad])], 1), axis=0)
 
 
+def _gathered(s: Sets, docs: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of texts one after the other, each with its text's tag, and their places in s."""
+    n = s.sizes[docs]
+    at = np.repeat(s.bounds[:-1][docs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return s.flat[at] | np.repeat(tag, n), at
+
+
 @X.lean
 def _edges(batches):
     for batch in batches:
@@ -462,17 +527,17 @@ def _graph(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str
     posts = text.cogroup(levels.groupBy("dest")).applyInArrow(lambda a, b: _post(a, b, r, width, light, percent), X.ROWS)
     posts = X.checkpointed(posts.repartition(n, "dest"))
     X.release(docs)
-    own, lists = posts.where(f"kind = {POSTINGS}"), posts.where(f"kind in ({HUBS}, {UNLINKED})")
+    own, lists = posts.where(f"kind = {POSTINGS}"), posts.where(f"kind = {HUBS}")
 
     def tested(probes: DataFrame) -> DataFrame:
-        sets = text.cogroup(probes.groupBy("dest")).applyInArrow(lambda a, b: _ship(a, b, width), X.ROWS)
+        sets = text.cogroup(probes.groupBy("dest")).applyInArrow(lambda a, b: _ship(a, b), X.ROWS)
         return text.cogroup(sets.union(own).groupBy("dest")).applyInArrow(lambda a, b: _test(a, b, r, width, percent), X.ROWS)
 
     first = tested(lists.groupBy("dest").applyInArrow(lambda t: _hubs(t), X.ROWS)).repartition(n, "dest")
     left = first.where(f"kind = {UNLINKED}").union(posts.where(f"kind = {HUBS}"))
     second = tested(left.groupBy("dest").applyInArrow(lambda t: _rest(t), X.ROWS))
     second = second.where(f"kind = {EDGES}").repartition(n, "dest")  # so that no task runs two Python workers
-    edges = posts.union(first).union(second).where(f"kind = {EDGES}").mapInArrow(_edges, "a long, b long")
+    edges = first.union(second).where(f"kind = {EDGES}").mapInArrow(_edges, "a long, b long")
     return n, r, posts.where(f"kind in ({DOCS}, {REPS})").groupBy("dest"), components(edges)
 
 
