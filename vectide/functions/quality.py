@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectide.functions import vec
 
@@ -36,45 +38,76 @@ def gaussian(size: int = 11, sigma: float = 1.5) -> np.ndarray:
     return x / x.sum()
 
 
-def _blur(x: np.ndarray, g: np.ndarray) -> np.ndarray:
-    x = np.apply_along_axis(lambda r: np.convolve(r, g, "valid"), -1, x)
-    return np.apply_along_axis(lambda r: np.convolve(r, g, "valid"), -2, x)
+def filtered(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Images (..., height, width) under a separable filter, where all of it lies inside; a side shorter than the filter stays as it is."""
+    for axis in (-2, -1):
+        n = x.shape[axis] - len(g) + 1
+        if n > 0:
+            x = sum(w * np.take(x, range(k, k + n), axis) if axis == -2 else w * x[..., k : k + n] for k, w in enumerate(g))
+    return x
 
 
-def ssim_parts(a: np.ndarray, b: np.ndarray, data_range: float = 255.0) -> tuple[float, float]:
-    """Mean SSIM and mean contrast-structure term of two images (..., height, width), by the published formula."""
+def ssim_scores(a: np.ndarray, b: np.ndarray, data_range: float = 255.0) -> tuple[np.ndarray, np.ndarray]:
+    """SSIM and its contrast-structure term of images (..., height, width), each a mean over places, by the published formula."""
     g = gaussian()
     c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
-    ma, mb = _blur(a, g), _blur(b, g)
-    va, vb, cov = _blur(a * a, g) - ma * ma, _blur(b * b, g) - mb * mb, _blur(a * b, g) - ma * mb
+    ma, mb = filtered(a, g), filtered(b, g)
+    va, vb, cov = filtered(a * a, g) - ma * ma, filtered(b * b, g) - mb * mb, filtered(a * b, g) - ma * mb
     cs = (2 * cov + c2) / (va + vb + c2)
-    return float(((2 * ma * mb + c1) / (ma * ma + mb * mb + c1) * cs).mean()), float(cs.mean())
+    return ((2 * ma * mb + c1) / (ma * ma + mb * mb + c1) * cs).mean((-2, -1)), cs.mean((-2, -1))
 
 
-def ms_ssim(a: np.ndarray, b: np.ndarray, data_range: float = 255.0) -> float:
-    """Five scales with the published weights; NaN where a side is under 256."""
-    if min(a.shape[-2:]) < 256:
-        return float("nan")
-    out, weights = 1.0, [0.0448, 0.2856, 0.3001, 0.2363, 0.1333]
-    for k, w in enumerate(weights):
-        s, cs = ssim_parts(a, b, data_range)
-        out *= max(s if k == len(weights) - 1 else cs, 0.0) ** w
-        a, b = (x[..., : x.shape[-2] // 2 * 2, : x.shape[-1] // 2 * 2].reshape(*x.shape[:-2], x.shape[-2] // 2, 2, x.shape[-1] // 2, 2).mean((-1, -3)) for x in (a, b))
-    return out
+def halved(x: np.ndarray) -> np.ndarray:
+    """Means of 2 x 2 values; an odd side has a row of zeros before it, which counts."""
+    h, w = x.shape[-2:]
+    x = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(h % 2, 0), (w % 2, 0)])
+    return (x[..., ::2, ::2] + x[..., 1::2, ::2] + x[..., ::2, 1::2] + x[..., 1::2, 1::2]) / 4
 
 
-def with_ssim(df, a: str, b: str, shape: tuple[int, int, int]):
-    """df with ssim and ms_ssim of two flat image columns (values 0 to 255) of one (channels, height, width)."""
-    import pandas as pd
+#: Weights of the five scales.
+SCALES = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
+
+
+def image_scores(a: np.ndarray, b: np.ndarray, data_range: float = 255.0) -> tuple[np.ndarray, np.ndarray]:
+    """SSIM and multi-scale SSIM of images (n, channels, height, width), or of videos (n, channels, frames, height, width) as means over frames.
+
+    The scales' terms are multiplied for each channel, those under 0 as 0, and channels averaged then; multi-scale SSIM is NaN where a side is under 256.
+    """
+    if a.ndim == 5:
+        n, c, t, h, w = a.shape
+        one, many = image_scores(*(x.swapaxes(1, 2).reshape(n * t, c, h, w) for x in (a, b)), data_range)
+        return one.reshape(n, t).mean(1), many.reshape(n, t).mean(1)
+    first, cs = ssim_scores(a, b, data_range)
+    if min(a.shape[-2:]) < 256:
+        return first.mean(-1), np.full(len(a), np.nan)
+    out, s = np.maximum(cs, 0) ** SCALES[0], first
+    for k, weight in enumerate(SCALES[1:], 2):
+        a, b = halved(a), halved(b)
+        s, cs = ssim_scores(a, b, data_range)
+        out = out * np.maximum(s if k == len(SCALES) else cs, 0) ** weight
+    return first.mean(-1), out.mean(-1)
 
-    def run(batches):
-        for pdf in batches:
-            x = [np.asarray(v, float).reshape(shape) for v in pdf[a]]
-            y = [np.asarray(v, float).reshape(shape) for v in pdf[b]]
-            pdf = pdf.assign(ssim=[ssim_parts(p, q)[0] for p, q in zip(x, y)], ms_ssim=[ms_ssim(p, q) for p, q in zip(x, y)])
-            yield pd.DataFrame(pdf)
 
-    from pyspark.sql import types as T
+def with_ssim(df, a: str, b: str, shape: tuple[int, ...], values: int = 1 << 22):
+    """df with ssim and ms_ssim of two flat columns (values 0 to 255) of one shape (channels, height, width) or (channels, frames, height, width).
 
-    out = df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("ssim", T.DoubleType()), T.StructField("ms_ssim", T.DoubleType())]))
-    return out.withColumn("ms_ssim", F.coalesce("ms_ssim", F.lit(float("nan"))))  # NaN comes back from pandas as null
+    Whole Arrow batches are worked on, so many values at a time; a null image has null scores.
+    """
+    size = int(np.prod(shape))
+
+    def run(batches):
+        for batch in batches:
+            step = max(values // size, 1)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x, y = part.column(a), part.column(b)
+                full = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False) & y.is_valid().to_numpy(zero_copy_only=False))
+                scores = np.zeros((2, part.num_rows))
+                if len(full):
+                    x, y = (c.take(pa.array(full)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(full), *shape) for c in (x, y))
+                    scores[:, full] = image_scores(x, y)
+                none = np.ones(part.num_rows, bool)
+                none[full] = False
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(s, mask=none) for s in scores]], names=[*part.schema.names, "ssim", "ms_ssim"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("ssim", T.DoubleType()), T.StructField("ms_ssim", T.DoubleType())]))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from vectide.functions import vec
 from vectide.functions.numbering import numbered
+from vectide.functions.permute import shuffled_batches
 from vectide.operators import codec
-from vectide.plans.registry import VECTORS, query, table, vectors
+from vectide.plans.registry import VECTORS, query, r6, table, vectors
 from vectide.plans.scalars import POS, place, sql_place, u
-from vectide.sources import archive, images
+from vectide.sources import archive, images, stacked
 
 NAME = "(lpad(cast(p_partkey as varchar), 8, '0')[1:5] || '/img' || lpad(cast(p_partkey as varchar), 8, '0') || '.png')"
 
@@ -137,3 +138,20 @@ def k10_metrics_row(spark, d):
 def k9_stacked_groups(spark, d):
     """Each label's vectors as they would be stacked into one array: count and the first and last id."""
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
+
+
+@query(f"""select place, pos - 1 as pos, round(v[pos], 6) + 0.0 as value from (select row_number() over (order by vec_id) - 1 as place, v from {VECTORS}),
+    (select unnest(range(1, 65)) as pos)""")
+def k9_stacked_array(spark, d):
+    """All vectors stacked in the order of ids, in shards of 64 rows of 8 x 8 arrays, and read back from them."""
+    shards = stacked.stacked(vectors(spark, d), "vec_id", "v", shape=(8, 8), rows=64)
+    return stacked.unstacked(shards).select("place", F.posexplode("x").alias("pos", "value")).withColumn("value", r6("value"))
+
+
+@query("select batch, count(*) as n from (select (row_number() over (order by doc_id) - 1) // 64 as batch from documents) where (batch + 1) * 64 <= (select count(*) from documents) group by batch")
+def s13_permuted_batches(spark, d):
+    """Sizes of the batches of an epoch in the order of a keyed permutation: all full, each row in one."""
+    x = table(spark, d, "documents").select("doc_id")
+    n = x.count()
+    x = numbered(x, "doc_id").withColumn("number", F.col("rn") - 1)
+    return shuffled_batches(x, "number", n, seed=7, size=64).groupBy("batch").agg(F.countDistinct("slot").alias("n"))
