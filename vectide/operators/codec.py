@@ -5,6 +5,7 @@ A codec names the shapes it maps and whether it needs labels; no call is tried t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -104,6 +105,44 @@ def apply(df: DataFrame, config: dict, step: str, vec_col: str = "v", name: str
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
+_MADE: dict[str, object] = {}
+
+
+def _model(name: str, make):
+    """The model of a name, made once in a worker process."""
+    if name not in _MADE:
+        _MADE[name] = make()
+    return _MADE[name]
+
+
+def taps(df: DataFrame, model: str, make: Callable[[], Callable[[np.ndarray], dict[str, np.ndarray]]], points: list[str], vec_col: str = "v", name: str = "taps") -> DataFrame:
+    """Adds a struct of the outputs that a model has at several named points; each batch goes through the model once.
+
+    make() gives the model, a function of a matrix (a row each) to the points' matrices; a worker process makes the model of a name once. A
+    point that the model lacks is an error; a null vector has null outputs.
+    """
+    kind = T.StructType([T.StructField(p, T.ArrayType(T.DoubleType())) for p in points])
+    at, names = df.columns.index(vec_col), [*df.columns, name]
+
+    def run(batches):
+        f = _model(model, make)
+        for batch in batches:
+            column = batch.column(at)
+            full = column.is_valid().to_numpy(zero_copy_only=False)
+            x = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float)
+            got = f(x.reshape(int(full.sum()), -1)) if full.any() else {p: np.zeros((0, 0)) for p in points}
+            if missing := set(points) - set(got):
+                raise ValueError(f"the model has no points {sorted(missing)}")
+            parts = []
+            for p in points:
+                z = got[p]
+                off = np.concatenate([[0], np.cumsum(full * z.shape[1])])
+                parts.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(z.ravel()), mask=pa.array(~full)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(parts, names=points)], names=names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+
+
 def activations(images_: DataFrame, config: dict, size: int, name: str = "z") -> DataFrame:
     """path and z: the codec's encoding of decoded images (path, height, width, pixels), prepared at size by a crop, in path order."""
     x = images.prepared(images_, size)

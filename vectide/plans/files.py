@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vectide.functions import vec
 from vectide.functions.numbering import numbered
 from vectide.functions.permute import shuffled_batches
-from vectide.operators import codec
+from vectide.operators import codec, metrics
 from vectide.plans.registry import VECTORS, query, r6, table, vectors
 from vectide.plans.scalars import POS, place, sql_place, u
 from vectide.sources import archive, images, stacked
@@ -155,3 +155,10 @@ def s13_permuted_batches(spark, d):
     n = x.count()
     x = numbered(x, "doc_id").withColumn("number", F.col("rn") - 1)
     return shuffled_batches(x, "number", n, seed=7, size=64).groupBy("batch").agg(F.countDistinct("slot").alias("n"))
+
+
+@query(f"select count(*) as n, round(avg(sqrt(list_dot_product(v, v))), 6) + 0.0 as mean_norm, round(max(list_max(v)), 6) + 0.0 as largest from {VECTORS}")
+def k11_observed_metrics(spark, d):
+    """Metrics observed in the pass that writes the rows."""
+    got = metrics.write_scored(vectors(spark, d), {"n": F.count("*"), "mean_norm": F.avg(vec.norm(F.col("v"))), "largest": F.max(F.array_max("v"))})
+    return spark.createDataFrame([(got["n"], got["mean_norm"], got["largest"])], "n long, mean_norm double, largest double").select("n", r6("mean_norm").alias("mean_norm"), r6("largest").alias("largest"))
