@@ -11,7 +11,8 @@ of its keys. Two equal windows never lie in one segment.
 3. The bytes of a key range, one copy of each distinct segment, are concatenated into texts of bounded size that never
    part a key. On the Burrows-Wheeler transform of each, intervals are extended backward breadth-first, which finds the
    places where neighbouring suffixes share 0, 1, 2, ... bytes; the search stops at ``length``, and what is not parted by
-   then are the groups of suffixes with equal windows. Of all places of a group the first stays. This alone decides.
+   then are the groups of suffixes with equal windows. Of all places of a group the first stays. This decides for windows of different
+   segments; further copies of one segment were found equal byte for byte in steps 1 and 2, and are places of its windows.
    A key with over ``hot`` different segments (a common passage in many surroundings) would make such a text large: its
    windows become segments and keys of their own, dealt by their hash to all key ranges, and are judged by the transform there.
 4. Chunks remove the bytes of all repeated windows.
