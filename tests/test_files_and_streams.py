@@ -87,7 +87,15 @@ def run_stream(spark, out, name):
     return spark.table(name).collect()
 
 
-def test_streams_match_batch(spark, tmp_path):
+@pytest.fixture()
+def rocksdb(spark):
+    before = spark.conf.get(states.PROVIDER)
+    states.use_rocksdb(spark)
+    yield
+    spark.conf.set(states.PROVIDER, before)
+
+
+def test_streams_match_batch(spark, tmp_path, rocksdb):
     rows = [("a" if k % 3 else "b", k, float(k * 7 % 13)) for k in range(60)]
     for part in range(3):  # one file a trigger, in order
         spark.createDataFrame(rows[20 * part : 20 * part + 20], "key string, at long, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{part}")
