@@ -27,11 +27,20 @@ def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(keys, column)
 
 
+def class_folders(spark: SparkSession, root: str) -> DataFrame:
+    """class_name, label: the folders right below root, empty ones too, numbered in the order of their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+    names = sorted(x.getPath().getName() for x in found if x.isDirectory())
+    return spark.createDataFrame(list(zip(names, range(len(names)))), "class_name string, label int")
+
+
 def scan_class_folders(spark: SparkSession, root: str) -> DataFrame:
     """path, class_name, label: images right below the class folders of root, labels in the order of folder names."""
     x = _files(spark, f"{root}/*/*", False).where(_extension().isin(*CLASS_EXTENSIONS))
-    x = x.select("path", F.element_at(F.split("path", "/"), -2).alias("class_name"))
-    return dense_index(x, "class_name", "label").select("path", "class_name", "label")
+    below = F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/")
+    x = x.where(F.size(below) == 2).select("path", below[0].alias("class_name"))  # a folder that the pattern meets would be listed, too
+    return x.join(class_folders(spark, root), "class_name").select("path", "class_name", "label")
 
 
 def decoder_extensions(spark: SparkSession) -> list[str]:
