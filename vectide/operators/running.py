@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectide.functions.numbering import numbered_by
 from vectide.operators.scan import affine_fold
@@ -32,30 +32,37 @@ def lerp_fold(batches: DataFrame, keys: list[str], place: str, value: Column, we
 def ring_usage(df: DataFrame, key: str, order: str, code: Column, size: int, codes: int, name: str = "usage", width: int = 65536) -> DataFrame:
     """Share of codes among the last `size` codes of each row; the buffer starts full of code 0. order: whole numbers, no two rows of a key alike.
 
-    A code is in the buffer from its place to that of its next occurrence, or for size rows: so the number of codes is a running sum of
-    +1 and -1. Places, next occurrences and running sums are found within ranges of width places first, so no key is one task.
+    Places of a key are cut into ranges of the larger of width and size; a range is one task's, together with the size - 1 rows before it, which are all that its
+    buffers hold. So no key is one task, and rows are shuffled once more, twice over at most. A null code is a code.
+    """
+    span = max(width, size)
+    x = numbered_by(df.select(key, order, code.cast("long").alias("__c")), key, order, "__i", width=width).withColumn("__i", F.col("__i") - 1)
+    own = F.floor(F.col("__i") / span).cast("long")
+    late = F.col("__i") > (own + 1) * span - size  # in buffers of the next range
+    x = x.withColumn("__part", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("__i")
+        c, place, part = t["__c"], t["__i"].to_numpy(), t["__part"][0].as_py()
+        used = in_ring(c.fill_null(0).to_numpy(), c.is_null().to_numpy(), size, part == 0)
+        mine = int(np.searchsorted(place, part * span))
+        return pa.table([t[key][mine:], t[order][mine:], pa.array(used[mine:] / codes)], names=[key, order, name])
+
+    schema = T.StructType([df.schema[key], df.schema[order], T.StructField(name, T.DoubleType())])
+    return x.groupBy(key, "__part").applyInArrow(run, schema)
+
+
+def in_ring(code: np.ndarray, null: np.ndarray, size: int, start: bool) -> np.ndarray:
+    """How many distinct codes the last size of successive codes hold, after each; start: of a buffer that was full of code 0 before.
+
+    A code is in the buffer from its place to that of its next occurrence, or for size places: a running sum of +1 and -1.
     """
-    x = numbered_by(df.select(key, order, code.cast("long").alias("__c")), key, order, "__i", width=width)
-    x = x.withColumn("__part", F.floor(F.col("__i") / width))
-    # the buffer's own code 0 before the first row
-    zero = x.select(key).distinct().select(key, F.lit(0).cast("long").alias("__c"), F.lit(0).cast("long").alias("__i"), F.lit(0).cast("long").alias("__part"))
-    seen = x.select(key, "__c", "__i", "__part").union(zero)
-    by_code = Window.partitionBy(key, "__c").orderBy("__part")
-    later = seen.groupBy(key, "__c", "__part").agg(F.min("__i").alias("__first")).withColumn("__later", F.lead("__first").over(by_code)).drop("__first")
-    inner = F.lead("__i").over(Window.partitionBy(key, "__c", "__part").orderBy("__i"))
-    seen = _join(seen.withColumn("__next", inner), later, [key, "__c", "__part"])
-    end = F.least(F.coalesce("__next", "__later", F.lit(2**62)), F.col("__i") + size)
-    steps = seen.select(key, F.explode(F.array(F.struct(F.col("__i").alias("p"), F.lit(1).alias("d")), F.struct(end.alias("p"), F.lit(-1).alias("d")))).alias("s"))
-    steps = steps.select(key, F.col("s.p").alias("__i"), F.col("s.d").alias("__d")).groupBy(key, "__i").agg(F.sum("__d").alias("__d"))
-    steps = steps.withColumn("__part", F.floor(F.col("__i") / width))
-    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = steps.groupBy(key, "__part").agg(F.sum("__d").alias("__d")).select(key, "__part", F.coalesce(F.sum("__d").over(before), F.lit(0)).alias("__base"))
-    within = F.sum("__d").over(Window.partitionBy(key, "__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
-    used = _join(steps.withColumn("__own", within), sums, [key, "__part"]).select(key, "__i", (F.col("__base") + F.col("__own")).alias("__used"))
-    return _join(x.select(key, order, "__i"), used, [key, "__i"]).select(key, order, (F.col("__used") / F.lit(float(codes))).alias(name))
-
-
-def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join in which nulls are equal."""
-    b = b.select(*[F.col(k).alias(f"{k}__") for k in keys], *[c for c in b.columns if c not in keys])
-    return a.join(b, reduce(and_, [a[k].eqNullSafe(b[f"{k}__"]) for k in keys])).drop(*[f"{k}__" for k in keys])
+    if start:
+        code, null = np.append(0, code), np.append(False, null)
+    n = len(code)
+    end = np.arange(n) + size
+    at = np.lexsort([np.arange(n), code, null])
+    again = np.flatnonzero((code[at][1:] == code[at][:-1]) & (null[at][1:] == null[at][:-1]))
+    end[at[again]] = np.minimum(end[at[again]], at[again + 1])
+    step = np.ones(n, np.int64) - np.bincount(end[end < n], minlength=n)
+    return np.cumsum(step)[int(start) :]

@@ -82,6 +82,13 @@ def u6_ring_usage(spark, d):
     return ring(spark, d)
 
 
+@query("""select event_type, event_id, (len(list_distinct(l)) + case when n < 500 and not list_contains(l, 0) then 1 else 0 end) / 1024.0 as usage from (select event_type, event_id,
+    list(user_id % 1024) over (partition by event_type order by event_id rows 499 preceding) as l, row_number() over (partition by event_type order by event_id) as n from events)""")
+def u6_small_ring_usage(spark, d):
+    """A ring of 500 codes, which turns several times."""
+    return running.ring_usage(table(spark, d, "events"), "event_type", "event_id", F.col("user_id") % 1024, 500, 1024, width=512)
+
+
 @query(f"select round(avg(usage), 6) + 0.0 as usage from (select event_type, arg_max(usage, event_id) as usage from {RING} group by event_type)")
 def u7_mean_ring_usage(spark, d):
     """The last usage of each codebook, averaged."""
