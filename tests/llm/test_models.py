@@ -63,3 +63,19 @@ def test_quality_edges(spark):
     got = {r.doc_id: r.score for r in quality_model.score_quality(docs, quality_model.fit(docs, both), carry=["score"]).collect()}
     assert len(got) == 7 and got[0] == got[1] and all(0 <= s <= 1 for s in got.values())
     assert quality_model.score_quality(docs.limit(0), quality_model.fit(docs, both)).collect() == []
+
+
+def test_the_sample_of_the_fit_is_bounded_in_bytes(spark):
+    """Twice the bytes that a fit may take: about half of the ids are learnt from; a text beyond max_bytes never is."""
+    from vectide.llm import quality_model
+
+    docs = spark.createDataFrame([(k, "good words here. " * 40 if k % 2 else "BAD !! " * 90) for k in range(400)] + [(9999, "long " * 9000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)] + [(9999, 1)], "doc_id long, quality int")
+    total = sum(len(r.text) for r in docs.where("doc_id < 9999").collect())
+    whole = quality_model.fit(docs, labels, max_bytes=20_000)
+    same = quality_model.fit(docs, labels, max_bytes=20_000, sample_bytes=total)
+    half = quality_model.fit(docs, labels, max_bytes=20_000, sample_bytes=total // 2)
+    one = quality_model.fit(docs, labels, max_bytes=20_000, sample_bytes=1)
+    score = lambda m: [r.score for r in quality_model.score_quality(docs, m).orderBy("doc_id").collect()]
+    assert score(whole) == score(same) != score(half) and one.net is None
+    assert all((x > 0.5) == bool(k % 2) for k, x in enumerate(score(half)[:400]))

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from vectide.llm.textnp import planes, unplanes
 
 PACK_BYTES, CHUNK_BYTES, RANGE_BYTES = 16_000_000, 8_000_000, 32_000_000
+CHUNK_SETTING, RANGE_SETTING = "spark.vectide.chunkBytes", "spark.vectide.rangeBytes"
 ROWS = "dest int, chunk int, kind int, payload binary"
 ARROW_ROWS = pa.schema([("dest", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 RANGE = ["u4", "u4", "u4"]  # doc number in the chunk, first window, windows
@@ -67,17 +68,21 @@ def lean(f):
     return stream if isgeneratorfunction(f) else group
 
 
-def partitions(docs: DataFrame, count: int | None = None, text_col: str = "text") -> tuple[int, int]:
-    """Numbers of chunks (one for each CHUNK_BYTES of text) and of key ranges (RANGE_BYTES); for small tables enough for some tasks.
+def partitions(docs: DataFrame, count: int | None = None, text_col: str = "text", ranges: int | None = None) -> tuple[int, int]:
+    """Numbers of chunks and of key ranges: those given (half as many ranges by default), else one for each CHUNK_BYTES and RANGE_BYTES of text; for small tables enough for some tasks.
 
-    A worker holds a chunk as arrays, and the keys of a range, so both sizes should grow with the memory of executors:
-    with few chunks the rows between chunks and ranges are large and the shuffle has few of them.
+    A worker holds a chunk as arrays, and the keys of a range, so both sizes should grow with the memory of executors (settings
+    CHUNK_SETTING and RANGE_SETTING of the session): with few chunks the rows between chunks and ranges are large and the shuffle has few of them.
     """
     if count:
-        return count, max(count // 2, 1)
+        return count, ranges or max(count // 2, 1)
+    conf = docs.sparkSession.conf
+    chunk_bytes, range_bytes = int(conf.get(CHUNK_SETTING, str(CHUNK_BYTES))), int(conf.get(RANGE_SETTING, str(RANGE_BYTES)))
+    if chunk_bytes < 1 or range_bytes < 1:
+        raise ValueError(f"{CHUNK_SETTING} and {RANGE_SETTING} are numbers of bytes, 1 or more")
     size = docs.select(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
-    least = max(min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16), 1)
-    return max(-(-size // CHUNK_BYTES), least), max(-(-size // RANGE_BYTES), least)
+    least = max(min(int(conf.get("spark.sql.shuffle.partitions")), 16), 1)
+    return max(-(-size // chunk_bytes), least), ranges or max(-(-size // range_bytes), least)
 
 
 def widened(schema: T.StructType, ddl: str) -> T.StructType:

@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled by document, and a small network with calibrated output.
 
 Tokens are runs of letters and digits, runs of punctuation, and line ends. The model is fitted in one task on a bounded
-sample of labelled rows (``max_rows``, taken by a hash of the id, alike at every size). Each word of the sample seen often enough
+sample of labelled rows (``max_rows``, ``sample_bytes`` of text, taken by a hash of the id, alike at every size). Each word of the sample seen often enough
 has a sparse ternary index vector; its word vector sums the index vectors of its neighbours, normalised, beside its
 own. Other words share the vectors of their shape (lower, capital, upper case, number, punctuation, line end), and a token equal to the one before it has
 the vector of a repeat. The mean over a text goes
@@ -153,13 +153,17 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, dims: int = 24, hidden: int =
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, max_bytes: int = 1_000_000) -> Model:
-    """Model of at most about max_rows labelled ids, one row of each (the shortest text, then the least), of texts up to max_bytes."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, max_bytes: int = 1_000_000, sample_bytes: int = 128_000_000) -> Model:
+    """Model of at most about max_rows labelled ids, one row of each (the shortest text, then the least), of texts up to max_bytes and about sample_bytes together."""
     y = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").alias("y"))
     share = min(1.0, max_rows / max(1, y.count()))
-    y = y.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("i").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    place = F.pmod(F.xxhash64("i"), F.lit(1_000_000)) + F.pmod(F.xxhash64("i", F.lit(1)), F.lit(1_000_000)) / 1e6  # of an id, 0 to a million
+    y = y.where(place < share * 1e6).groupBy("i").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).join(F.broadcast(y), "i")  # max_rows bounds it
+    least = rows.groupBy("i").agg(F.min(F.octet_length("text")).cast("long").alias("n"))  # about the bytes of an id's one row
+    size = least.agg(F.sum("n")).first()[0] or 0
+    rows = rows.where(place < min(share, share * sample_bytes / max(size, 1)) * 1e6)
     rows = rows.groupBy("i", "y").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("t")).select("i", "y", "t.text")
 
     @lean
