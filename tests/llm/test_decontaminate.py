@@ -1,6 +1,9 @@
 import random
 import re
 
+from pyspark.sql import DataFrame
+
+from vectide.llm import decontaminate
 from vectide.llm.decontaminate import find_contamination
 
 
@@ -46,3 +49,26 @@ def test_against_brute_force(spark):
                 assert any(words(t)[m.item_start : m.item_start + m.length] == w[m.doc_start : m.doc_start + m.length] for i, t in bench if str(i) == m.item_id)
     assert find_contamination(d.limit(0), b).collect() == []
     assert not any(r.contaminated for r in find_contamination(d, b.limit(0)).collect())
+
+
+def test_many_blocks(spark, monkeypatch):
+    """The same rows from one block and from ten and more, whose texts never reach the driver; documents are parsed once for all of them."""
+    rnd = random.Random(8)
+    pick = lambda n: " ".join(rnd.choice("abc") for _ in range(n))
+    bench = [(None, pick(12))] + [(i % 30, pick(rnd.choice([3, 11, 40]))) for i in range(40)]
+    docs = [(i, " ".join([pick(5), rnd.choice(bench)[1], pick(20)])) for i in range(30)] + [(99, pick(3000))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(bench, "item_id long, text string").repartition(3)
+    whole = sorted(find_contamination(d, b).collect())
+    assert len(decontaminate._indexes(b, 10, "item_id", "text", 150)) >= 10
+
+    def refused(self):
+        raise AssertionError("rows of the benchmark reach the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toLocalIterator", refused)
+        m.setattr(type(spark.sparkContext), "broadcast", lambda self, value: refused(self))
+        blocks = find_contamination(d, b, index_bytes=150)
+    assert sorted(blocks.collect()) == whole and any(r.contaminated for r in whole)
+    for r in whole:
+        assert (r.n_words, r.n_hit, [x for x in r.items], r.contaminated) == brute(dict(docs)[r.doc_id], [("" if i is None else i, t) for i, t in bench], 10)

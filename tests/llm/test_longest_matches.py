@@ -48,10 +48,10 @@ def test_all_longest_matches(spark):
 def test_slices_of_pairs(monkeypatch):
     items, docs = tables()
     index = decontaminate.Index([i for i, _ in items], [t for _, t in items], 4)
-    w = Words(*packed(pa.array([t for _, t in docs], pa.string())), ALNUM, lower=True)
-    whole = [x.tolist() for x in decontaminate.found(index, w)]
+    shard = decontaminate.Shard(Words(*packed(pa.array([t for _, t in docs], pa.string())), ALNUM, lower=True), 4)
+    whole = [x.tolist() for x in decontaminate.found(index, shard)]
     monkeypatch.setattr(decontaminate, "PAIRS", 7)
-    assert whole[2] and whole == [x.tolist() for x in decontaminate.found(index, w)]
+    assert whole[2] and whole == [x.tolist() for x in decontaminate.found(index, shard)]
 
 
 def test_suffix_array():
@@ -69,9 +69,14 @@ def test_words_of_equal_hash(monkeypatch):
     """Where all words' hashes collide, their bytes decide."""
     items, docs = tables()
     texts = pa.array([t for _, t in docs], pa.string())
-    want = [x.tolist() for x in decontaminate.found(decontaminate.Index(*zip(*items), 4), Words(*packed(texts), ALNUM, lower=True))]
+
+    def matches():
+        shard = decontaminate.Shard(Words(*packed(texts), ALNUM, lower=True), 4)
+        return [x.tolist() for x in decontaminate.found(decontaminate.Index(*zip(*items), 4), shard)]
+
+    want = matches()
     monkeypatch.setattr(textnp, "byte_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
-    got = [x.tolist() for x in decontaminate.found(decontaminate.Index(*zip(*items), 4), Words(*packed(texts), ALNUM, lower=True))]
+    got = matches()
     assert got[:2] == want[:2] and sorted(got[2]) == sorted(want[2])
 
 

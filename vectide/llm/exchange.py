@@ -90,8 +90,8 @@ def widened(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset and Spark is local."""
+def shared_folder(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir for this application; one of its own only where that is unset and Spark is local."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -102,6 +102,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp()
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder."""
+    shared_folder(df)
     return df.checkpoint()
 
 
