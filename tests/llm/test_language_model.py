@@ -2,6 +2,7 @@ import math
 import os
 import random
 import re
+import warnings
 import zlib
 from collections import Counter
 
@@ -151,6 +152,12 @@ def test_score_by_brute_force(spark):
             assert math.isclose(got[i], score(t), rel_tol=1e-5, abs_tol=1e-5), (rounds, i, values)
 
 
+def test_guard_warns(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    with pytest.warns(UserWarning, match="guard of 1 rounds"):
+        score_texts(df, F.lit(False), classes=4, rounds=1, gain=0.0, n=2)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 def test_each_round_lowers_perplexity(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
@@ -165,7 +172,12 @@ def test_each_round_lowers_perplexity(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 def test_held_out_beats_base(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = score_texts(docs, id_number("doc_id", 5) == 1).collect()
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)  # the gain stops the rounds, not the guard
+        rows = score_texts(docs, id_number("doc_id", 5) == 1).collect()
     held = [r for r in rows if r.held_out]
+    for out, most in ((False, 2943), (True, 1003)):
+        own = [r for r in rows if r.held_out == out]
+        assert 10 ** (-sum(r.score for r in own) / sum(r.n_tokens for r in own)) < most
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     check(rows, [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])

@@ -14,12 +14,15 @@ from __future__ import annotations
 import ctypes
 import gc
 import time
+import uuid
 from functools import wraps
 from inspect import isgeneratorfunction
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,6 +114,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str, by: str) -> str:
+    """df as Parquet files in the shared folder, those of each value of a column in a folder of their own, for stored_rows(); the folder's name."""
+    folder = f"{shared_folder(df)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).option("compression", "zstd").parquet(folder)
+    return folder
+
+
+def stored_rows(folder: str) -> pa.Table | None:
+    """Within a task, all rows of a folder of Parquet files; None where there is no such folder."""
+    system, path = fs.FileSystem.from_uri(folder)
+    parts = []
+    for info in sorted(system.get_file_info(fs.FileSelector(path, allow_not_found=True)), key=lambda x: x.path):
+        if info.base_name.endswith(".parquet"):
+            with system.open_input_file(info.path) as source:
+                parts.append(pq.read_table(source))
+    return pa.concat_tables(parts) if parts else None
+
+
 def release(df: DataFrame) -> None:
     """Let Spark remove shuffle files of finished rounds: its cleaner does so after garbage collections of the driver, which may else be far apart."""
     for _ in range(2):  # what the first one frees holds the rest
