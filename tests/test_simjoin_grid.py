@@ -1,6 +1,7 @@
 """Similarity joins by grid and with pruned tiles against NumPy, and how much pruning leaves out."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vectide.operators import simjoin
@@ -74,6 +75,64 @@ def test_plan_is_independent_of_queries(spark, clustered):
     assert size(df.where("vec_id < 20")) == size(df)
 
 
+def sent_to_python(df):
+    """Bytes that the last Python step of a plan has read, after a run of it."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().executedPlan()
+    while not plan.metrics().contains("pythonDataSent"):
+        plan = plan.plan() if plan.getClass().getSimpleName().endswith("QueryStageExec") else plan.children().head()
+    return plan.metrics().get("pythonDataSent").get().value()
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_what_reaches_python_grows_with_the_input(spark, clustered, k):
+    """Not with the product of both sides: rows are sent to a worker once a cell, not once a pair of a block and a tile."""
+    sent = []
+    for n in (1000, 2000):
+        df = frame(spark, clustered[:n])
+        sent.append(sent_to_python(simjoin.similarity_join(df, df.where("vec_id % 2 = 0"), "unit_cosine", k=k, block=25, tile=25)))
+    assert sent[1] < 2.5 * sent[0]
+
+
+@pytest.mark.parametrize("prune", [True, False])
+def test_pairs_at_once(spark, prune):
+    """Blocks and tiles, and cells, of 1024 rows each give their pairs in lots of 2**17 at most, all of them."""
+    rnd = np.random.default_rng(8)
+    ids, x, of = np.arange(1024), rnd.normal(size=(1024, 8)), np.zeros(1024, "i8")
+    if prune:
+        data = simjoin._store(ids, of, x)
+        got = list(simjoin._compared([pa.table({"b_no": [0], "b_data": [data], "data": [data]}).to_batches()[0]], "l2", False, None, 1e9, False))
+    else:
+        side = np.repeat(np.int32([0, 1]), 1024)
+        t = pa.table({"id": np.tile(ids, 2), "v": pa.array(np.tile(x, (2, 1)).tolist()), "of": np.tile(of, 2), "q": side * 0, "r": side * 0, "side": side})
+        got = list(simjoin._passed(t.to_batches(max_chunksize=700), "l2", False, None, None, False))
+    assert max(b.num_rows for b in got) <= 1 << 17
+    pairs = pa.Table.from_batches(got)
+    c = np.zeros((1024, 1024))
+    c[pairs["rid"].to_numpy(), pairs["qid"].to_numpy()] = pairs["cost"].to_numpy()
+    assert pairs.num_rows == 1 << 20 and len(set(zip(pairs["rid"].to_pylist(), pairs["qid"].to_pylist()))) == 1 << 20
+    assert np.allclose(c, simjoin.costs(x, x, "l2"), atol=1e-9)
+
+
+@pytest.mark.parametrize("k", [None, 5])
+def test_many_groups_of_queries(spark, clustered, k, monkeypatch):
+    """Groups of a few hundred queries, each in cells of its own: every pair once, and the same nearest rows."""
+    df, ids = frame(spark, clustered), np.arange(0, 3000, 5)
+    join = lambda: simjoin.similarity_join(df, df.where("vec_id % 5 = 0"), "l2", k=k, exclude_self=k is not None)
+    monkeypatch.setattr(simjoin, "CELL", 10_000)
+    got = join().collect()
+    if k is None:
+        c = simjoin.costs(clustered, clustered[ids], "l2")
+        assert len(got) == c.size == len({(r.qid, r.rid) for r in got})
+        assert np.allclose([r.cost for r in got], [c[r.rid, r.qid // 5] for r in got], atol=1e-9)
+    else:
+        want = expected(clustered, ids, "l2", k, True, False)
+        rows = {}
+        for r in sorted(got, key=lambda r: (r.qid, r["rank"])):
+            rows.setdefault(r.qid, []).append(r.cost)
+        assert set(rows) == set(want) and all(np.allclose(rows[q], [c for _, c in want[q]], atol=1e-9) for q in want)
+
+
 def test_edges(spark, clustered):
     df = frame(spark, clustered[:5])
     none = spark.createDataFrame([(9, None, 1), (None, [1.0] * 8, 1)], "vec_id long, v array<double>, label long")

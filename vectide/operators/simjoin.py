@@ -1,15 +1,17 @@
 """Similarity joins of a stated query set against all reference rows.
 
-Both sides are packed into rows of many vectors by the tasks that read them: blocks of queries, tiles of the reference. Every block
-meets every tile in a grid: blocks and tiles are dealt into groups, a cell is a group of either, and an equi-join by cell gives the pairs, whose
-costs are matrix products. No query passes through the driver's code, and the plan is the same for any number of queries. Blocks that together
-are of BROADCAST bytes at most are the broadcast side of that join, so the reference isn't shuffled; beyond that both sides
-are. Top-k keeps the best k of a block in each task before the one exchange and the best k of all after it.
-
-With prune, the reference is first dealt by its nearest pivot (and class), so that a tile has a center and a small radius. By the triangle inequality
+Every query meets every row of the reference in a grid: both sides are dealt into groups, a cell is a group of either, and one shuffle brings the
+rows of a cell together, its queries first. A worker holds the queries of one cell (CELL bytes at most, but for the luck of the deal) while the
+cell's reference passes by in Arrow's batches; costs are matrix products of at most PAIRS pairs, so what a worker holds depends on neither side's
+size. No query passes through the driver's code, and the plan is the same for any number of queries. Top-k keeps the best k of a query in each
+cell before the one exchange and the best k of all after it.
+
+With prune, both sides are packed into rows of many vectors, blocks of queries and tiles of the reference. The reference is first dealt by its nearest
+pivot (and class), so that a tile has a center and a small radius. By the triangle inequality
 these bound the costs of a query to all rows of a tile from both sides. The tiles that hold k rows by their upper bounds bound a query's k-th
 cost; tiles whose lower bounds are above it, or above the limit of a threshold join, are never read. The result is the same, as bounds are
-widened by more than the rounding of costs; zero vectors have no direction, so their tiles and queries are not pruned.
+widened by more than the rounding of costs; zero vectors have no direction, so their tiles and queries are not pruned. Blocks of BROADCAST bytes together at
+most are the broadcast side of the joins with tiles. Rows of a block and a tile reach a worker in Arrow's batches, which Spark cuts by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
 
 Rows without an id or a vector are left out; equal rows and ids are rows of their own; empty sides give an empty result.
 """
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 from vectide.functions.shared import checkpointed
 
 BLOCK, TILE, PIVOTS, HEADS = 1024, 1024, 64, 1024  # queries of a block, rows of a tile, pivots, tiles whose bounds are one row
-BROADCAST, CELL = 32_000_000, 16_000_000  # bytes of all blocks that may be broadcast; of the blocks of a cell, a quarter of its tiles'
+BROADCAST, CELL = 32_000_000, 16_000_000  # bytes of all blocks that may be broadcast; of the queries of a cell, a quarter of its reference's
+PAIRS, CELLS = 1 << 17, 4  # pairs whose costs are held at once; cells for each task that can run
 PACKED = "no long, n int, data binary, head binary"
-PAIR = "qid long, rid long, cost double, gap long"
+PAIR = "qid long, rid long, cost double"
 SLACK = 1e-7
 
 
@@ -232,10 +235,27 @@ def needed_pairs(blocks: DataFrame, tiles: DataFrame, metric: str, by_class: boo
     return _met(blocks, heads, ["no", "data", "bound"] if k is not None else ["no", "data"], broadcast).mapInArrow(wanted, "b_no long, no long")
 
 
+def _sides(ref: DataFrame, queries: DataFrame, id_col: str, vec_col: str, class_col: str | None) -> tuple[DataFrame, DataFrame]:
+    """Columns id, v, of: of the queries, and of the reference."""
+    cols = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (F.col(class_col) if class_col else F.lit(0)).cast("long").alias("of")).where("id is not null and v is not null and of is not null")
+    return cols(queries), cols(ref)
+
+
+def _cells(queries: DataFrame, ref: DataFrame) -> DataFrame:
+    """Both sides in the cells (q, r) of a grid, each cell within one task: its queries (side 0), then its reference (side 1)."""
+    size = lambda df: df.agg(F.sum(8 * F.size("v") + 16)).first()[0] or 0
+    rows = max(-(-size(queries) // CELL), 1)
+    cols = max(-(-size(ref) // (4 * CELL)), -(-CELLS * ref.sparkSession.sparkContext.defaultParallelism // rows))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    a = queries.withColumn("q", dealt(rows)).withColumn("r", every(cols)).withColumn("side", F.lit(0))
+    b = ref.withColumn("q", every(rows)).withColumn("r", dealt(cols)).withColumn("side", F.lit(1))
+    return a.unionByName(b).repartition("q", "r").sortWithinPartitions("q", "r", "side", "id")
+
+
 def tile_sides(ref: DataFrame, queries: DataFrame, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "v", class_col: str | None = None, prune: bool = False, block: int = BLOCK, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Blocks of the queries and tiles of the reference, as PACKED; for pruning both lie by pivots (a sample of PIVOTS rows by hash of the id)."""
-    cols = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (F.col(class_col) if class_col else F.lit(0)).cast("long").alias("of")).where("id is not null and v is not null and of is not null")
-    a, b = cols(queries), cols(ref)
+    a, b = _sides(ref, queries, id_col, vec_col, class_col)
     if not prune:
         return packed(a, block, metric), packed(b, tile, metric)
     some = np.array([r.v for r in b.orderBy(F.xxhash64("id")).limit(PIVOTS).collect()], float)  # PIVOTS vectors
@@ -250,41 +270,75 @@ def similarity_join(ref: DataFrame, queries: DataFrame, metric: str = "cosine",
 
     Ties go to the smaller reference id. A query is compared with itself if the reference holds it, unless exclude_self is set.
     """
-    blocks, tiles = tile_sides(ref, queries, metric, id_col, vec_col, class_col, prune, block, tile)
+    rows = PAIR if k is None else PAIR + ", gap long"
     if prune and (k is not None or within is not None):
+        blocks, tiles = tile_sides(ref, queries, metric, id_col, vec_col, class_col, prune, block, tile)
         pairs = needed_pairs(blocks, tiles, metric, bool(class_col), None if k is None else k + exclude_self, within, broadcast)
         b = blocks.select(F.col("no").alias("b_no"), F.col("data").alias("b_data"))
-        size = _bytes(blocks)
-        met = pairs.join(tiles.select("no", "data"), "no").join(F.broadcast(b) if size <= broadcast else b, "b_no")
+        met = pairs.join(tiles.select("no", "data"), "no").join(F.broadcast(b) if _bytes(blocks) <= broadcast else b, "b_no").select("b_no", "b_data", "data")
+        out = met.mapInArrow(lambda batches: _compared(batches, metric, bool(class_col), k, within, exclude_self), rows)
     else:
-        met = _met(blocks, tiles.select("no", "data"), ["no", "data"], broadcast)
-    out = met.select("b_no", "b_data", "data").mapInArrow(lambda batches: _compared(batches, metric, bool(class_col), k, within, exclude_self), PAIR)
+        met = _cells(*_sides(ref, queries, id_col, vec_col, class_col))
+        out = met.mapInArrow(lambda batches: _passed(batches, metric, bool(class_col), k, within, exclude_self, block, tile), rows)
     if k is None:
-        return out.drop("gap")
+        return out
     w = Window.partitionBy("qid").orderBy("gap", "cost", "rid")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("gap")
 
 
-def _compared(batches, metric: str, by_class: bool, k: int | None, within: float | None, exclude_self: bool, most: int = 128) -> Iterator[pa.RecordBatch]:
-    """Rows of PAIR from pairs of blocks and tiles; of the k nearest, one lot for each of up to so many blocks at a time."""
-    best: dict[int, list] = {}
+def _passed(batches, metric: str, by_class: bool, k: int | None, within: float | None, exclude_self: bool, block: int = BLOCK, tile: int = TILE) -> Iterator[pa.RecordBatch]:
+    """Rows of PAIR from the rows of _cells(): the queries of a cell are held, its reference passes by."""
+    cell, queries, best = None, [], {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        q, r, side, ids, of = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("q", "r", "side", "id", "of"))
+        x = _matrix(batch.column("v"), batch.num_rows)
+        new = np.flatnonzero((q[1:] != q[:-1]) | (r[1:] != r[:-1]) | (side[1:] != side[:-1])) + 1
+        for a, e in zip(np.append(0, new), np.append(new, batch.num_rows)):
+            if cell != (q[a], r[a]):
+                yield from (_rows(*best.pop(at)) for at in list(best))
+                cell, queries = (q[a], r[a]), []
+            part = ids[a:e], of[a:e], x[a:e]
+            if not side[a]:
+                queries.append(part)
+            elif queries:
+                queries = [tuple(np.concatenate(c) for c in zip(*queries))] if len(queries) > 1 else queries
+                yield from _pairs(queries[0], part, best, None, metric, by_class, k, within, exclude_self, block, tile)
+    yield from (_rows(*lot) for lot in best.values())
+
+
+def _compared(batches, metric: str, by_class: bool, k: int | None, within: float | None, exclude_self: bool, most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Rows of PAIR from pairs of blocks and tiles; of the k nearest, one lot for each of up to so many slices of blocks at a time."""
+    best: dict[tuple, list] = {}
     for batch in batches:
         for b_no, b_data, data in zip(batch.column("b_no").to_pylist(), batch.column("b_data"), batch.column("data")):
-            (qid, qc, q), (rid, of, x) = _load(b_data.as_buffer()), _load(data.as_buffer())
-            gap = np.abs(of[:, None] - qc) if by_class else None
-            pairs = _nearest(costs(x, q, metric), rid, qid, gap, k, exclude_self, within)
+            yield from _pairs(_load(b_data.as_buffer()), _load(data.as_buffer()), best, b_no, metric, by_class, k, within, exclude_self)
+            if len(best) > most:
+                yield from (_rows(*best.pop(at)) for at in list(best))
+    yield from (_rows(*lot) for lot in best.values())
+
+
+def _pairs(queries: tuple, rows: tuple, best: dict, no: int | None, metric: str, by_class: bool, k: int | None, within: float | None, exclude_self: bool, block: int = BLOCK, tile: int = TILE) -> Iterator[pa.RecordBatch]:
+    """Rows of PAIR from queries and reference rows (ids, classes, vectors), at most PAIRS pairs at once; with k they are merged into best by (no, slice) instead."""
+    (qid, qc, q), (rid, of, x) = queries, rows
+    step = max(min(block, PAIRS // tile), 1)
+    for b in range(0, len(rid), tile):
+        r = slice(b, b + tile)
+        for a in range(0, len(qid), step):
+            s = slice(a, a + step)
+            gap = np.abs(of[r, None] - qc[s]) if by_class else None
+            lot = _nearest(costs(x[r], q[s], metric), rid[r], qid[s], gap, k, exclude_self, within)
             if k is None:
-                yield _rows(*pairs)
+                yield _rows(*lot[:3])
             else:
-                best[b_no] = _top([np.concatenate(c) for c in zip(best[b_no], pairs)] if b_no in best else pairs, k)
-                if len(best) > most:
-                    yield from (_rows(*best.pop(x)) for x in list(best))
-    for lot in best.values():
-        yield _rows(*lot)
+                best[no, a] = _top([np.concatenate(c) for c in zip(best[no, a], lot)] if (no, a) in best else lot, k)
 
 
 def _nearest(c: np.ndarray, rid: np.ndarray, qid: np.ndarray, gap: np.ndarray | None, k: int | None, exclude_self: bool, within: float | None = None) -> list[np.ndarray]:
     """Pairs of a tile: all, those within a cost, or those that can be among the k nearest of their query (ties included)."""
+    if k is None and within is None and not exclude_self:
+        return [np.tile(qid, len(rid)), np.repeat(rid, len(qid)), c.ravel(), np.zeros(c.size, np.int64) if gap is None else gap.ravel()]
     take = np.ones(c.shape, bool) if within is None else c <= within
     if k is not None and len(rid) > k + exclude_self:
         # by class distance first; rows within the rounding of that sum are kept, and ranked exactly later
@@ -305,8 +359,9 @@ def _top(cols: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [c[order[place < k]] for c in cols]
 
 
-def _rows(qid, rid, cost, gap) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(rid, pa.int64()), pa.array(cost, pa.float64()), pa.array(gap, pa.int64())], names=["qid", "rid", "cost", "gap"])
+def _rows(*cols: np.ndarray) -> pa.RecordBatch:
+    kinds = [("qid", pa.int64()), ("rid", pa.int64()), ("cost", pa.float64()), ("gap", pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds)], names=[n for n, _ in kinds[: len(cols)]])
 
 
 def nearest_codeword(rows: DataFrame, codebook: DataFrame, id_col: str = "vec_id", vec_col: str = "v", code_col: str = "code_id", code_vec: str = "c", unit: bool = False, max_codes: int = 1 << 20) -> DataFrame:
