@@ -175,3 +175,48 @@ def test_same_set_in_another_order(spark):
     docs = [(1, "x " * 40), (2, "x " * 50), (3, "a b c d e f a b c d e f"), (4, "b c d e f a b c d e f a")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_components(df).collect()) == brute(docs)
+
+
+def test_far_copies_do_not_travel_again(monkeypatch):
+    """Copies of one text that are too far from each other share lists; a text travels a second time only to texts that it links with."""
+    from vectide.llm import exchange as X
+    from vectide.llm import jaccard as J
+
+    rnd = random.Random(5)
+    base = [f"b{k}" for k in range(300)]
+    docs = [(k, " ".join(w if rnd.random() > (0.04 if k % 4 else 0.01) else f"e{rnd.random()}" for w in base)) for k in range(80)]
+    rest, shipped = J._rest, []
+
+    def counted(t):
+        out = rest(t)
+        for home, _, p in X.by_kind(out, J.SHIPS):
+            shipped.extend((3 * int(idx) + home, int(to)) for idx, to in zip(*X.load(p, ["u4", "u4"])))
+        return out
+
+    monkeypatch.setattr(J, "_rest", counted)
+    want = brute(docs)
+    assert local(docs) == want and len({c for *_, c in want}) > 20
+    words = [t.split() for _, t in docs]
+    sets = [{tuple(w[p : p + 5]) for p in range(len(w) - 4)} for w in words]
+    links = lambda a, b: a != b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert shipped and all(any(links(u, d) for d in range(to, len(docs), 3)) for u, to in shipped)
+
+
+def test_pairs_of_a_hub_by_brute_force():
+    """Where 16 bits tell all hashes apart, exactly the pairs that link; where they don't, these and others."""
+    from vectide.llm import jaccard as J
+
+    rnd = np.random.default_rng(2)
+    for size, few in ((2, 1 << 16), (12, 1 << 16), (60, 1 << 16), (60, 7)):
+        hub, base = np.arange(90), np.arange(60, 150)
+        sets = [{*rnd.permutation(base if k % 3 else hub)[: rnd.integers(70, 91)].tolist(), *rnd.integers(200, 400, rnd.integers(0, 12)).tolist()} for k in range(size)]
+        linked = [100 * len(s & {*hub.tolist()}) >= 75 * len(s | {*hub.tolist()}) for s in sets]
+        flags = np.array([int(x) | (2 if k == size - 1 else 0) for k, x in enumerate(linked)], "u1")
+        bits = [np.packbits(np.isin(hub, list(s))) for s in sets]
+        outs = [np.array([x % few for x in s if x not in hub], "u2") for s in sets]
+        ragged = [(np.concatenate(x), np.cumsum([0] + [len(y) for y in x])) for x in (bits, outs)]
+        got = {(min(u, m), max(u, m)) for us, ms in J._close(np.array([len(s) for s in sets]), flags, *ragged, 75) for u, m in zip(us.tolist(), ms.tolist())}
+        want = {(i, j) for j in range(size) for i in range(j) if not (linked[i] and linked[j]) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+        assert want <= got
+        if few > 400:
+            assert {p for p in got if size - 1 not in p} == {p for p in want if size - 1 not in p}

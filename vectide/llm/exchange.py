@@ -172,12 +172,17 @@ def _pack(batches):
 
 
 def chunked(docs: DataFrame, n: int, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
-    """chunk and compressed rows (doc_id, text, h: hash of the text, carried columns), dealt by chunk; uses of one such frame in a plan share its shuffle."""
+    """chunk and compressed rows, dealt by chunk; uses of one such frame in a plan share its shuffle."""
+    return chunk_rows(docs, n, id_col, text_col, carry).repartition(n, "chunk")
+
+
+def chunk_rows(docs: DataFrame, n: int, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """chunk and compressed rows (doc_id, text, h: hash of the text, carried columns), not dealt yet."""
     more = [F.col(f"`{c}`") for c in carry or []]
     key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     h = F.xxhash64(text)
     flat = docs.select(key.alias("doc_id"), text.alias("text"), h.alias("h"), *more, F.pmod(F.xxhash64(key, h), F.lit(n)).cast("int").alias("chunk"))
-    return flat.mapInArrow(_pack, "chunk int, rows binary").repartition(n, "chunk")
+    return flat.mapInArrow(_pack, "chunk int, rows binary")
 
 
 def ordered(table: pa.Table) -> pa.Table:

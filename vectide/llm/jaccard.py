@@ -11,10 +11,11 @@ estimated number of rows moved is least.
 Hashes (48 bits) only name lists and order shingles. Words are compared before a shingle counts as common to two texts, or as a repeat within
 one, so sizes and links are exact whatever collides. Nodes are told apart by 128 bits of the SHA-256 of their words.
 
-A list is never turned into all its pairs. Each list has one hub, tested against all its members; members that link
-with it are connected. Only a member that does not is tested against the rest of the list. Texts travel to the chunks
-of list members (once a chunk, not once a member), and tests compare whole sets. A task reports its links as stars that
-connect the same nodes, so a large group leaves fewer edges than it has members and hubs.
+Each list has one hub, tested against all its members; members that link with it are connected. Where a list has other members, the
+test leaves a sketch of each: the hub's shingles that it has, one bit each, and 16 bits of the hash of every other one. Sketches of a hub come
+together, and give for each member that doesn't link with the hub and each other one a number of common shingles that is never too small. Only pairs
+for which that is enough are tested. Texts travel to the chunks of list members (once a chunk, not once a member), and tests compare whole sets.
+A task reports its links as stars that connect the same nodes, so a large group leaves fewer edges than it has members and hubs.
 
 Words are runs of other than white space after lower-casing A-Z; a text with fewer words than ``width`` is one
 shingle of all of them. Texts that are null or have no words have an empty set and link with nothing. Repeated rows are nodes
@@ -38,11 +39,12 @@ from vectide.llm import exchange as X
 from vectide.llm.components import components, forest
 from vectide.llm.textnp import LOWER, Words, blocks, joined, mix64, packed, same_bytes, word_counts
 
-LOW48 = np.uint64((1 << 48) - 1)
-POSTINGS, EDGES, HUBS, TESTS, SHIPS, SETS, UNLINKED, DIGESTS, REPS, DOCS = range(10)
+LOW32, LOW48 = np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)
+POSTINGS, EDGES, HUBS, TESTS, SHIPS, SETS, UNLINKED, DIGESTS, REPS, DOCS, PAIRS = range(11)
 DOC = ["u8", "u8", "i8", "u4"]  # digest of the words in two halves, id, size of the set
-MAX_LIGHT, TESTED = 64, 1 << 20  # sizes that the histogram tells apart (subsets of larger sets cost over 10**9 rows each); tests at a time
-SHIPPED = 8_000_000  # bytes of shipped texts whose sets are held at a time
+SKETCH = ["u8", "u8", "u4", "u1", "u4", "u4"]  # hub, member, size of its set, flags, bytes of bits, number of further hashes
+MAX_LIGHT, TESTED = 64, 1 << 20  # sizes that the histogram tells apart (subsets of larger sets cost over 10**9 rows each); pairs or shingles compared at a time
+SHIPPED = 4_000_000  # bytes of shipped texts whose sets are held at a time
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -86,13 +88,14 @@ def _sizes(docs: DataFrame, width: int, text_col: str, most: int = MAX_LIGHT) ->
 class Sets:
     """Distinct shingles of some texts: flat (48 bits of their hashes, sorted in each text), and with words the places of their words.
 
-    Shingles of one text with one hash are compared: repeats are dropped, different ones stay both (odd texts).
+    Shingles of one text with one hash are compared: repeats are dropped, different ones stay both (odd texts). With digests,
+    128 bits of the SHA-256 of each text's words, joined by one space, are made from the same words.
     """
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, width: int, words: bool = False):
+    def __init__(self, data: np.ndarray, off: np.ndarray, width: int, words: bool = False, digests: bool = False):
         flat, sizes, odd = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         places: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]  # first word and number of words of shingles; starts and ends of words
-        seen = 0
+        seen, sums = 0, []
         for i, j in blocks(off):
             for a in range(i, j, 60_000):
                 b = min(a + 60_000, j)
@@ -117,6 +120,10 @@ class Sets:
                         got = [tuple(_words(w, first[x], many[x])) for x in mine]
                         keep[mine] = [x not in got[:k] for k, x in enumerate(got)]
                     keys, first, many = keys[keep], first[keep], many[keep]
+                if digests:
+                    body, ends = joined(w, np.ones(len(w), bool))
+                    raw = memoryview(body)
+                    sums += [hashlib.sha256(raw[x:y]).digest()[:16] for x, y in zip(ends[:-1], ends[1:])]
                 flat.append(keys & LOW48)
                 sizes.append(np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=b - a))
                 odd.append(bad)
@@ -127,6 +134,7 @@ class Sets:
         self.flat, self.sizes, self.odd = np.concatenate(flat), np.concatenate(sizes), np.concatenate(odd)
         self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.digests = np.frombuffer(b"".join(sums), "<u8").reshape(-1, 2)
         if words:
             self.data = LOWER[data]
             self.first, self.many, self.start, self.end = (np.concatenate(x) for x in places)
@@ -162,18 +170,6 @@ def _texts(table: pa.Table, which: np.ndarray | None = None) -> tuple[np.ndarray
     return packed(table["text"] if which is None else table["text"].take(pa.array(which)))
 
 
-def _digest(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two halves of 128 bits of the SHA-256 of each text's words, joined by one space."""
-    out = []
-    for i, j in blocks(off):
-        w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], lower=True)
-        body, ends = joined(w, np.ones(len(w), bool))
-        raw = memoryview(body)
-        out += [hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(ends[:-1], ends[1:])]
-    both = np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].copy()
-
-
 def node(chunk: int, idx: np.ndarray) -> np.ndarray:
     return (np.uint64(chunk) << np.uint64(32)) | idx.astype(np.uint64)
 
@@ -192,10 +188,9 @@ def _sent(keys: np.ndarray, columns: list[np.ndarray], bits: int, n: int, chunk:
 def _digests(table: pa.Table, n: int, width: int) -> pa.Table:
     chunk = table["chunk"][0].as_py()
     table = X.ordered(table)
-    texts = _texts(table)
-    s = Sets(*texts, width)
+    s = Sets(*_texts(table), width, digests=True)
     ids = X.ids(table)
-    a, b = _digest(*texts)
+    a, b = (s.digests[:, k].copy() for k in (0, 1))
     out = [(chunk, chunk, DOCS, X.dump(a, b, ids, s.sizes.astype("u4")))]
     full = np.flatnonzero(s.sizes)
     order = full[np.lexsort([full, b[full], a[full]])]
@@ -290,16 +285,20 @@ def _post(table: pa.Table, answers: pa.Table, n: int, width: int, light: int, pe
     out = [(d, c, k, p) for k in (DOCS, REPS) for d, c, p in X.by_kind(answers, k, raw=True)]
     which = _heavy(state, light, percent)
     s = Sets(*_texts(table, which), width)
-    keys, _ = X.distinct(s.flat)
-    level, at = np.zeros(len(keys), "u1"), X.cuts(keys, n, 48)
+    by = np.argsort(s.flat)
+    new = np.append(True, s.flat[by][1:] != s.flat[by][:-1]) if len(by) else np.zeros(0, bool)
+    level, at = np.zeros(int(new.sum()), "u1"), X.cuts(s.flat[by][new], n, 48)
     for d, blob in X.replies(answers, POSTINGS).items():
         level[at[d] : at[d + 1]] = np.frombuffer(blob, "u1")
-    own = level[np.searchsorted(keys, s.flat)] if len(keys) else level
-    order = np.lexsort([s.flat, own, s.doc])
-    place = np.arange(len(order)) - s.bounds[:-1][s.doc[order]]
+    own = np.empty(len(by), "u1")
+    own[by] = level[np.cumsum(new) - 1]
+    order = np.flatnonzero(own)  # those that one node has come first and enter no list
+    order = order[np.lexsort([s.flat[order], own[order], s.doc[order]])]
+    listed = np.bincount(s.doc[order], minlength=len(which))
+    place = np.arange(len(order)) + (s.sizes - np.cumsum(listed))[s.doc[order]]
     again = np.zeros(len(order), bool)  # different shingles of one hash are in one list
     again[1:] = (s.flat[order][1:] == s.flat[order][:-1]) & (s.doc[order][1:] == s.doc[order][:-1])
-    chosen = order[(place < prefix_size(s.sizes, percent)[s.doc[order]]) & (own[order] > 0) & ~again]
+    chosen = order[(place < prefix_size(s.sizes, percent)[s.doc[order]]) & ~again]
     keys, owners = [s.flat[chosen]], [which[s.doc[chosen]]]
     small = state.nodes[state.sizes[state.nodes] <= light]
     s = Sets(*_texts(table, small), width)
@@ -326,25 +325,28 @@ def _post(table: pa.Table, answers: pa.Table, n: int, width: int, light: int, pe
     return X.rows(out)
 
 
-def _probes(h: np.ndarray, probe: np.ndarray, to: np.ndarray, dest: int) -> list:
-    """Tests to the chunks of lists, and requests to ship the probes' sets there."""
+def _probes(columns: list[np.ndarray], probe: np.ndarray, to: np.ndarray, dest: int, kind: int) -> list:
+    """Tests (columns) to the chunks of members, and requests to ship the probes' texts there."""
     out = []
     order = np.argsort(to, kind="stable")
-    h, probe, to = h[order], probe[order], to[order]
-    ends = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])) if len(to) else np.zeros(0, np.int64)
+    for a, b in zip(ends, np.append(ends[1:], len(to))):
+        part = order[a:b]
+        out.append((int(to[part[0]]), dest, kind, X.dump(*[c[part] for c in columns])))
+    order = np.lexsort([to, probe])
+    probe, to = probe[order], to[order]
+    if len(to):
+        new = np.append(True, (probe[1:] != probe[:-1]) | (to[1:] != to[:-1]))
+        probe, to = probe[new], to[new]
+    home, ends = _chunk_of(probe), np.flatnonzero(np.append(True, _chunk_of(probe)[1:] != _chunk_of(probe)[:-1])) if len(to) else np.zeros(0, np.int64)
     for a, b in zip(ends, np.append(ends[1:], len(to))):
-        out.append((int(to[a]), dest, TESTS, X.dump(h[a:b], probe[a:b])))
-    pair = np.unique(np.stack([probe, to.astype(np.uint64)], 1), axis=0) if len(to) else np.zeros((0, 2), np.uint64)
-    home = _chunk_of(pair[:, 0])
-    for c in np.unique(home):
-        own = pair[home == c]
-        out.append((int(c), dest, SHIPS, X.dump((own[:, 0] & np.uint64(0xFFFFFFFF)).astype("u4"), own[:, 1].astype("u4"))))
+        out.append((int(home[a]), dest, SHIPS, X.dump((probe[a:b] & LOW32).astype("u4"), to[a:b].astype("u4"))))
     return out
 
 
 @X.lean
 def _hubs(table: pa.Table) -> pa.Table:
-    """The hub of each list, to every chunk with members."""
+    """The hub of each list, to every chunk with members, and whether there are members beside two."""
     dest, out = table["dest"][0].as_py(), []
     got = X.by_kind(table, HUBS)
     if got:
@@ -357,121 +359,266 @@ def _hubs(table: pa.Table) -> pa.Table:
         keep = total > 1
         to = np.searchsorted(bounds, order, "right") - 1
         chunks = np.array([c for _, c, _ in got])
-        out += _probes(h[order][keep], hub[keep], chunks[to][keep], dest)
+        out += _probes([h[order][keep], hub[keep], (total[keep] > 2).astype("u1")], hub[keep], chunks[to][keep], dest, TESTS)
     return X.rows(out)
 
 
 @X.lean
-def _rest(table: pa.Table) -> pa.Table:
-    """Members that don't link with their hub, to every chunk with members of the list."""
+def _rest(table: pa.Table, percent: int = 75) -> pa.Table:
+    """Pairs of members of one hub that may link, one of them not linked with the hub, to the chunk of the other."""
     dest = table["dest"][0].as_py()
-    lists, left = X.by_kind(table, HUBS), X.by_kind(table, UNLINKED)
-    if not left:
-        return X.rows([])
-    (h, u), _ = X.load_all([p for *_, p in left], ["u8", "u8"])
-    (k, _, _), bounds = X.load_all([p for *_, p in lists], ["u8", "u8", "u1"])
-    order = np.argsort(k, kind="stable")
-    a, b = np.searchsorted(k[order], h, "left"), np.searchsorted(k[order], h, "right")
-    many = b - a
-    flat = order[np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-    chunks = np.array([c for _, c, _ in lists])
-    return X.rows(_probes(np.repeat(h, many), np.repeat(u, many), chunks[np.searchsorted(bounds, flat, "right") - 1], dest))
+    hub, member, n, flags, bits, outs = _read_sketches([p for *_, p in X.by_kind(table, UNLINKED)])
+    order = np.argsort(hub, kind="stable")
+    head = np.flatnonzero(np.append(True, hub[order][1:] != hub[order][:-1])) if len(hub) else np.zeros(0, np.int64)
+    found = [np.zeros((0, 2), np.uint64)]
+    for a, b in zip(head, np.append(head[1:], len(hub))):
+        rows = order[a:b]
+        if b - a > 1 and not (flags[rows] & 1).all():
+            found += [np.stack([member[rows[u]], member[rows[m]]], 1) for u, m in _close(n[rows], flags[rows], _sliced(bits, rows), _sliced(outs, rows), percent)]
+    pair = np.concatenate(found)
+    return X.rows(_probes([pair[:, 0], (pair[:, 1] & LOW32).astype("u4")], pair[:, 0], _chunk_of(pair[:, 1]), dest, PAIRS))
+
+
+def _close(n: np.ndarray, flags: np.ndarray, bits: tuple, outs: tuple, percent: int):
+    """Pairs (u, m) of one hub's members that 100 * |A & B| >= percent * |A | B| may hold for, u not linked with the hub.
+
+    Of each member are known the hub's shingles that it has (bits) and 16 bits of the hash of each other one (outs). Those
+    that many members have become further bits. Common bits are counted for all pairs and the fewer of the rest's elements added; where
+    that is enough, the rest is compared. No count is less than that of the common shingles.
+    """
+    size, owner = len(n), np.repeat(np.arange(len(n)), np.diff(outs[1]))
+    wide = -(-int(np.diff(bits[1])[0]) // 8)
+    full = np.zeros((size, 8 * wide), np.uint8)
+    full[:, : int(np.diff(bits[1])[0])] = bits[0].reshape(size, -1)
+    code = np.sort(owner.astype(np.uint64) << np.uint64(16) | outs[0])
+    new = np.append(True, code[1:] != code[:-1]) if len(code) else np.zeros(0, bool)
+    again = np.arange(len(code)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(code) else np.zeros(0, np.int64)  # equal ones of a member stay apart
+    value, owner = (code & np.uint64(0xFFFF)).astype(np.int64), (code >> np.uint64(16)).astype(np.int64)
+    rare = np.ones(len(code), bool)
+    if size > 16:
+        held = np.bincount(value[new], minlength=1 << 16)
+        often = np.flatnonzero(held >= max(size // 32, 4))
+        often = often[np.argsort(-held[often], kind="stable")[:1024]]
+        column = np.full(1 << 16, -1)
+        column[often] = np.arange(len(often))
+        rare = ~new | (column[value] < 0)
+        more = np.zeros((size, 64 * -(-len(often) // 64)), bool)
+        more[owner[~rare], column[value[~rare]]] = True
+        full = np.concatenate([full, np.packbits(more, axis=1)], 1)
+    words = np.ascontiguousarray(full).view(np.uint64)
+    owner, rest = owner[rare], (again[rare] << 16 | value[rare]).astype(np.uint64)
+    at = np.searchsorted(owner, np.arange(size + 1))
+    left = np.diff(at)
+    free, apart = flags & 2 > 0, flags & 1 == 0
+    rest = np.sort(owner.astype(np.uint64) << np.uint64(48) | rest) & LOW48 if size < 1 << 16 else rest[np.lexsort([rest, owner])]
+    probes, step = np.flatnonzero(apart), max(TESTED // size, 1)
+    for a in range(0, len(probes), step):
+        u = probes[a : a + step]
+        common = np.zeros((len(u), size), np.int32)
+        for k in range(words.shape[1]):
+            common += np.bitwise_count(words[u, k][:, None] & words[None, :, k])
+        need = -(-percent * (n[u][:, None] + n[None, :]) // (100 + percent))
+        ok = (common + np.minimum(left[u][:, None], left[None, :]) >= need) | free[u][:, None] | free[None, :]
+        ok &= need <= np.minimum(n[u][:, None], n[None, :])
+        ok &= ~apart[None, :] | (np.arange(size)[None, :] > u[:, None])
+        i, m = np.nonzero(ok)
+        sure = free[u[i]] | free[m] | (common[i, m] >= need[i, m])
+        yield u[i[sure]], m[sure]
+        i, m = i[~sure], m[~sure]
+        total = np.cumsum(left[u[i]] + left[m])
+        for part in _runs(total):
+            tag = np.arange(len(part), dtype=np.uint64) << np.uint64(48)
+            x, y = (np.repeat(tag, left[d]) | rest[_spread(at[:-1][d], left[d])] for d in (u[i[part]], m[part]))
+            hit = y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y]  # where one has no rest, common is enough or the pair not here
+            many = common[i[part], m[part]] + np.bincount((hit >> np.uint64(48)).astype(np.int64), minlength=len(part))
+            yes = part[many >= need[i[part], m[part]]]
+            yield u[i[yes]], m[yes]
+
+
+def _spread(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    return np.repeat(start - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+
+
+def _runs(total: np.ndarray):
+    """Places of pairs, some at a time, from the running sum of their elements."""
+    a = 0
+    while a < len(total):
+        b = max(int(np.searchsorted(total, (total[a - 1] if a else 0) + TESTED, "right")), a + 1)
+        b = min(b, a + 60_000)
+        yield np.arange(a, b)
+        a = b
+
+
+def _sliced(ragged: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some rows of values with bounds."""
+    values, bounds = ragged
+    many = np.diff(bounds)[rows]
+    return values[_spread(bounds[:-1][rows], many)], np.concatenate([[0], np.cumsum(many)])
 
 
 @X.lean
 def _ship(table: pa.Table, answers: pa.Table) -> pa.Table:
     """Texts to the chunks that test against them."""
-    out = [(d, c, k, p) for k in (TESTS, EDGES, POSTINGS) for d, c, p in X.by_kind(answers, k, raw=True)]
+    out = [(d, c, k, p) for k in (TESTS, PAIRS, EDGES, POSTINGS) for d, c, p in X.by_kind(answers, k, raw=True)]
     got = X.by_kind(answers, SHIPS)
     if got and table.num_rows:
         chunk = got[0][0]
         (idx, to), _ = X.load_all([p for *_, p in got], ["u4", "u4"])
-        pair = np.unique(np.stack([to, idx], 1), axis=0)
-        table = X.ordered(table)
-        for t in np.unique(pair[:, 0]):
-            which = pair[pair[:, 0] == t, 1].astype(np.int64)
-            data, off = _texts(table, which)
-            out.append((int(t), chunk, SETS, X.dump(node(chunk, which), np.diff(off).astype("u4")) + data.tobytes()))
+        pair = np.unique(to.astype(np.uint64) << np.uint64(32) | idx)
+        to, idx = (pair >> np.uint64(32)).astype(np.int64), (pair & LOW32).astype(np.int64)
+        data, off = _texts(X.ordered(table))
+        ends = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        for a, b in zip(ends, np.append(ends[1:], len(to))):
+            which = idx[a:b]
+            out.append((int(to[a]), chunk, SETS, X.dump(node(chunk, which), np.diff(off)[which].astype("u4")) + b"".join(data[off[k] : off[k + 1]].data for k in which)))
     return X.rows(out)
 
 
-@X.lean
-def _test(table: pa.Table, answers: pa.Table, r: int, width: int, percent: int) -> pa.Table:
-    """Verified edges, and list members that don't link with what was tested in their list."""
-    out = [(d, c, EDGES, p) for d, c, p in X.by_kind(answers, EDGES, raw=True)]
-    posts, tests = X.by_kind(answers, POSTINGS), X.by_kind(answers, TESTS)
-    if not (posts and tests and table.num_rows):
-        return X.rows(out)
-    chunk = posts[0][0]
-    (h, idx), _ = X.load_all([p for *_, p in posts], ["u8", "u4"])
-    (k, probe), _ = X.load_all([p for *_, p in tests], ["u8", "u8"])
-    a, b = np.searchsorted(h, k, "left"), np.searchsorted(h, k, "right")
-    many = b - a
-    used = np.zeros(len(h) + 1, np.int64)
-    np.add.at(used, a, 1)
-    np.add.at(used, b, -1)
-    which = np.unique(idx[np.cumsum(used[:-1]) > 0])
-    s = Sets(*_texts(X.ordered(table), which), width, words=True)
-    edges, left = [], []
-    for _, _, packet in X.by_kind(answers, SETS, raw=True):  # texts are unpacked, and their sets made, some at a time
+def _shipped(packets: list):
+    """Nodes, bytes and offsets of shipped texts, some at a time."""
+    held: list[tuple] = []
+
+    def all_held():
+        nodes, size, data = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        return nodes, data, np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+
+    total = 0
+    for *_, packet in packets:
         blob = X.unpacked(packet)
         own, size = X.load(blob, ["u8", "u4"])
         off = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
         data = np.frombuffer(blob, np.uint8, int(off[-1]), 8 + 12 * len(own))
         for i, j in blocks(off, SHIPPED):
-            theirs = Sets(data[off[i] : off[j]], off[i : j + 1] - off[i], width, words=True)
-            some = np.flatnonzero((probe >= own[i]) & (probe <= own[j - 1]))
-            at = np.minimum(np.searchsorted(own[i:j], probe[some]), j - i - 1)
-            some, at = some[own[i:j][at] == probe[some]], at[own[i:j][at] == probe[some]]
-            total, ends = np.concatenate([[0], np.cumsum(many[some])]), 0
-            while ends < len(some):  # tests in slices of bounded size, a long list's probes in several
-                begin, ends = ends, max(int(np.searchsorted(total, total[ends] + TESTED, "right")) - 1, ends + 1)
-                part = some[begin:ends]
-                n = many[part]
-                flat = np.repeat(a[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                one = _tested(np.repeat(k[part], n), np.repeat(at[begin:ends], n), own[i:j], theirs, idx[flat].astype(np.int64), chunk, s, which, percent)
-                edges.append(one[0])
-                left.append(one[1])
+            held.append((own[i:j], size[i:j], data[off[i] : off[j]]))
+            total += int(off[j] - off[i])
+            if total >= SHIPPED:
+                yield all_held()
+                total = 0
+    if held:
+        yield all_held()
+
+
+@X.lean
+def _test(table: pa.Table, answers: pa.Table, r: int, width: int, percent: int) -> pa.Table:
+    """Verified edges, and sketches of members of lists for the key ranges of their hubs."""
+    out = [(d, c, EDGES, p) for d, c, p in X.by_kind(answers, EDGES, raw=True)]
+    sets = X.by_kind(answers, SETS, raw=True)
+    if not (sets and table.num_rows):
+        return X.rows(out)
+    chunk = sets[0][0]
+    probes, code = _pairs(answers, chunk)
+    which = np.unique((code >> np.uint64(1) & LOW32).astype(np.int64))
+    s = Sets(*_texts(X.ordered(table), which), width, words=True)
+    edges, sketches = [], []
+    for own, data, off in _shipped(sets):  # texts are unpacked, and their sets made, some at a time
+        theirs = Sets(data, off, width, words=True)
+        lo, hi = np.searchsorted(probes, own[0]), np.searchsorted(probes, own[-1], "right")
+        some = code[np.searchsorted(code, np.uint64(lo) << np.uint64(33)) : np.searchsorted(code, np.uint64(hi) << np.uint64(33))]
+        of = np.searchsorted(own, probes[(some >> np.uint64(33)).astype(np.int64)])
+        member = (some >> np.uint64(1) & LOW32).astype(np.int64)
+        local, wanted = np.searchsorted(which, member), some & np.uint64(1) == 0
+        total = np.cumsum(s.sizes[local] + theirs.sizes[of])
+        for part in _runs(total):
+            linked = _linked(s, local[part], theirs, of[part], percent, wanted[part], own, node(chunk, member[part]), sketches)
+            edges.append(np.stack(forest(own[of[part[linked]]], node(chunk, member[part[linked]]))) if linked.any() else np.zeros((2, 0), np.uint64))
     x, y = np.concatenate(edges, 1) if edges else np.zeros((2, 0), np.uint64)
     out.append((chunk, chunk, EDGES, X.dump(*forest(x, y))))
-    left = np.unique(np.concatenate(left), axis=0) if left else np.zeros((0, 2), np.uint64)
-    if len(left):
-        out += _sent(np.ascontiguousarray(left[:, 0]), [np.ascontiguousarray(left[:, 1])], 48, r, chunk, UNLINKED)
-    return X.rows(out)
+    return X.rows(out + _sent_sketches(sketches, r, chunk))
+
+
+def _pairs(answers: pa.Table, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shipped nodes, and pairs to test: number of the node, member (32 bits), 0 where a sketch of the member is wanted; sorted, each pair once."""
+    code = [np.zeros(0, np.uint64)]
+    if tests := X.by_kind(answers, PAIRS):
+        (node_, idx), _ = X.load_all([p for *_, p in tests], ["u8", "u4"])
+        probes, back = np.unique(node_, return_inverse=True)
+        code.append(back.astype(np.uint64) << np.uint64(33) | idx.astype(np.uint64) << np.uint64(1) | np.uint64(1))
+    else:
+        (h, idx), _ = X.load_all([p for *_, p in X.by_kind(answers, POSTINGS)], ["u8", "u4"])
+        (k, probe, more), _ = X.load_all([p for *_, p in X.by_kind(answers, TESTS)], ["u8", "u8", "u1"])
+        probes, back = np.unique(probe, return_inverse=True)
+        a = np.searchsorted(h, k, "left")
+        many = np.searchsorted(h, k, "right") - a
+        for part in _runs(np.cumsum(many)):  # a list's members in slices of bounded size
+            n = many[part]
+            flat = idx[_spread(a[part], n)].astype(np.uint64)
+            code.append(np.unique(np.repeat(back[part].astype(np.uint64) << np.uint64(33) | np.uint64(1) - more[part], n) | flat << np.uint64(1)))
+    pairs = np.unique(np.concatenate(code))
+    pairs = pairs[np.append(True, pairs[1:] >> np.uint64(1) != pairs[:-1] >> np.uint64(1))] if len(pairs) else pairs
+    return probes, pairs[probes[(pairs >> np.uint64(33)).astype(np.int64)] != node(chunk, pairs >> np.uint64(1) & LOW32)]
+
+
+def _linked(s: Sets, local: np.ndarray, theirs: Sets, of: np.ndarray, percent: int, wanted: np.ndarray, own: np.ndarray, members: np.ndarray, sketches: list) -> np.ndarray:
+    """Whether pairs of texts link; sketches of the wanted ones are added to a list."""
+    m, size = s.sizes[local], theirs.sizes[of]
+    fits = (100 * m >= percent * size) & (100 * size >= percent * m)
+    tag = np.arange(len(local), dtype=np.uint64) << np.uint64(48)
+    (mine, x), (their, y) = (_gathered(t, d, tag) for t, d in ((s, local), (theirs, of)))
+    at = np.minimum(np.searchsorted(mine, their), max(len(mine) - 1, 0))
+    has = mine[at] == their
+    pair = (their >> np.uint64(48)).astype(np.int64)
+    common = np.bincount(pair[has], minlength=len(local))
+    enough = lambda n: fits & (100 * n >= percent * (m + size - n))
+    odd = s.odd[local] | theirs.odd[of]
+    hit = np.flatnonzero(has & (enough(common) & ~odd)[pair])  # words can only make them fewer
+    a, b = x[at[hit]], y[hit]
+    hit = hit[_same_words(s, s.first[a], s.many[a], theirs, theirs.first[b], theirs.many[b])]
+    common = np.bincount(pair[hit], minlength=len(local))
+    for p in np.flatnonzero(odd & fits):
+        common[p] = len(s.exact(local[p]) & theirs.exact(of[p]))
+    linked = enough(common)
+    if wanted.any():
+        outside = np.ones(len(mine), bool)
+        outside[at[has]] = False
+        keep = np.flatnonzero(wanted)
+        room = -(-size // 8)
+        first = 8 * (np.cumsum(room * wanted) - room * wanted)  # bits of unwanted pairs have no room
+        bits, of_wanted = np.zeros(8 * int(room[keep].sum()), bool), wanted[pair]
+        bits[(first[pair] + np.arange(len(their)) - (np.cumsum(size) - size)[pair])[of_wanted]] = has[of_wanted]
+        away = (mine >> np.uint64(48)).astype(np.int64)
+        outside &= wanted[away]
+        count = np.bincount(away[outside], minlength=len(local))
+        sketches.append((own[of[keep]], members[keep], m[keep].astype("u4"), linked[keep].astype("u1") | odd[keep].astype("u1") << 1, room[keep].astype("u4"), count[keep].astype("u4"), np.packbits(bits), mine[outside].astype("u2")))
+    return linked
+
+
+def _sent_sketches(parts: list, r: int, chunk: int) -> list:
+    """Rows of sketches to the key ranges of their hubs."""
+    if not parts:
+        return []
+    hub, member, n, flags, room, count, bits, outs = (np.concatenate(x) for x in zip(*parts))
+    key = mix64(hub) >> np.uint64(16)
+    order = np.argsort(key, kind="stable")
+    at = X.cuts(key[order], r, 48)
+    bits, outs = (bits, np.concatenate([[0], np.cumsum(room, dtype=np.int64)])), (outs, np.concatenate([[0], np.cumsum(count, dtype=np.int64)]))
+    out = []
+    for d in range(r):
+        rows = order[at[d] : at[d + 1]]
+        if len(rows):
+            columns = [c[rows] for c in (hub, member, n, flags, room, count)]
+            out.append((d, chunk, UNLINKED, X.dump(*columns) + _sliced(bits, rows)[0].tobytes() + _sliced(outs, rows)[0].tobytes()))
+    return out
 
 
-def _tested(k, of, nodes: np.ndarray, theirs: Sets, member, chunk: int, s: Sets, which: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of the links among (nodes[of], member) of lists k, and (list, member) of those without a link."""
-    other = nodes[of] != node(chunk, member)
-    k, of, member = k[other], of[other], member[other]
-    pair, back = np.unique(of.astype(np.uint64) << np.uint64(32) | member.astype(np.uint64), return_inverse=True)
-    local = np.searchsorted(which, (pair & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    linked = np.zeros(len(pair), bool)
-    of = (pair >> np.uint64(32)).astype(np.int64)
-    m, size = s.sizes[local], theirs.sizes[of]
-    fits = np.flatnonzero((100 * m >= percent * size) & (100 * size >= percent * m))
-    for a in range(0, len(fits), 2000):
-        part = fits[a : a + 2000]
-        tag = np.arange(len(part), dtype=np.uint64) << np.uint64(48)
-        (mine, x), (their, y) = (_gathered(t, d, tag) for t, d in ((s, local[part]), (theirs, of[part])))
-        at = np.minimum(np.searchsorted(mine, their), max(len(mine) - 1, 0))
-        hit = np.flatnonzero(mine[at] == their)
-        x, y = x[at[hit]], y[hit]
-        hit = hit[_same_words(s, s.first[x], s.many[x], theirs, theirs.first[y], theirs.many[y])]
-        common = np.bincount((their[hit] >> np.uint64(48)).astype(np.int64), minlength=len(part))
-        for p in np.flatnonzero(s.odd[local[part]] | theirs.odd[of[part]]):
-            common[p] = len(s.exact(local[part][p]) & theirs.exact(of[part][p]))
-        linked[part] = 100 * common >= percent * (m[part] + size[part] - common)
-    bad = ~linked[back]
-    mine = node(chunk, (pair & np.uint64(0xFFFFFFFF)))
-    edges = np.stack(forest(nodes[of][linked], mine[linked])) if linked.any() else np.zeros((2, 0), np.uint64)
-    return edges, np.unique(np.stack([k[bad], node(chunk, member[bad])], 1), axis=0)
+def _read_sketches(blobs: list) -> tuple:
+    """Hubs, members, sizes, flags (1: linked, 2: nothing known), bits and further hashes, with their bounds."""
+    parts, bits, outs = [], [np.zeros(0, np.uint8)], [np.zeros(0, "u2")]
+    for blob in blobs:
+        parts.append(X.load(blob, SKETCH))
+        at, room, count = 8 + 29 * len(parts[-1][0]), int(parts[-1][4].sum(dtype=np.int64)), int(parts[-1][5].sum(dtype=np.int64))
+        bits.append(np.frombuffer(blob, np.uint8, room, at))
+        outs.append(np.frombuffer(blob, "u2", count, at + room))
+    hub, member, n, flags, room, count = (np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in enumerate(SKETCH))
+    ends = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+    return hub, member, n.astype(np.int64), flags, (np.concatenate(bits), ends(room)), (np.concatenate(outs), ends(count))
 
 
 def _gathered(s: Sets, docs: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of texts one after the other, each with its text's tag, and their places in s."""
     n = s.sizes[docs]
-    at = np.repeat(s.bounds[:-1][docs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    at = _spread(s.bounds[:-1][docs], n)
     return s.flat[at] | np.repeat(tag, n), at
 
 
@@ -516,7 +663,7 @@ def _graph(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str
         raise ValueError("percent must be 50 to 100")
     n, r = X.partitions(docs, n, text_col)
     light = boundary(_sizes(docs, width, text_col), percent)
-    parts = X.chunked(docs, n, id_col, text_col)
+    parts = X.checkpointed(X.chunk_rows(docs, n, id_col, text_col)).repartition(n, "chunk")  # packed once, dealt anew in each of four jobs
     text = parts.groupBy("chunk")
     # Exchanges that end in a checkpoint or are used twice come after the work, which is then done once.
     state = text.applyInArrow(lambda t: _digests(t, r, width), X.ROWS).groupBy("dest").applyInArrow(lambda t: _representatives(t), X.ROWS).repartition(n, "dest")
@@ -529,15 +676,20 @@ def _graph(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str
     X.release(docs)
     own, lists = posts.where(f"kind = {POSTINGS}"), posts.where(f"kind = {HUBS}")
 
-    def tested(probes: DataFrame) -> DataFrame:
+    def tested(probes: DataFrame, *more: DataFrame) -> DataFrame:
         sets = text.cogroup(probes.groupBy("dest")).applyInArrow(lambda a, b: _ship(a, b), X.ROWS)
-        return text.cogroup(sets.union(own).groupBy("dest")).applyInArrow(lambda a, b: _test(a, b, r, width, percent), X.ROWS)
+        for x in more:
+            sets = sets.union(x)
+        return text.cogroup(sets.groupBy("dest")).applyInArrow(lambda a, b: _test(a, b, r, width, percent), X.ROWS)
 
-    first = tested(lists.groupBy("dest").applyInArrow(lambda t: _hubs(t), X.ROWS)).repartition(n, "dest")
-    left = first.where(f"kind = {UNLINKED}").union(posts.where(f"kind = {HUBS}"))
-    second = tested(left.groupBy("dest").applyInArrow(lambda t: _rest(t), X.ROWS))
-    second = second.where(f"kind = {EDGES}").repartition(n, "dest")  # so that no task runs two Python workers
-    edges = first.union(second).where(f"kind = {EDGES}").mapInArrow(_edges, "a long, b long")
+    # Checkpointed, as filters on its rows would else go below an exchange and have it made twice.
+    first = X.checkpointed(tested(lists.repartition(r, "dest").groupBy("dest").applyInArrow(lambda t: _hubs(t), X.ROWS), own))
+    X.release(docs)
+    left = first.where(f"kind = {UNLINKED}").repartition(r, "dest")
+    second = tested(left.groupBy("dest").applyInArrow(lambda t: _rest(t, percent), X.ROWS))
+    few = max(n // 4, 16)  # edges are small
+    second = second.where(f"kind = {EDGES}").repartition(few, "dest")  # so that no task runs two Python workers
+    edges = first.where(f"kind = {EDGES}").coalesce(few).union(second).mapInArrow(_edges, "a long, b long")
     return n, r, posts.where(f"kind in ({DOCS}, {REPS})").groupBy("dest"), components(edges)
 
 

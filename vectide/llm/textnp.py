@@ -248,13 +248,12 @@ def joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = words.end[kept] + ~final
     edge = np.zeros(n + 2, np.int8)
     edge[words.start[kept]] += 1
-    np.add.at(edge, ends, -1)
+    edge -= np.bincount(ends, minlength=n + 2).astype(np.int8)
     mask = np.cumsum(edge[:n], dtype=np.int8) > 0
     body = words.data.copy()
     body[words.end[kept][~final]] = 32
-    sizes = np.zeros(len(words.offsets), np.int64)
-    np.add.at(sizes, doc + 1, ends - words.start[kept])
-    return body[mask], np.cumsum(sizes)
+    total = np.concatenate([[0], np.cumsum(ends - words.start[kept])])
+    return body[mask], total[np.searchsorted(doc, np.arange(len(words.offsets)))]
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
