@@ -383,8 +383,8 @@ def _close(n: np.ndarray, flags: np.ndarray, bits: tuple, outs: tuple, percent:
     """Pairs (u, m) of one hub's members that 100 * |A & B| >= percent * |A | B| may hold for, u not linked with the hub.
 
     Of each member are known the hub's shingles that it has (bits) and 16 bits of the hash of each other one (outs). Those
-    that many members have become further bits. Common bits are counted for all pairs and the fewer of the rest's elements added; where
-    that is enough, the rest is compared. No count is less than that of the common shingles.
+    that many members have become further bits, all others share some bits. Common bits are counted for all pairs, and the fewer of the
+    elements that have no bit of their own are added; where that is enough, those with shared bits are compared. No count is less than that of the common shingles.
     """
     size, owner = len(n), np.repeat(np.arange(len(n)), np.diff(outs[1]))
     wide = -(-int(np.diff(bits[1])[0]) // 8)
@@ -402,39 +402,54 @@ def _close(n: np.ndarray, flags: np.ndarray, bits: tuple, outs: tuple, percent:
         column = np.full(1 << 16, -1)
         column[often] = np.arange(len(often))
         rare = ~new | (column[value] < 0)
-        more = np.zeros((size, 64 * -(-len(often) // 64)), bool)
-        more[owner[~rare], column[value[~rare]]] = True
-        full = np.concatenate([full, np.packbits(more, axis=1)], 1)
+        full = np.concatenate([full, _columns(owner[~rare], column[value[~rare]], size, len(often))], 1)
     words = np.ascontiguousarray(full).view(np.uint64)
+    alike, kept = min(1024 * max(1, int(rare.sum()) // (64 * size)), 8192), value[rare]
+    shared = _columns(owner[rare], kept % alike, size, alike).view(np.uint64) if size > 16 else np.zeros((size, 0), np.uint64)
     owner, rest = owner[rare], (again[rare] << 16 | value[rare]).astype(np.uint64)
     at = np.searchsorted(owner, np.arange(size + 1))
     left = np.diff(at)
+    crowd = left - np.bitwise_count(shared).sum(1, dtype=np.int64)  # elements beyond one a shared bit
     free, apart = flags & 2 > 0, flags & 1 == 0
     rest = np.sort(owner.astype(np.uint64) << np.uint64(48) | rest) & LOW48 if size < 1 << 16 else rest[np.lexsort([rest, owner])]
-    probes, step = np.flatnonzero(apart), max(TESTED // size, 1)
+    probes, step = np.flatnonzero(apart), max((1 << 17) // size, 1)
     for a in range(0, len(probes), step):
         u = probes[a : a + step]
         common = np.zeros((len(u), size), np.int32)
         for k in range(words.shape[1]):
             common += np.bitwise_count(words[u, k][:, None] & words[None, :, k])
+        most = common + np.minimum(crowd[u][:, None], crowd[None, :])
+        for k in range(shared.shape[1]):
+            most += np.bitwise_count(shared[u, k][:, None] & shared[None, :, k])
         need = -(-percent * (n[u][:, None] + n[None, :]) // (100 + percent))
-        ok = (common + np.minimum(left[u][:, None], left[None, :]) >= need) | free[u][:, None] | free[None, :]
+        ok = (most >= need) | free[u][:, None] | free[None, :]
         ok &= need <= np.minimum(n[u][:, None], n[None, :])
         ok &= ~apart[None, :] | (np.arange(size)[None, :] > u[:, None])
         i, m = np.nonzero(ok)
-        sure = free[u[i]] | free[m] | (common[i, m] >= need[i, m])
+        sure = free[u[i]] | free[m] | (common[i, m] >= need[i, m]) | (left[u[i]] == 0) | (left[m] == 0)
         yield u[i[sure]], m[sure]
         i, m = i[~sure], m[~sure]
         total = np.cumsum(left[u[i]] + left[m])
         for part in _runs(total):
             tag = np.arange(len(part), dtype=np.uint64) << np.uint64(48)
             x, y = (np.repeat(tag, left[d]) | rest[_spread(at[:-1][d], left[d])] for d in (u[i[part]], m[part]))
-            hit = y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y]  # where one has no rest, common is enough or the pair not here
+            hit = y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y]
             many = common[i[part], m[part]] + np.bincount((hit >> np.uint64(48)).astype(np.int64), minlength=len(part))
             yes = part[many >= need[i[part], m[part]]]
             yield u[i[yes]], m[yes]
 
 
+def _columns(owner: np.ndarray, column: np.ndarray, size: int, columns: int) -> np.ndarray:
+    """Rows of bits, whole words of 64, from sorted owners and their columns; some rows at a time."""
+    out, step = np.zeros((size, 8 * -(-columns // 64)), np.uint8), 4096
+    for a in range(0, size, step):
+        x, y = np.searchsorted(owner, [a, a + step])
+        block = np.zeros((min(step, size - a), 8 * out.shape[1]), bool)
+        block[owner[x:y] - a, column[x:y]] = True
+        out[a : a + step] = np.packbits(block, axis=1)
+    return out
+
+
 def _spread(start: np.ndarray, many: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each run, one run after the other."""
     return np.repeat(start - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
